@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitaplate.functions.nulls import ieee_div, mean_strict, nan_to_null, not_in_keep_null
+from vitaplate.functions.ranking import checkpointed
 from vitaplate.operators.clean import canonical_compound
 from vitaplate.operators.wells import with_treatments
 
@@ -49,6 +50,8 @@ def plate_normalised(bg: DataFrame, control: str = "Media", background: str = "A
         mean_strict(sig).alias("mean"),
         F.when(F.count(sig) == F.count(F.lit(1)), nan_to_null(F.stddev_samp(sig))).alias("sd"),
     )
+    # One row per treatment and day, read three times below: materialise it once.
+    per = checkpointed(per)
     ctrl = (
         per.where(F.col("compound") == control).groupBy("day").agg(mean_strict("mean").alias("_ctrl"))
         .withColumnRenamed("day", "_cd")
@@ -73,21 +76,26 @@ def assay_concordance(
     """Join plate signal to image-based viability of the same treatment, patient and day.
 
     ``imaging`` is a normalised curve table (T4 output); ``plates_bg`` the
-    background-subtracted plates of one patient.  Keys are matched null-safely
-    (a missing dose equals a missing dose, §1.1-2).  Per (day, treatment,
-    patient): mean signal and mean live fraction (A11); the signal is divided by
-    the control's value of the same day (W2); listed treatments are dropped,
-    missing ones kept (F5); only listed days remain.
+    background-subtracted wells of one patient.  Wells are first reduced to one
+    row per (day, compound, dose) holding sums and counts, so the join and the
+    treatment ordering work on that small table instead of on every well; means
+    over the joined wells are rebuilt from the sums (NA-propagating, A11).  Keys
+    match null-safely (a missing dose equals a missing dose, §1.1-2).  The
+    signal is divided by the control's value of the same day (W2); listed
+    treatments are dropped, missing ones kept (F5); only listed days remain.
     """
-    img = with_treatments(imaging).withColumn(
+    img = with_treatments(checkpointed(imaging)).withColumn(
         "treatment", F.when(F.col("treatment") == "STA", "STA_5").otherwise(F.col("treatment"))
     )
-    plates = with_treatments(plates_bg.withColumn("patient", F.lit(patient))).withColumn(
+    wells = plates_bg.groupBy("day", "compound", "concentration").agg(
+        F.sum("signal").alias("_sum"), F.count("signal").alias("_nsig"), F.count(F.lit(1)).alias("_n"))
+    wells = checkpointed(wells).withColumn("patient", F.lit(patient))
+    plates = with_treatments(wells).withColumn(
         "treatment",
         F.when(F.col("treatment") == "media", "Media").when(F.col("treatment") == "STA", "STA_5").otherwise(F.col("treatment")),
     )
     keys = ["day", "treatment", "patient", "concentration"]
-    p = plates.select(*keys, "signal")
+    p = plates.select(*keys, "_sum", "_nsig", "_n")
     i = img.select(*[F.col(k).alias(f"_i_{k}") for k in keys], "live_mean")
     cond = (
         p["day"].eqNullSafe(i["_i_day"]) & p["treatment"].eqNullSafe(i["_i_treatment"])
@@ -95,7 +103,9 @@ def assay_concordance(
     )
     j = p.join(i, cond, "inner")
     summ = j.groupBy("day", "treatment", "patient").agg(
-        mean_strict("signal").alias("mean_sig"), mean_strict("live_mean").alias("mean_pa")
+        F.when(F.sum("_nsig") == F.sum("_n"), F.sum("_sum") / F.sum("_n")).alias("mean_sig"),
+        F.when(F.count("live_mean") == F.count(F.lit(1)),
+               F.sum(F.col("live_mean") * F.col("_n")) / F.sum("_n")).alias("mean_pa"),
     )
     # Per-day table is tiny (treatments x patients); the window is bounded by it.
     w = Window.partitionBy("day")

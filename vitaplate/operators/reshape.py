@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vitaplate.functions.ranking import checkpointed
+
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -83,6 +85,9 @@ def unify(left: DataFrame, right: DataFrame, key: str, l_suffix: str, r_suffix:
     rsel = right.select(F.col(key).alias("_rkey"), *r_only, *[F.col(c).alias(c + r_suffix) for c in shared])
     merged = lsel.join(rsel, lsel[key] == rsel["_rkey"], "left").drop("_rkey")
     if shared:
+        # The output schema depends on the data: materialise the join once, so the
+        # agreement pass and the result read it instead of joining twice.
+        merged = checkpointed(merged)
         checks = merged.agg(
             *[F.bool_and(F.col(c + l_suffix) == F.col(c + r_suffix)).alias(f"s{i}") for i, c in enumerate(shared)]
         ).first()

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitaplate.functions.nulls import finite, ieee_div, key_concat, nan_to_null
-from vitaplate.functions.ranking import sequence_index
+from vitaplate.functions.ranking import checkpointed, sequence_index
 from vitaplate.operators.clean import is_control, treatment_label
 from vitaplate.operators.reshape import live_dead_columns
 
@@ -75,8 +75,10 @@ def baseline_normalise(
         .orderBy(F.col(order).asc_nulls_last())
         .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     )
-    base = F.first(value, ignorenulls=False).over(w)
-    return df.withColumns({"nlive": ieee_div(F.col(value), base), "nlive_sd": ieee_div(F.col(sd), base)})
+    with_base = df.withColumn("_base", F.first(value, ignorenulls=False).over(w))
+    return with_base.withColumns({
+        "nlive": ieee_div(F.col(value), F.col("_base")), "nlive_sd": ieee_div(F.col(sd), F.col("_base")),
+    }).drop("_base")
 
 
 def normalise_viability(wells: DataFrame, metric: str = "proportion", keys: Sequence[str] = CONDITION_KEYS) -> DataFrame:
@@ -141,9 +143,14 @@ def with_treatments(df: DataFrame, compound: str = "compound", concentration: st
 
 
 def curve_table(norm: DataFrame, normalized: bool = True) -> DataFrame:
-    """T11 data: ordered treatments, the chosen value and error bar, finite values only."""
+    """T11 data: ordered treatments, the chosen value and error bar, finite values only.
+
+    ``norm`` (one row per condition and day) is read twice, for the treatment
+    order and for the rows, so it is materialised once rather than recomputed
+    from the objects.
+    """
     val, dev = ("nlive", "nlive_sd") if normalized else ("live_mean", "live_sd")
-    t = with_treatments(norm).withColumns({"val": F.col(val), "dev": F.col(dev)})
+    t = with_treatments(checkpointed(norm)).withColumns({"val": F.col(val), "dev": F.col(dev)})
     t = t.where(finite("val"))
     return t.withColumns({"lower": F.col("val") - F.col("dev"), "upper": F.col("val") + F.col("dev")})
 
