@@ -109,3 +109,8 @@ def test_split_and_link_group(spark):
     a, b = C.split_pair(F.col("c"))
     got = [(r.a, r.b, r.g) for r in df.select(a.alias("a"), b.alias("b"), C.link_group("s").alias("g")).collect()]
     assert got == [("media", "VD", "type_b"), ("STA", "Imaging", "type_a")]
+
+
+def test_seconds_to_days_half_even(spark):
+    df = spark.createDataFrame([(129600.0,), (216000.0,), (0.0,), (None,)], "s double")  # 1.5, 2.5, 0 days
+    assert [r.d for r in df.select(C.seconds_to_days("s").alias("d")).collect()] == [2, 2, 0, None]

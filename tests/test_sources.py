@@ -98,3 +98,21 @@ def test_streaming_ingest_is_incremental(spark, tmp_path):
     assert sorted((r.ExpID, r.Day, r.LD) for r in back.select("ExpID", "Day", "LD").distinct().collect()) == [
         ("ExpA", 0, "Live"), ("ExpB", 3, "Live")]
     assert "Region Area" in back.columns
+
+
+def test_tracked_csv_to_transitions(spark, tmp_path):
+    from vitaplate.operators import transitions as TR
+
+    hdr = ["Row", "Column", "Field", "Object.ID", "Compound", "Timepoint", "Time..s."] + list(TR.TRACKED_COLUMNS)
+    lines = [",".join(hdr)]
+    # one object, visits at 0, 1, 2 (1.5 days rounds to 2), 3 and 7 days; calls flip at day 1
+    for i, secs in enumerate([0, 86400, 129600, 259200, 604800]):
+        live = 1 if secs == 0 else 0
+        lines.append(",".join(map(str, [1, 2, 3, 4, "Media", i, secs, live, 1 - live, 5, 0, live, 1.5])))
+    _write(str(tmp_path / "tracked.csv"), "\n".join(lines) + "\n", encoding="latin-1")
+    visits = TR.prepare_tracked(S.read_tracked(spark, str(tmp_path / "tracked.csv")))
+    assert sorted(r.day for r in visits.collect()) == [0, 1, 2, 3, 7]
+    assert {r.id for r in visits.collect()} == {"1_2_3_4"}
+    links = TR.transition_links(TR.tracked_cohort(visits))
+    got = sorted((r.source, r.target) for r in links.collect())
+    assert got == [("0_L-ML_L-VD", "1_D-ML_D-VD"), ("1_D-ML_D-VD", "3_D-ML_D-VD"), ("3_D-ML_D-VD", "7_D-ML_D-VD")]

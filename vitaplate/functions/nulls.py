@@ -18,7 +18,8 @@ ColumnOrName = Column | str
 
 
 def _c(x: ColumnOrName) -> Column:
-    return F.col(x) if isinstance(x, str) else x
+    """A column by its plain name (dots, spaces and brackets are part of the name)."""
+    return F.col("`" + x.replace("`", "``") + "`") if isinstance(x, str) else x
 
 
 def nan_to_null(x: ColumnOrName) -> Column:

@@ -5,11 +5,13 @@ every row of that group into one task.  ``sequence_index`` gets the same
 numbers by range-partitioning on (group, order): a hot group is spread over
 many slices, each slice counts its rows, and a prefix sum over the (small)
 per-slice counts gives every slice its starting offset.  The sorted slices are
-checkpointed so both passes see the same rows in the same places.
+written once (see ``checkpointed``) so both passes see the same rows in the
+same places.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from typing import Sequence
 
@@ -20,9 +22,18 @@ from vitaplate.session import ensure_checkpoint_dir
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the cluster's checkpoint folder (never a local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a Parquet table in the cluster's checkpoint folder and read it back.
+
+    This cuts the lineage like ``DataFrame.checkpoint()`` but computes the input
+    once (an RDD checkpoint recomputes it to write, unless cached), keeps the
+    data columnar and compressed, and gives the planner real file sizes for its
+    broadcast decisions.  The folder is the shared one named by
+    ``spark.checkpoint.dir``, so the table survives the loss of any executor.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _shuffle_partitions(df: DataFrame) -> int:

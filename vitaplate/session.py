@@ -28,19 +28,33 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+_LOCAL_DIRS: dict[int, str] = {}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint folder, honouring the cluster's setting.
+    """Return the shared folder for checkpoints and materialised tables.
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``; that is always
-    used.  Only when nothing is configured (local tests, a bare local session) do
-    we create a scratch folder of our own.
+    The cluster names it in ``spark.checkpoint.dir`` (or the context already has
+    one); that is always used.  Only when nothing is configured (local tests, a
+    bare local session) is a scratch folder of our own created, once per session.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    configured = None
+    try:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+    except Exception:  # noqa: BLE001 - some session kinds refuse unknown keys
+        configured = None
+    sc = None
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - e.g. a Connect session has no SparkContext
+        sc = None
+    if not configured and sc is not None:
+        configured = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="vitaplate-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+        key = id(spark)
+        if key not in _LOCAL_DIRS:
+            _LOCAL_DIRS[key] = tempfile.mkdtemp(prefix="vitaplate-ckpt-")
+        configured = _LOCAL_DIRS[key]
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(configured)
+    return configured
