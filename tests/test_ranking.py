@@ -42,3 +42,25 @@ def test_dense_codes(spark):
     df = spark.createDataFrame([("b",), ("a",), ("c",), ("a",), (None,)], "x string")
     got = sorted(((r.x or ""), r.code) for r in dense_codes(df, "x", "code").collect())
     assert got == [("", None), ("a", 1), ("a", 1), ("b", 2), ("c", 3)]
+
+
+def test_index_survives_small_arrow_batches(spark):
+    df = _data(spark, n=2500, seed=13)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = sequence_index(df, ["v", "id"], groups=["g"], name="ix", slices=3)
+        a = sorted((r.id, r.ix) for r in got.select("id", "ix").collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    w = Window.partitionBy("g").orderBy("v", "id")
+    b = sorted((r.id, r.ix) for r in df.withColumn("ix", F.row_number().over(w) - 1).select("id", "ix").collect())
+    assert a == b
+
+
+def test_index_of_empty_and_single_group_inputs(spark):
+    empty = spark.createDataFrame([], "g string, v int")
+    assert sequence_index(empty, ["v"], groups=["g"]).count() == 0
+    one = spark.createDataFrame([("a", i) for i in range(50)], "g string, v int")
+    got = sorted(r._idx for r in sequence_index(one, ["v"], groups=["g"], slices=6).collect())
+    assert got == list(range(50))

@@ -98,3 +98,12 @@ def key_concat(sep: str, *parts: ColumnOrName, schema: T.StructType | None = Non
 def null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     """Join condition matching NULL to NULL on every key (dplyr join semantics, §1.1-2)."""
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` matching NULL to NULL; the key columns appear once, from the left."""
+    keys = list(keys)
+    r = right.select(*[_c(k).alias(f"_r_{i}") for i, k in enumerate(keys)],
+                     *[_c(c) for c in right.columns if c not in keys])
+    cond = reduce(lambda a, b: a & b, [left[f"`{k}`"].eqNullSafe(r[f"_r_{i}"]) for i, k in enumerate(keys)])
+    return left.join(r, cond, how).drop(*[f"_r_{i}" for i in range(len(keys))])

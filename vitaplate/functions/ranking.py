@@ -2,21 +2,27 @@
 
 ``row_number()`` over a window with no partition (or over a hot group) moves
 every row of that group into one task.  ``sequence_index`` gets the same
-numbers by range-partitioning on (group, order): a hot group is spread over
-many slices, each slice counts its rows, and a prefix sum over the (small)
-per-slice counts gives every slice its starting offset.  The sorted slices are
-written once (see ``checkpointed``) so both passes see the same rows in the
-same places.
+numbers with one range shuffle on (group, order): a hot group is spread over
+many sorted slices.  One sequential pass per slice (Arrow batches through
+pandas) numbers the rows within each run of equal group keys and reports the
+slice's first and last run.  Only a slice's first run can continue a group from
+earlier slices, so a prefix sum over these summaries (at most two rows per
+slice) yields one offset per slice, a table bounded by the number of slices
+and therefore safe to broadcast.  The pass is written once (see
+``checkpointed``) so the summaries and the rows come from the same run.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
-from functools import reduce
-from typing import Sequence
+from typing import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitaplate.session import ensure_checkpoint_dir
 
@@ -43,6 +49,72 @@ def _shuffle_partitions(df: DataFrame) -> int:
         return 200
 
 
+def _plain(v):
+    """Hashable, null-safe form of one key value (NaN and None are the same missing value)."""
+    if v is None or v is pd.NaT:
+        return None
+    if isinstance(v, float) and math.isnan(v):
+        return None
+    if isinstance(v, np.generic):
+        return v.item()
+    return v
+
+
+def _run_numbering(groups: list[str], columns: list[str]):
+    """Per-slice pass: position within runs of equal group keys, plus first/last run summaries."""
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        prev_key = None        # group key of the previous row (tuple), None before the first row
+        prev_pos = -1          # position of the previous row within its run
+        runs_before = 0        # runs started in earlier batches of this slice
+        first_key, first_len, first_open = None, 0, True
+        last_key, last_len = None, 0
+        slice_id = None
+        for pdf in batches:
+            n = len(pdf)
+            if n == 0:
+                continue
+            if slice_id is None:
+                slice_id = int(pdf["_slice"].iloc[0])
+            new = np.zeros(n, dtype=bool)
+            for g in groups:
+                s = pdf[g]
+                prev = s.shift(1)
+                same = (s == prev).fillna(False).to_numpy(dtype=bool) | (s.isna() & prev.isna()).to_numpy(dtype=bool)
+                new |= ~same
+            row0 = tuple(_plain(pdf[g].iloc[0]) for g in groups)
+            new[0] = prev_key is None or row0 != prev_key
+            idx = np.arange(n)
+            start = np.maximum.accumulate(np.where(new, idx, -1))
+            local = np.where(start >= 0, idx - start, prev_pos + 1 + idx)
+            run_no = runs_before + np.cumsum(new)  # 1 for the slice's first run
+            out = pdf.assign(_local=local.astype("int64"), _first=(run_no == 1), _kind=0, _cnt=0)
+            yield out
+            firsts = run_no == 1
+            if first_open:
+                first_key = row0 if prev_key is None else first_key
+                first_len += int(firsts.sum())
+                first_open = bool(firsts[-1])
+            last_key = tuple(_plain(pdf[g].iloc[-1]) for g in groups)
+            last_len = int(local[-1]) + 1
+            prev_key, prev_pos = last_key, int(local[-1])
+            runs_before = int(run_no[-1])
+        if slice_id is None:
+            return
+        summary = [(1, first_key, first_len)]
+        if runs_before > 1:
+            summary.append((2, last_key, last_len))
+        rows = []
+        for kind, key, cnt in summary:
+            row = {c: None for c in columns}
+            row.update(dict(zip(groups, key)))
+            row.update({"_slice": slice_id, "_local": 0, "_first": kind == 1, "_kind": kind, "_cnt": cnt})
+            rows.append(row)
+        yield pd.DataFrame(rows, columns=columns + ["_local", "_first", "_kind", "_cnt"])
+
+    return number
+
+
 def sequence_index(
     df: DataFrame,
     order: Sequence[Column | str],
@@ -53,40 +125,36 @@ def sequence_index(
     """Add ``name``: 0-based position of each row within its group, by ``order``.
 
     Equivalent to ``row_number() over (partition by groups order by order) - 1``
-    (ties get distinct consecutive numbers), but no group is ever processed by a
-    single task.  Group keys are matched null-safely.
+    (ties get distinct consecutive numbers), with one shuffle and no group ever
+    processed by a single task.  Group keys are compared null-safely.
     """
     groups = list(groups)
     keys = [F.col(g) for g in groups] + [F.col(o) if isinstance(o, str) else o for o in order]
     n = slices or _shuffle_partitions(df)
-    sliced = (
-        df.repartitionByRange(n, *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_slice", F.spark_partition_id())
-        .withColumn("_mid", F.monotonically_increasing_id())
+    sliced = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_slice", F.spark_partition_id())
+    columns = sliced.columns
+    # Summary rows carry NULL outside the group keys, so every field is declared nullable.
+    schema = T.StructType(
+        [T.StructField(f.name, f.dataType, True) for f in sliced.schema.fields]
+        + [T.StructField("_local", T.LongType()), T.StructField("_first", T.BooleanType()),
+           T.StructField("_kind", T.IntegerType()), T.StructField("_cnt", T.LongType())]
     )
-    sliced = checkpointed(sliced)
+    numbered = checkpointed(sliced.mapInPandas(_run_numbering(groups, columns), schema))
 
-    per = sliced.groupBy("_slice", *groups).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0")
-    )
-    # At most one row per (slice, group): a hot group contributes one row per slice.
+    # Summaries: at most two rows per slice.  A slice's first run continues its
+    # group from earlier slices; its offset is the group's count in those slices.
+    summ = numbered.where(F.col("_kind") > 0).select("_slice", *groups, "_cnt", "_first")
     w = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    per = per.select(
-        F.col("_slice").alias("_pslice"),
-        *[F.col(g).alias(f"_pg{i}") for i, g in enumerate(groups)],
-        "_off",
-        "_m0",
-    )
-    cond = reduce(
-        lambda a, b: a & b,
-        [sliced["_slice"] == per["_pslice"]] + [sliced[g].eqNullSafe(per[f"_pg{i}"]) for i, g in enumerate(groups)],
-    )
-    out = sliced.join(per, cond, "inner")
-    return out.withColumn(name, F.col("_off") + (F.col("_mid") - F.col("_m0"))).drop(
-        "_slice", "_mid", "_pslice", "_off", "_m0", *[f"_pg{i}" for i in range(len(groups))]
+    offsets = (
+        summ.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
+        .where(F.col("_first"))
+        .select(F.col("_slice").alias("_oslice"), "_off")
     )
+    rows = numbered.where(F.col("_kind") == 0)
+    # One row per slice: bounded by the slice count, so broadcasting it is safe.
+    out = rows.join(F.broadcast(offsets), rows["_slice"] == offsets["_oslice"], "left")
+    idx = F.col("_local") + F.when(F.col("_first"), F.coalesce(F.col("_off"), F.lit(0))).otherwise(0)
+    return out.withColumn(name, idx.cast("long")).drop("_slice", "_local", "_first", "_kind", "_cnt", "_oslice", "_off")
 
 
 def dense_codes(df: DataFrame, column: str, name: str, order: Column | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitaplate.functions.names import ID_LIKE_FEATURES, clean_feature_label, feature_columns
-from vitaplate.functions.nulls import key_concat, mean_strict, nan_to_null
+from vitaplate.functions.nulls import join_null_safe, key_concat, mean_strict, nan_to_null
 from vitaplate.functions.ranking import sequence_index
 from vitaplate.operators.reshape import _NUMERIC, melt
 
@@ -77,19 +77,26 @@ def condition_means(df: DataFrame, keys: Sequence[str], features: Sequence[str])
     return long.withColumn("variable", _label_expr(F.col("variable"), label_map(features)))
 
 
+def _with_feature_stats(long: DataFrame, feature: str, *aggs: Column) -> DataFrame:
+    # One row per feature, and features are columns of the input: the table's size is
+    # bounded by the schema, so broadcasting it is safe.  Partial aggregates, no window.
+    stats = long.groupBy(feature).agg(*aggs)
+    return long.join(F.broadcast(stats), feature)
+
+
 def zscore_rows(long: DataFrame, feature: str = "variable", value: str = "mean_val", name: str = "scaled") -> DataFrame:
     """Per feature, (x - mean) / sd across samples, missing skipped; sd 0 gives NULL."""
-    w = Window.partitionBy(feature)
     v = F.col(value)
-    return long.withColumn(name, nan_to_null((v - F.avg(v).over(w)) / F.nullif(F.stddev_samp(v).over(w), F.lit(0.0))))
+    out = _with_feature_stats(long, feature, F.avg(v).alias("_mu"), F.stddev_samp(v).alias("_sd"))
+    return out.withColumn(name, nan_to_null((v - F.col("_mu")) / F.nullif(F.col("_sd"), F.lit(0.0)))).drop("_mu", "_sd")
 
 
 def rms_scale(long: DataFrame, feature: str = "variable", value: str = "mean_val", name: str = "scaled") -> DataFrame:
     """Per feature, x / sqrt(sum(x^2) / max(1, n - 1)), uncentred, missing skipped."""
-    w = Window.partitionBy(feature)
     v = F.col(value)
-    rms = F.sqrt(F.sum(v * v).over(w) / F.greatest(F.lit(1), F.count(v).over(w) - 1))
-    return long.withColumn(name, nan_to_null(v / F.nullif(rms, F.lit(0.0))))
+    out = _with_feature_stats(long, feature, F.sum(v * v).alias("_ss"), F.count(v).alias("_n"))
+    rms = F.sqrt(F.col("_ss") / F.greatest(F.lit(1), F.col("_n") - 1))
+    return out.withColumn(name, nan_to_null(v / F.nullif(rms, F.lit(0.0)))).drop("_ss", "_n")
 
 
 def heatmap(
@@ -148,29 +155,21 @@ GRID_POINTS = 512  # density grid size of the violin layer
 GRID_CUT = 3.0     # grid extends this many bandwidths beyond the data (untrimmed violins)
 
 
-def group_quartiles(values: DataFrame, groups: Sequence[str], value: str = "value") -> DataFrame:
-    """Exact first and third quartiles per group (linear interpolation, R type 7).
-
-    Values are ranked within their group by :func:`sequence_index`, which
-    range-partitions so even a group holding most rows is spread over tasks;
-    only the two order statistics each quartile needs are then picked out.
-    """
-    ranked = sequence_index(values.select(*groups, value), [F.col(value).asc()], groups=groups, name="_i")
-    sizes = values.groupBy(*groups).agg(F.count(F.lit(1)).alias("_cnt"))
-    r = ranked.join(sizes, list(groups))
-    picks = []
+def _quartiles_from_ranked(ranked: DataFrame, groups: Sequence[str], value: str, index: str = "_i") -> DataFrame:
+    """Type-7 quartiles from values already numbered 0..n-1 within their group."""
+    sizes = ranked.groupBy(*groups).agg((F.max(index) + 1).alias("_cnt"))
+    r = join_null_safe(ranked, sizes, groups)
+    picks, wanted = [], []
     for name, p in (("q1", 0.25), ("q3", 0.75)):
         h = (F.col("_cnt") - 1) * p
         lo, hi = F.floor(h), F.ceil(h)
+        wanted += [lo, hi]
         picks += [
-            F.max(F.when(F.col("_i") == lo, F.col(value))).alias(f"_{name}_lo"),
-            F.max(F.when(F.col("_i") == hi, F.col(value))).alias(f"_{name}_hi"),
+            F.max(F.when(F.col(index) == lo, F.col(value))).alias(f"_{name}_lo"),
+            F.max(F.when(F.col(index) == hi, F.col(value))).alias(f"_{name}_hi"),
             F.first(h - lo).alias(f"_{name}_f"),
         ]
-    q = r.where(
-        F.col("_i").isin(F.floor((F.col("_cnt") - 1) * 0.25), F.ceil((F.col("_cnt") - 1) * 0.25),
-                         F.floor((F.col("_cnt") - 1) * 0.75), F.ceil((F.col("_cnt") - 1) * 0.75))
-    ).groupBy(*groups).agg(*picks)
+    q = r.where(F.col(index).isin(*wanted)).groupBy(*groups).agg(*picks)
     return q.select(
         *groups,
         (F.col("_q1_lo") + F.col("_q1_f") * (F.col("_q1_hi") - F.col("_q1_lo"))).alias("q1"),
@@ -178,6 +177,19 @@ def group_quartiles(values: DataFrame, groups: Sequence[str], value: str = "valu
     )
 
 
+def group_quartiles(values: DataFrame, groups: Sequence[str], value: str = "value") -> DataFrame:
+    """Exact first and third quartiles per group (linear interpolation, R type 7).
+
+    Values are ranked within their group by :func:`sequence_index`, which
+    range-partitions so even a group holding most rows is spread over tasks;
+    only the two order statistics each quartile needs are then picked out.
+    """
+    groups = list(groups)
+    ranked = sequence_index(values.select(*groups, value).where(F.col(value).isNotNull()),
+                            [F.col(value).asc()], groups=groups, name="_i")
+    return _quartiles_from_ranked(ranked, groups, value)
+
+
 def feature_density(long: DataFrame, groups: Sequence[str], value: str = "value") -> DataFrame:
     """Gaussian kernel density per group on a 512-point grid, as an untrimmed violin draws it.
 
@@ -192,12 +204,15 @@ def feature_density(long: DataFrame, groups: Sequence[str], value: str = "value"
     """
     groups = list(groups)
     vals = long.select(*groups, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    stats = vals.groupBy(*groups).agg(
+    # Ranked once and materialised: statistics, quartiles and binning all read this table,
+    # so the upstream (object scan, joins, unpivot) runs a single time.
+    ranked = sequence_index(vals, [F.col("_v").asc()], groups=groups, name="_i")
+    stats = ranked.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("_n"), F.stddev_samp("_v").alias("_sd"),
         F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.max(F.abs("_v")).alias("_amax"),
     ).where(F.col("_n") >= 2)
-    quart = group_quartiles(vals, groups, "_v")
-    st = stats.join(quart, groups)
+    quart = _quartiles_from_ranked(ranked, groups, "_v")
+    st = join_null_safe(stats, quart, groups)
     lo = F.least(F.col("_sd"), (F.col("q3") - F.col("q1")) / 1.34)
     lo = F.when(lo > 0, lo).when(F.col("_sd") > 0, F.col("_sd")).when(F.col("_amax") > 0, F.col("_amax")).otherwise(1.0)
     st = st.withColumn("_bw", 0.9 * lo * F.pow(F.col("_n").cast("double"), -0.2))
@@ -207,7 +222,7 @@ def feature_density(long: DataFrame, groups: Sequence[str], value: str = "value"
     }).select(*groups, "_n", "_bw", "_g0", "_step")
 
     # Linear binning: each value splits its unit weight between its two neighbouring grid points.
-    binned = vals.join(st, groups)
+    binned = join_null_safe(ranked, st, groups)
     pos = (F.col("_v") - F.col("_g0")) / F.col("_step")
     binned = binned.withColumns({"_b": F.floor(pos).cast("int"), "_f": pos - F.floor(pos)})
     parts = F.array(
@@ -220,7 +235,7 @@ def feature_density(long: DataFrame, groups: Sequence[str], value: str = "value"
         .agg(F.sum("p.w").alias("w"))
     )
     # Convolution on the grid: bounded by GRID_POINTS^2 per group.
-    conv = bins.join(st, groups).select(
+    conv = join_null_safe(bins, st, groups).select(
         *groups, "b", "w", "_n", "_bw", "_g0", "_step",
         F.explode(F.sequence(F.lit(0), F.lit(GRID_POINTS - 1))).alias("g"),
     )
