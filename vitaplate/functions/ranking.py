@@ -42,13 +42,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _shuffle_partitions(df: DataFrame) -> int:
-    try:
-        return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    except Exception:  # pragma: no cover - conf always present in practice
-        return 200
-
-
 def _plain(v):
     """Hashable, null-safe form of one key value (NaN and None are the same missing value)."""
     if v is None or v is pd.NaT:
@@ -130,8 +123,10 @@ def sequence_index(
     """
     groups = list(groups)
     keys = [F.col(g) for g in groups] + [F.col(o) if isinstance(o, str) else o for o in order]
-    n = slices or _shuffle_partitions(df)
-    sliced = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_slice", F.spark_partition_id())
+    # Without an explicit slice count AQE may merge adjacent small ranges; merged
+    # slices stay in range order, which is all the numbering relies on.
+    ranged = df.repartitionByRange(slices, *keys) if slices else df.repartitionByRange(*keys)
+    sliced = ranged.sortWithinPartitions(*keys).withColumn("_slice", F.spark_partition_id())
     columns = sliced.columns
     # Summary rows carry NULL outside the group keys, so every field is declared nullable.
     schema = T.StructType(
