@@ -80,3 +80,15 @@ def test_transitions_limit_rows_per_object_before_shuffle(spark):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+          "date": "DATE", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT"}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_types_match_oracle(spark, duck, name):
+    df = QUERIES[name](spark, SF_SMALL)
+    got = {f.name: _TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    want = {r[0]: r[1] for r in duck.execute(f"DESCRIBE {ORACLE[name]}").fetchall()}
+    assert got == want
