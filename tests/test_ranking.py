@@ -64,3 +64,12 @@ def test_index_of_empty_and_single_group_inputs(spark):
     one = spark.createDataFrame([("a", i) for i in range(50)], "g string, v int")
     got = sorted(r._idx for r in sequence_index(one, ["v"], groups=["g"], slices=6).collect())
     assert got == list(range(50))
+
+
+def test_domain_codes_match_dense_codes(spark):
+    from vitaplate.functions.ranking import domain_codes
+
+    df = spark.createDataFrame([("c",), ("a",), ("c",), (None,), ("e",)], "x string")
+    got = sorted(((r.x or ""), r.k) for r in domain_codes(df, "x", "k", ["e", "d", "c", "b", "a"]).collect())
+    want = sorted(((r.x or ""), r.k) for r in dense_codes(df, "x", "k").collect())
+    assert got == want == [("", None), ("a", 1), ("c", 2), ("c", 2), ("e", 3)]

@@ -161,3 +161,27 @@ def dense_codes(df: DataFrame, column: str, name: str, order: Column | None = No
     coded = sequence_index(values, [order if order is not None else F.col(column).asc()], name="_code")
     coded = coded.select(F.col(column).alias("_cv"), (F.col("_code") + 1).cast("int").alias(name))
     return df.join(coded, df[column] == coded["_cv"], "left").drop("_cv")
+
+
+def domain_codes(df: DataFrame, column: str, name: str, domain: Sequence) -> DataFrame:
+    """Add ``name``: 1-based code of ``column`` among the values of a fixed ``domain`` that occur.
+
+    Same result as :func:`dense_codes` when every value lies in ``domain``, but
+    the only data-dependent part is which domain values occur: one partial
+    aggregate evaluated as a scalar subquery, with no distinct table and no join
+    back.  Values outside the domain (and NULL) get no code.
+    """
+    domain = sorted(domain)
+    col = F.col(column)
+    present = df.select(
+        F.struct(*[F.max(F.when(col == F.lit(v), 1).otherwise(0)).alias(f"p{i}") for i, v in enumerate(domain)])
+    ).scalar()
+    # The subquery is bound once as a column; the codes only read its fields.
+    flags = df.withColumn("_present", present)
+    code = None
+    for i, v in enumerate(domain):
+        rank = F.lit(1)
+        for j in range(i):
+            rank = rank + F.col("_present").getField(f"p{j}")
+        code = (F.when(col == F.lit(v), rank) if code is None else code.when(col == F.lit(v), rank))
+    return flags.withColumn(name, code.cast("int")).drop("_present")

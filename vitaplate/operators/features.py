@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from vitaplate.functions.names import ID_LIKE_FEATURES, clean_feature_label, feature_columns
 from vitaplate.functions.nulls import join_null_safe, key_concat, mean_strict, nan_to_null
-from vitaplate.functions.ranking import sequence_index
+from vitaplate.functions.ranking import checkpointed, sequence_index
 from vitaplate.operators.reshape import _NUMERIC, melt
 
 
@@ -220,6 +220,7 @@ def feature_density(long: DataFrame, groups: Sequence[str], value: str = "value"
         "_g0": F.col("_min") - GRID_CUT * F.col("_bw"),
         "_step": (F.col("_max") - F.col("_min") + 2 * GRID_CUT * F.col("_bw")) / (GRID_POINTS - 1),
     }).select(*groups, "_n", "_bw", "_g0", "_step")
+    st = checkpointed(st)  # one row per group, read by the binning and the convolution
 
     # Linear binning: each value splits its unit weight between its two neighbouring grid points.
     binned = join_null_safe(ranked, st, groups)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitaplate.functions.nulls import key_concat
-from vitaplate.functions.ranking import dense_codes
+from vitaplate.functions.ranking import checkpointed, domain_codes
 from vitaplate.operators.clean import (
     STATUS_DD,
     STATUS_DL,
@@ -28,6 +28,8 @@ from vitaplate.operators.clean import (
 STAGES = ((1, 0, 1), (2, 1, 3), (3, 3, 7))
 # State order code (alphabetical factor code of the four states).
 STATE_CODES = ((STATUS_DD, 1), (STATUS_DL, 2), (STATUS_LD, 3), (STATUS_LL, 4))
+# Every value a concordance state can take ("0" when a call is missing or not 0/1).
+STATUS_DOMAIN = ("0", STATUS_DD, STATUS_DL, STATUS_LD, STATUS_LL)
 
 
 # Short names of the tracked-object measurements (syntactic CSV header -> name).
@@ -78,14 +80,14 @@ def tracked_cohort(
     Visit counts are a grouped aggregate (partial counts per task, so an object
     with a huge number of rows is no hotter than any other) and a left-semi join
     keeps the qualifying objects' rows.  ``status_num`` is the state's code among
-    the states present before the day filter (R factor codes).  Rows are then
-    made distinct.
+    the states present before the day filter (R factor codes), taken from the
+    fixed state domain.  Rows are then made distinct.
     """
     counts = visits.groupBy(group, obj).agg(F.count(F.lit(1)).alias("_visits")).where(F.col("_visits") >= min_visits)
     counts = counts.select(F.col(group).alias("_g"), F.col(obj).alias("_o"))
     cond = visits[group].eqNullSafe(counts["_g"]) & visits[obj].eqNullSafe(counts["_o"])
     kept = visits.join(counts, cond, "left_semi").withColumn("status", concordance_status(ml, vd))
-    coded = dense_codes(kept, "status", "status_num")
+    coded = domain_codes(kept, "status", "status_num", STATUS_DOMAIN)
     return coded.where(F.col(day) != drop_day).select(obj, day, "status", "status_num", *carry, group).distinct()
 
 
@@ -140,7 +142,8 @@ def transition_links(
     order = Window.partitionBy(group).orderBy("stage", F.col("src_code").desc(), F.col("tgt_code").asc())
     links = links.withColumn("link_order", F.row_number().over(order).cast("int"))
     links = links.withColumn("group", link_group("source"))
-    return links.select(group, "stage", "link_order", "source", "target", "count", "group")
+    # At most 48 rows per group; nodes and ids read it several times, so it is written once.
+    return checkpointed(links.select(group, "stage", "link_order", "source", "target", "count", "group"))
 
 
 def transition_nodes(links: DataFrame, group: str = "compound") -> DataFrame:
