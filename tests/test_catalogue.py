@@ -76,7 +76,10 @@ def test_heatmap_scan_reads_only_selected_features(spark):
 
 
 def test_transitions_limit_rows_per_object_before_shuffle(spark):
-    df = QUERIES["transition_links"](spark, SF_SMALL)
+    from vitaplate.operators import transitions as TR
+    from vitaplate.plans import surrogates as S
+
+    df = TR.link_table(TR.tracked_cohort(S.visits(spark, SF_SMALL)))
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan

@@ -103,7 +103,7 @@ def _state_codes(spark, prefix: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(list(STATE_CODES), f"{prefix}_state string, {prefix}_code int"))
 
 
-def transition_links(
+def link_table(
     cohort: DataFrame,
     obj: str = "id",
     group: str = "compound",
@@ -142,8 +142,19 @@ def transition_links(
     order = Window.partitionBy(group).orderBy("stage", F.col("src_code").desc(), F.col("tgt_code").asc())
     links = links.withColumn("link_order", F.row_number().over(order).cast("int"))
     links = links.withColumn("group", link_group("source"))
-    # At most 48 rows per group; nodes and ids read it several times, so it is written once.
-    return checkpointed(links.select(group, "stage", "link_order", "source", "target", "count", "group"))
+    return links.select(group, "stage", "link_order", "source", "target", "count", "group")
+
+
+def transition_links(
+    cohort: DataFrame,
+    obj: str = "id",
+    group: str = "compound",
+    day: str = "day",
+    tiebreak: tuple[str, ...] = ("status", "intensity"),
+) -> DataFrame:
+    """T1, materialised: :func:`link_table` written once (at most 48 rows per group),
+    since nodes and node ids read it several times."""
+    return checkpointed(link_table(cohort, obj, group, day, tiebreak))
 
 
 def transition_nodes(links: DataFrame, group: str = "compound") -> DataFrame:
@@ -172,4 +183,4 @@ def transition_nodes(links: DataFrame, group: str = "compound") -> DataFrame:
     return nodes, with_ids
 
 
-__all__ = ["tracked_cohort", "transition_links", "transition_nodes", "STAGES", "STATE_CODES"]
+__all__ = ["tracked_cohort", "link_table", "transition_links", "transition_nodes", "STAGES", "STATE_CODES"]
