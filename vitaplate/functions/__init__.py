@@ -1,8 +1,9 @@
 """Column-level helpers (pure Catalyst expressions) and small plan helpers."""
 
-from vitaplate.functions.nulls import (  # noqa: F401
+from vitaplate.functions.nulls import (
     finite,
     ieee_div,
+    join_null_safe,
     key_concat,
     mean_strict,
     nan_to_null,
@@ -11,4 +12,9 @@ from vitaplate.functions.nulls import (  # noqa: F401
     num_label,
     text_or_na,
 )
-from vitaplate.functions.ranking import checkpointed, dense_codes, sequence_index  # noqa: F401
+from vitaplate.functions.ranking import checkpointed, dense_codes, domain_codes, sequence_index
+
+__all__ = [
+    "finite", "ieee_div", "join_null_safe", "key_concat", "mean_strict", "nan_to_null", "not_in_keep_null",
+    "null_safe_on", "num_label", "text_or_na", "checkpointed", "dense_codes", "domain_codes", "sequence_index",
+]

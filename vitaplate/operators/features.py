@@ -17,12 +17,11 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vitaplate.functions.names import ID_LIKE_FEATURES, clean_feature_label, feature_columns
 from vitaplate.functions.nulls import join_null_safe, key_concat, mean_strict, nan_to_null
 from vitaplate.functions.ranking import checkpointed, sequence_index
-from vitaplate.operators.reshape import _NUMERIC, melt
+from vitaplate.operators.reshape import NUMERIC_TYPES, melt
 
 
 def select_features(df: DataFrame, ids: Sequence[str] | None = None, drop_id_like: bool = True) -> list[str]:
@@ -31,7 +30,7 @@ def select_features(df: DataFrame, ids: Sequence[str] | None = None, drop_id_lik
     With ``ids`` None (inferred ids, R2) only numeric columns can be features.
     """
     ids = set(ids or [])
-    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC)}
+    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC_TYPES)}
     feats = [c for c in feature_columns(df.columns) if c not in ids and c in numeric]
     if drop_id_like:
         feats = [c for c in feats if c not in ID_LIKE_FEATURES]
@@ -58,7 +57,7 @@ def feature_long(df: DataFrame, ids: Sequence[str] | None = None) -> DataFrame:
     the feature pattern).
     """
     if ids is None:
-        ids = [f.name for f in df.schema.fields if not isinstance(f.dataType, _NUMERIC)]
+        ids = [f.name for f in df.schema.fields if not isinstance(f.dataType, NUMERIC_TYPES)]
     feats = select_features(df, ids)
     long = melt(df, ids=list(ids), values=feats)
     return long.withColumns({

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from vitaplate.functions.ranking import checkpointed
 
-_NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
 def melt(
@@ -30,7 +30,7 @@ def melt(
     filters on id columns still reach the scan.
     """
     if ids is None:
-        ids = [f.name for f in df.schema.fields if not isinstance(f.dataType, _NUMERIC)]
+        ids = [f.name for f in df.schema.fields if not isinstance(f.dataType, NUMERIC_TYPES)]
     ids = list(ids)
     if values is None:
         values = [c for c in df.columns if c not in ids]
