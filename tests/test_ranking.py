@@ -21,7 +21,7 @@ def _data(spark, n=3000, seed=7):
 
 def test_grouped_index_matches_row_number(spark):
     df = _data(spark)
-    got = sequence_index(df, ["v", "id"], groups=["g"], name="ix", slices=7)
+    got = sequence_index(df, ["v", "id"], groups=["g"], name="ix", slices=7, small_rows=0)
     w = Window.partitionBy("g").orderBy("v", "id")
     want = df.withColumn("ix", F.row_number().over(w) - 1)
     a = sorted((r.id, r.ix) for r in got.select("id", "ix").collect())
@@ -31,7 +31,7 @@ def test_grouped_index_matches_row_number(spark):
 
 def test_global_index_is_a_permutation_in_order(spark):
     df = _data(spark, n=1000, seed=3)
-    got = sequence_index(df, [F.col("v").desc(), "id"], name="ix", slices=5).collect()
+    got = sequence_index(df, [F.col("v").desc(), "id"], name="ix", slices=5, small_rows=0).collect()
     got.sort(key=lambda r: r.ix)
     assert [r.ix for r in got] == list(range(1000))
     keys = [(-r.v, r.id) for r in got]
@@ -49,7 +49,7 @@ def test_index_survives_small_arrow_batches(spark):
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
     try:
-        got = sequence_index(df, ["v", "id"], groups=["g"], name="ix", slices=3)
+        got = sequence_index(df, ["v", "id"], groups=["g"], name="ix", slices=3, small_rows=0)
         a = sorted((r.id, r.ix) for r in got.select("id", "ix").collect())
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
@@ -60,9 +60,10 @@ def test_index_survives_small_arrow_batches(spark):
 
 def test_index_of_empty_and_single_group_inputs(spark):
     empty = spark.createDataFrame([], "g string, v int")
+    assert sequence_index(empty, ["v"], groups=["g"], small_rows=0).count() == 0
     assert sequence_index(empty, ["v"], groups=["g"]).count() == 0
     one = spark.createDataFrame([("a", i) for i in range(50)], "g string, v int")
-    got = sorted(r._idx for r in sequence_index(one, ["v"], groups=["g"], slices=6).collect())
+    got = sorted(r._idx for r in sequence_index(one, ["v"], groups=["g"], slices=6, small_rows=0).collect())
     assert got == list(range(50))
 
 
@@ -73,3 +74,11 @@ def test_domain_codes_match_dense_codes(spark):
     got = sorted(((r.x or ""), r.k) for r in domain_codes(df, "x", "k", ["e", "d", "c", "b", "a"]).collect())
     want = sorted(((r.x or ""), r.k) for r in dense_codes(df, "x", "k").collect())
     assert got == want == [("", None), ("a", 1), ("c", 2), ("c", 2), ("e", 3)]
+
+
+def test_small_inputs_take_the_window_path(spark):
+    df = _data(spark, n=500, seed=21)
+    got = sequence_index(df, ["v", "id"], groups=["g"], name="ix")
+    w = Window.partitionBy("g").orderBy("v", "id")
+    want = df.withColumn("ix", F.row_number().over(w) - 1)
+    assert sorted((r.id, r.ix) for r in got.collect()) == sorted((r.id, r.ix) for r in want.collect())

@@ -108,21 +108,36 @@ def _run_numbering(groups: list[str], columns: list[str]):
     return number
 
 
+# Inputs with at most this many rows (counted, so the bound is proven) are numbered by a
+# plain window; a task sorting this many rows is cheap.
+SMALL_ROWS = 100_000
+
+
 def sequence_index(
     df: DataFrame,
     order: Sequence[Column | str],
     groups: Sequence[str] = (),
     name: str = "_idx",
     slices: int | None = None,
+    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """Add ``name``: 0-based position of each row within its group, by ``order``.
 
     Equivalent to ``row_number() over (partition by groups order by order) - 1``
-    (ties get distinct consecutive numbers), with one shuffle and no group ever
-    processed by a single task.  Group keys are compared null-safely.
+    (ties get distinct consecutive numbers), with no group ever processed by a
+    single task.  Group keys are compared null-safely.
+
+    The input is materialised first, so its upstream runs once (range
+    partitioning samples its input in a job of its own).  Its row count then
+    comes from the Parquet footers: up to ``small_rows`` rows a window does the
+    numbering; beyond that the rows take one range shuffle and the slice pass.
     """
     groups = list(groups)
     keys = [F.col(g) for g in groups] + [F.col(o) if isinstance(o, str) else o for o in order]
+    df = checkpointed(df)
+    if small_rows and df.count() <= small_rows:
+        w = Window.partitionBy(*groups).orderBy(*keys[len(groups):])
+        return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
     # Without an explicit slice count AQE may merge adjacent small ranges; merged
     # slices stay in range order, which is all the numbering relies on.
     ranged = df.repartitionByRange(slices, *keys) if slices else df.repartitionByRange(*keys)
