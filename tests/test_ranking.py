@@ -82,3 +82,9 @@ def test_small_inputs_take_the_window_path(spark):
     w = Window.partitionBy("g").orderBy("v", "id")
     want = df.withColumn("ix", F.row_number().over(w) - 1)
     assert sorted((r.id, r.ix) for r in got.collect()) == sorted((r.id, r.ix) for r in want.collect())
+
+
+def test_checkpoint_dir_is_reused_within_a_session(spark):
+    from vitaplate.session import ensure_checkpoint_dir
+
+    assert ensure_checkpoint_dir(spark) == ensure_checkpoint_dir(spark)

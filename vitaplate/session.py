@@ -35,8 +35,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder for checkpoints and materialised tables.
 
     The cluster names it in ``spark.checkpoint.dir`` (or the context already has
-    one); that is always used.  Only when nothing is configured (local tests, a
-    bare local session) is a scratch folder of our own created, once per session.
+    one); that is always used.  Only a local-mode session with nothing configured
+    (tests, a bare local session) gets a scratch folder of our own, once per
+    session; on a cluster a missing setting is an error.
     """
     configured = None
     try:
@@ -51,6 +52,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not configured and sc is not None:
         configured = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        master = ""
+        try:
+            master = spark.conf.get("spark.master", "") or (sc.master if sc is not None else "")
+        except Exception:  # noqa: BLE001
+            master = sc.master if sc is not None else ""
+        if master and not master.startswith("local"):
+            # A machine-local folder would vanish with its executor: the cluster must name a shared one.
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS or an object store)")
         key = id(spark)
         if key not in _LOCAL_DIRS:
             _LOCAL_DIRS[key] = tempfile.mkdtemp(prefix="vitaplate-ckpt-")
