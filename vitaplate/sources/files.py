@@ -49,6 +49,30 @@ def first_line(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
     return (line or "").lstrip("﻿")
 
 
+def header_lines(spark: SparkSession, files: list[str]) -> dict[str, str]:
+    """First line of every file, found by one distributed pass instead of a driver loop.
+
+    Lines read from a split arrive in file order, so within the split that
+    starts at byte 0 the smallest ``monotonically_increasing_id`` is the first
+    line; ``min_by`` keeps it with partial aggregation.  One short string per
+    file comes back to the driver (metadata, bounded by the number of files).
+    """
+    text = spark.read.text(files).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.col("value"),
+        F.monotonically_increasing_id().alias("_mid"),
+    )
+    firsts = text.where(F.col("start") == 0).groupBy("path").agg(F.min_by("value", "_mid").alias("header"))
+    found = {r.path: (r.header or "").lstrip("\ufeff") for r in firsts.collect()}
+    # Paths come back URI-qualified; map them to the listed names.
+    out = {}
+    for f in files:
+        key = f if f in found else next((p for p in found if p.endswith(f.split(":", 1)[-1])), None)
+        out[f] = found.get(key, "") if key else ""
+    return out
+
+
 def _normalise_headers(df: DataFrame) -> DataFrame:
     """Drop Live/Dead words and a leading "- " from every header."""
     return df.toDF(*[strip_leading_dash(strip_call_words(c)) for c in df.columns])
@@ -66,8 +90,8 @@ def read_experiments(spark: SparkSession, root: str, fmt: str = "csv") -> DataFr
         raise FileNotFoundError(f"no {fmt} sheets under {root}")
     if fmt == "csv":
         by_header: dict[str, list[str]] = {}
-        for f in files:
-            by_header.setdefault(first_line(spark, f), []).append(f)
+        for f, header in header_lines(spark, files).items():
+            by_header.setdefault(header, []).append(f)
         parts = [
             _normalise_headers(spark.read.option("header", True).option("inferSchema", False).csv(fs))
             .withColumn("_path", F.col("_metadata.file_path"))
