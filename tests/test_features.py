@@ -108,3 +108,20 @@ def test_header_rules():
     assert syntactic_name("1st") == "X1st"
     assert survey_header("Organoid A-15 (A.15)") == "A.15"
     assert clean_feature_label("Region.Area.1.2.1.px", dotted=True) == "Area 1.2"
+
+
+def test_column_distance_matches_long_form(spark):
+    rnd = np.random.default_rng(9)
+    rows = []
+    for s in range(60):
+        vals = rnd.normal(size=5)
+        rows.append((f"s{s}", *[None if (s + j) % 11 == 0 else float(v) for j, v in enumerate(vals)]))
+    cols = ["a", "b", "c", "d", "e"]
+    wide = spark.createDataFrame(rows, "sample string, " + ", ".join(f"{c} double" for c in cols))
+    got = {(r.feature_a, r.feature_b): (r.distance, r.n_samples) for r in FT.column_distance(wide, cols).collect()}
+    long = wide.unpivot(["sample"], cols, "variable", "scaled")
+    want = {(r.feature_a, r.feature_b): (r.distance, r.n_samples) for r in FT.feature_distance(long, cols).collect()}
+    assert got.keys() == want.keys() and len(got) == 10
+    for key in got:
+        assert got[key][1] == want[key][1]
+        assert math.isclose(got[key][0], want[key][0], rel_tol=1e-9)

@@ -13,6 +13,9 @@ from __future__ import annotations
 
 import math
 from itertools import combinations
+
+import numpy as np
+import pandas as pd
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -150,6 +153,67 @@ def feature_distance(matrix: DataFrame, labels: Sequence[str], value: str = "sca
     return sums.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def _gram_partials(columns: list[str]):
+    k = len(columns)
+
+    def partial(batches):
+        s = np.zeros((k, k))   # sum of x_i * x_j over rows where both are present
+        q = np.zeros((k, k))   # sum of x_i^2 over rows where x_j is present too
+        n = np.zeros((k, k))   # rows where both are present
+        rows = 0
+        for pdf in batches:
+            x = pdf[columns].to_numpy(dtype=float)
+            m = ~np.isnan(x)
+            x0, mf = np.where(m, x, 0.0), m.astype(float)
+            s += x0.T @ x0
+            q += (x0 * x0).T @ mf
+            n += mf.T @ mf
+            rows += len(pdf)
+        yield pd.DataFrame({"parts": [np.concatenate([s.ravel(), q.ravel(), n.ravel()])], "rows": [rows]})
+
+    return partial
+
+
+def column_distance(wide: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """T12 on a wide numeric matrix (one row per sample): Euclidean distance between columns.
+
+    Same rule as :func:`feature_distance` (pairs with a missing side skipped,
+    sum scaled by samples / usable samples), for many columns, e.g. the 64
+    positions of an embedding.  Each task folds its rows into three k x k
+    matrices with numpy (a map-side combine); Spark sums the matrices of all
+    tasks by position.  Nothing grows with the rows but one partial per task,
+    and no pair rows are emitted.
+    """
+    columns = sorted(columns)
+    k = len(columns)
+    sel = wide.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
+    partials = sel.mapInPandas(_gram_partials(columns), "parts array<double>, rows long")
+    totals = partials.select(F.posexplode("parts").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v"))
+    n_rows = partials.select(F.sum("rows")).scalar()
+    spark = wide.sparkSession
+    # Pair index table: k*(k-1)/2 rows, bounded by the schema.
+    pairs = spark.range(k * k).select((F.col("id") / k).cast("int").alias("i"), (F.col("id") % k).cast("int").alias("j"))
+    pairs = pairs.where(F.col("i") < F.col("j")).withColumns({
+        "_s": F.col("i") * k + F.col("j"),
+        "_qij": F.lit(k * k) + F.col("i") * k + F.col("j"),
+        "_qji": F.lit(k * k) + F.col("j") * k + F.col("i"),
+        "_n": F.lit(2 * k * k) + F.col("i") * k + F.col("j"),
+    })
+    out = pairs
+    for key in ("_s", "_qij", "_qji", "_n"):
+        t = totals.select(F.col("pos").alias(key), F.col("v").alias(key + "_v"))
+        out = out.join(F.broadcast(t), key)  # 3 k^2 rows: bounded by the schema
+    sumsq = F.greatest(F.col("_qij_v") + F.col("_qji_v") - 2 * F.col("_s_v"), F.lit(0.0))
+    n = F.col("_n_v")
+    labels = F.array(*[F.lit(c) for c in columns])
+    return out.select(
+        F.element_at(labels, F.col("i") + 1).alias("feature_a"),
+        F.element_at(labels, F.col("j") + 1).alias("feature_b"),
+        F.when(n > 0, F.sqrt(sumsq * n_rows / n)).alias("distance"),
+        n.cast("long").alias("n_samples"),
+    )
+
+
 GRID_POINTS = 512  # density grid size of the violin layer
 GRID_CUT = 3.0     # grid extends this many bandwidths beyond the data (untrimmed violins)
 

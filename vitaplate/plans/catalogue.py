@@ -135,6 +135,14 @@ def feature_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(FT.feature_distance(hm, list(FT.label_map(feats).values())))
 
 
+def embedding_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T12 on the embeddings: distances between the 64 vector positions over all vectors."""
+    emb = read_table(spark, sf_dir, "embeddings")
+    dims = [f"d{i + 1:02d}" for i in range(64)]
+    wide = emb.select(*[F.try_element_at("embedding", F.lit(i + 1)).cast("double").alias(d) for i, d in enumerate(dims)])
+    return rounded(FT.column_distance(wide, dims))
+
+
 def feature_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Violin densities of day-3 features per compound and patient (R2 melt with inferred ids)."""
     wide = W.with_well_key(S.objects_wide(spark, sf_dir)).where(F.col("day") == 3)
@@ -287,6 +295,7 @@ def queries() -> dict[str, Query]:
         "feature_heatmap_z": feature_heatmap_z,
         "feature_heatmap_rms": feature_heatmap_rms,
         "feature_distance": feature_distance,
+        "embedding_distance": embedding_distance,
         "feature_density": feature_density,
         "tracked_cohort": tracked_cohort,
         "transition_links": transition_links,

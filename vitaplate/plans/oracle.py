@@ -395,6 +395,15 @@ def oracle_sql() -> dict[str, str]:
         "feature_heatmap_rms": sql_rounded(_q(OBJECTS, hm_rms, body="SELECT * FROM hm"),
                                            ["concentration", "mean_val", "scaled"]),
         "feature_distance": sql_rounded(_distance(), ["distance"]),
+        "embedding_distance": sql_rounded("""
+            WITH l AS (SELECT vec_id, CAST(g.range AS INTEGER) AS i, CAST(embedding[g.range] AS DOUBLE) AS x
+                       FROM embeddings CROSS JOIN range(1, 65) g),
+                 pr AS (SELECT a.i AS i, b.i AS j, a.x - b.x AS d FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.i < b.i)
+            SELECT printf('d%02d', i) AS feature_a, printf('d%02d', j) AS feature_b,
+                   CASE WHEN count(d) > 0 THEN sqrt(sum(d * d) * (SELECT count(*) FROM embeddings) / count(d)) END
+                       AS distance,
+                   count(d) AS n_samples
+            FROM pr GROUP BY i, j""", ["distance"]),
         "feature_density": sql_rounded(_density(), ["x", "density", "scaled"]),
         "tracked_cohort": sql_rounded(_q(VISITS, COHORT, body="SELECT * FROM cohort"), ["intensity"]),
         "transition_links": _q(VISITS, COHORT, LINKS, body="SELECT * FROM links"),
