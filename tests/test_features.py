@@ -125,3 +125,11 @@ def test_column_distance_matches_long_form(spark):
     for key in got:
         assert got[key][1] == want[key][1]
         assert math.isclose(got[key][0], want[key][0], rel_tol=1e-9)
+
+
+def test_rms_of_an_all_zero_feature_is_missing(spark):
+    long = spark.createDataFrame([("s1", "z", 0.0), ("s2", "z", 0.0), ("s1", "a", 3.0), ("s2", "a", 4.0)],
+                                 "sample string, variable string, mean_val double")
+    got = {(r.sample, r.variable): r.scaled for r in FT.rms_scale(long).collect()}
+    assert got[("s1", "z")] is None and got[("s2", "z")] is None
+    assert math.isclose(got[("s1", "a")], 3.0 / 5.0) and math.isclose(got[("s2", "a")], 4.0 / 5.0)

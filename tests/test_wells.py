@@ -77,3 +77,17 @@ def test_curve_extents_rules(spark):
     got = {r.patient: (r.y_min, r.y_max, r.n_days) for r in W.curve_extents(curves).collect()}
     assert got["P"] == (0.0, 1.4, 2)  # 1.41 < 2 -> one decimal, half-even
     assert got["Q"] == (0.0, 4.0, 2)  # 3.1 >= 2 -> ceiling
+
+
+def test_single_replicate_and_dead_only_condition(spark):
+    wells = spark.createDataFrame(
+        [("P", "A", 1.0, 0, 3, 1), ("P", "A", 1.0, 2, 1, 1),        # one well per day: sd is missing
+         ("P", "D", 2.0, 0, 0, 4), ("P", "D", 2.0, 2, 0, 2)],       # Dead objects only
+        "patient string, compound string, concentration double, day int, live long, dead long",
+    )
+    got = {(r.compound, r.day): (r.n_wells, r.live_mean, r.live_sd, r.nlive) for r in
+           W.normalise_viability(wells).collect()}
+    assert got[("A", 0)] == (1, 0.75, None, 1.0)
+    assert got[("A", 2)] == (1, 0.5, None, 0.5 / 0.75)
+    # proportion 0 on the baseline day: 0/0 is missing, not an error
+    assert got[("D", 0)] == (1, 0.0, None, None) and got[("D", 2)] == (1, 0.0, None, None)
