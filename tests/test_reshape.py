@@ -96,10 +96,10 @@ def test_infer_numeric(spark):
 
 
 def test_recode_unlisted_is_null(spark):
-    df = spark.createDataFrame([("experimental",), ("Harmony",), ("other",)], "g string")
-    out = C.recode(df, "g", ["experimental", "Majority", "Harmony", "DRAQ7"], ["Experts", "Majority", "ML", "DRAQ7"])
+    df = spark.createDataFrame([("panel",), ("imaging",), ("other",)], "g string")
+    out = C.recode(df, "g", ["panel", "Majority", "imaging", "dye"], ["Panel", "Majority", "Image", "Dye"])
     got = {r.g: (r.g_label, r.g_rank) for r in out.collect()}
-    assert got == {"experimental": ("Experts", 1), "Harmony": ("ML", 3), "other": (None, None)}
+    assert got == {"panel": ("Panel", 1), "imaging": ("Image", 3), "other": (None, None)}
 
 
 def test_split_and_link_group(spark):
