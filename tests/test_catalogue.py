@@ -95,3 +95,18 @@ def test_query_types_match_oracle(spark, duck, name):
     got = {f.name: _TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
     want = {r[0]: r[1] for r in duck.execute(f"DESCRIBE {ORACLE[name]}").fetchall()}
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["dose_response_ratio", "plate_normalised", "assay_concordance", "feature_heatmap_rms"])
+def test_same_results_with_ansi_mode_off(spark, duck, name):
+    old = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        df = QUERIES[name](spark, SF_SMALL)
+        cols = sorted(df.columns)
+        got = Counter(tuple(_norm(r[c]) for c in cols) for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", old)
+    rel = duck.execute(ORACLE[name])
+    idx = {d[0]: i for i, d in enumerate(rel.description)}
+    assert got == Counter(tuple(_norm(r[idx[c]]) for c in cols) for r in rel.fetchall())
