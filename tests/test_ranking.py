@@ -88,3 +88,17 @@ def test_checkpoint_dir_is_reused_within_a_session(spark):
     from vitaplate.session import ensure_checkpoint_dir
 
     assert ensure_checkpoint_dir(spark) == ensure_checkpoint_dir(spark)
+
+
+def test_release_materialised_removes_only_own_tables(spark):
+    import os
+
+    from vitaplate.functions.ranking import checkpointed, release_materialised
+
+    release_materialised(spark)  # forget tables of earlier tests
+    t = checkpointed(spark.range(10))
+    assert t.count() == 10
+    path = t.inputFiles()[0].split("/part-")[0].replace("file:", "")
+    assert os.path.isdir(path)
+    assert release_materialised(spark) == 1
+    assert not os.path.exists(path)

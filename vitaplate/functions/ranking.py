@@ -39,9 +39,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _WRITTEN.setdefault(id(spark), []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_WRITTEN: dict[int, list[str]] = {}
+
+
+def release_materialised(spark) -> int:
+    """Delete the tables this session materialised with :func:`checkpointed`; returns how many.
+
+    Call it once the results built on them have been written or collected.  Deletion goes
+    through Hadoop's FileSystem, so it works for HDFS and object stores alike.
+    """
+    paths = _WRITTEN.pop(id(spark), [])
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        hp.getFileSystem(conf).delete(hp, True)
+    return len(paths)
+
+
 def _plain(v):
     """Hashable, null-safe form of one key value (NaN and None are the same missing value)."""
     if v is None or v is pd.NaT:
