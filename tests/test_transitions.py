@@ -69,3 +69,13 @@ def test_groups_are_counted_separately(spark):
     links = TR.transition_links(TR.tracked_cohort(_visits(spark, rows)))
     assert sorted((r.compound, r.stage, r["count"]) for r in links.collect()) == [
         ("Media", 1, 1), ("Media", 2, 1), ("Media", 3, 1), ("STA", 1, 1), ("STA", 2, 1), ("STA", 3, 1)]
+
+
+def test_custom_stages(spark):
+    LL, DD = (1, 1), (0, 0)
+    rows = _obj("a", [0, 1, 2, 3, 7], [LL, DD, LL, DD, LL]) + _obj("b", [0, 1, 2, 3, 7], [LL, LL, DD, DD, LL])
+    cohort = TR.tracked_cohort(_visits(spark, rows), drop_day=-1)  # keep day 2
+    links = TR.transition_links(cohort, stages=((2, 1, 2), (4, 3, 7)))
+    got = sorted((r.stage, r.source, r.target, r["count"]) for r in links.collect())
+    assert got == [(1, "1_D-ML_D-VD", "2_L-ML_L-VD", 1), (1, "1_L-ML_L-VD", "2_D-ML_D-VD", 1),
+                   (2, "3_D-ML_D-VD", "7_L-ML_L-VD", 2)]

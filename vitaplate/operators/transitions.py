@@ -91,10 +91,10 @@ def tracked_cohort(
     return coded.where(F.col(day) != drop_day).select(obj, day, "status", "status_num", *carry, group).distinct()
 
 
-def _stage_table(spark) -> DataFrame:
-    # Three fixed rows: safe to broadcast.
+def _stage_table(spark, stages) -> DataFrame:
+    # One row per stage, given by the caller: a fixed, tiny table, safe to broadcast.
     return F.broadcast(spark.createDataFrame(
-        [(i + 1, pos, d0, d1) for i, (pos, d0, d1) in enumerate(STAGES)],
+        [(i + 1, pos, d0, d1) for i, (pos, d0, d1) in enumerate(stages)],
         "stage int, _pos int, _d0 long, _d1 long",
     ))
 
@@ -109,26 +109,30 @@ def link_table(
     group: str = "compound",
     day: str = "day",
     tiebreak: tuple[str, ...] = ("status", "intensity"),
+    stages: tuple[tuple[int, int, int], ...] = STAGES,
 ) -> DataFrame:
     """Per group, how many objects go from (day, state) at visit i to (day', state') at visit i+1.
 
+    ``stages`` lists (source visit position, its day, the next visit's day).
     Visit positions follow ``day`` (then ``tiebreak`` for a stable order).  Only
-    the first four visits matter, and ``row_number() <= 4`` lets Spark keep at
-    most four rows per object on the map side before the shuffle.  Output rows
+    the visits the stages name matter (the first four by default), and a
+    ``row_number() <=`` filter lets Spark keep that many rows per object on the
+    map side before the shuffle.  Output rows
     are ordered per group by stage, source state code descending and target
     state code ascending (``link_order``); pairs that never occur are absent.
     """
     spark = cohort.sparkSession
     w = Window.partitionBy(group, obj).orderBy(F.col(day).asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in tiebreak])
-    first4 = cohort.withColumn("_pos", F.row_number().over(w)).where(F.col("_pos") <= 4)
+    last = max(pos for pos, _, _ in stages) + 1  # the latest visit any stage looks at
+    first4 = cohort.withColumn("_pos", F.row_number().over(w)).where(F.col("_pos") <= last)
     paired = first4.withColumns({
         "_next_day": F.lead(day).over(w),
         "_next_status": F.lead("status").over(w),
     }).where(F.col("_next_day").isNotNull())
-    stages = _stage_table(spark)
+    st = _stage_table(spark, stages)
     hits = paired.join(
-        stages,
-        (paired["_pos"] == stages["_pos"]) & (paired[day] == stages["_d0"]) & (paired["_next_day"] == stages["_d1"]),
+        st,
+        (paired["_pos"] == st["_pos"]) & (paired[day] == st["_d0"]) & (paired["_next_day"] == st["_d1"]),
     )
     links = hits.groupBy(group, "stage", F.col("status").alias("src_state"), F.col("_next_status").alias("tgt_state"),
                          F.col(day).alias("src_day"), F.col("_next_day").alias("tgt_day")).agg(
@@ -138,7 +142,7 @@ def link_table(
         "source": F.concat_ws("_", F.col("src_day").cast("string"), F.col("src_state")),
         "target": F.concat_ws("_", F.col("tgt_day").cast("string"), F.col("tgt_state")),
     })
-    # At most 48 links per group: a per-group window is bounded.
+    # At most 16 links per stage and group: a per-group window is bounded.
     order = Window.partitionBy(group).orderBy("stage", F.col("src_code").desc(), F.col("tgt_code").asc())
     links = links.withColumn("link_order", F.row_number().over(order).cast("int"))
     links = links.withColumn("group", link_group("source"))
@@ -151,10 +155,11 @@ def transition_links(
     group: str = "compound",
     day: str = "day",
     tiebreak: tuple[str, ...] = ("status", "intensity"),
+    stages: tuple[tuple[int, int, int], ...] = STAGES,
 ) -> DataFrame:
-    """T1, materialised: :func:`link_table` written once (at most 48 rows per group),
+    """T1, materialised: :func:`link_table` written once (at most 16 rows per stage and group),
     since nodes and node ids read it several times."""
-    return checkpointed(link_table(cohort, obj, group, day, tiebreak))
+    return checkpointed(link_table(cohort, obj, group, day, tiebreak, stages))
 
 
 def transition_nodes(links: DataFrame, group: str = "compound") -> DataFrame:
