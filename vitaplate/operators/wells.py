@@ -164,3 +164,10 @@ def curve_extents(curves: DataFrame, by: Sequence[str] = ("patient",), error_bar
     miny = F.coalesce(F.when(miny < 0, F.lit(0.0)).otherwise(F.floor(miny).cast("double")), F.lit(0.0))
     maxy = F.when(F.col("_hi") < 2, F.bround(F.col("_hi"), 1)).otherwise(F.ceil(F.col("_hi")).cast("double"))
     return g.select(*by, miny.alias("y_min"), maxy.alias("y_max"), F.col("n_days").cast("int").alias("n_days"))
+
+
+def curve_days(curves: DataFrame, by: Sequence[str] = ("patient",), day: str = "day") -> DataFrame:
+    """O3: the sorted distinct days of each curve plot (its x-axis breaks), with a 1-based rank."""
+    days = curves.select(*by, day).distinct()
+    ranked = sequence_index(days, [F.col(day).asc()], groups=list(by), name="_r")
+    return ranked.select(*by, day, (F.col("_r") + 1).cast("int").alias("day_rank"))

@@ -76,6 +76,12 @@ def curve_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(W.curve_extents(W.curve_table(norm, normalized=True), by=("patient",)))
 
 
+def curve_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O3 (A8 + O1): sorted distinct days of each patient's curve plot, ranked."""
+    norm = W.dose_response(S.objects(spark, sf_dir), metric="proportion")
+    return W.curve_days(W.curve_table(norm, normalized=True), by=("patient",))
+
+
 def dose_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1 + F2 + F4: named compound/dose conditions (OR of ANDs), day 0 excluded."""
     o = S.objects(spark, sf_dir)
@@ -289,6 +295,7 @@ def queries() -> dict[str, Query]:
         "treatment_order": treatment_order,
         "curve_table": curve_table,
         "curve_extents": curve_extents,
+        "curve_days": curve_days,
         "dose_filter": dose_filter,
         "feature_long": feature_long,
         "feature_heatmap_media": feature_heatmap_media,

@@ -386,6 +386,9 @@ def oracle_sql() -> dict[str, str]:
                                       body="SELECT * FROM ct"), ["val", "dev", "lower", "upper"]),
         "curve_extents": sql_rounded(_q(OBJECTS, WELL_COUNTS, _normalised("proportion"), treatments("norm", "tr"), CURVES,
                                         body=EXTENTS), ["y_min", "y_max"]),
+        "curve_days": _q(OBJECTS, WELL_COUNTS, _normalised("proportion"), treatments("norm", "tr"), CURVES, body="""
+            SELECT patient, day, CAST(row_number() OVER (PARTITION BY patient ORDER BY day) AS INTEGER) AS day_rank
+            FROM (SELECT DISTINCT patient, day FROM ct) d"""),
         "dose_filter": sql_rounded(_q(OBJECTS, body=DOSE_FILTER), ["concentration", "region_area"]),
         "feature_long": sql_rounded(_q(OBJECTS, body=_feature_long("compound = 'Media'")), ["concentration", "value"]),
         "feature_heatmap_media": sql_rounded(_q(OBJECTS, hm_media, body=(
