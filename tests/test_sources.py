@@ -128,3 +128,39 @@ def test_header_lines_match_first_line(spark, tmp_path):
     got = S.header_lines(spark, files)
     assert got == {f: S.first_line(spark, f) for f in files}
     assert sorted(got.values()) == [f"col{i},x" for i in range(5)]
+
+
+def test_read_experiments_from_parquet_exports(spark, tmp_path):
+    import pandas as pd
+
+    root = str(tmp_path / "pq")
+    os.makedirs(f"{root}/E1")
+    pd.DataFrame({"Display": ["1"], "Row": ["A"], "Compound": ["IRI"], "Concentration": ["20"]}) \
+        .to_parquet(f"{root}/E1/D0_Live.parquet")
+    pd.DataFrame({"Display": ["2"], "Row": ["B"], "Compound": ["media"], "Concentration": [None],
+                  "- Object ID": ["7"]}).to_parquet(f"{root}/E1/D3_Dead.parquet")
+    df = S.read_experiments(spark, root, fmt="parquet")
+    got = sorted((r.Display, r.ExpID, r.Day, r.LD, r["Object ID"]) for r in df.collect())
+    assert got == [("1", "E1", 0, "Live", None), ("2", "E1", 3, "Dead", "7")]
+
+
+def test_plate_layout_files_to_normalised_signal(spark, tmp_path):
+    from vitaplate.operators import assay as A
+
+    text = ("Compound,1,2,3,4\nA,ATP,ATP,media,IRI\nB,media,IRI,IRI,STA\n\n"
+            "Concentration,1,2,3,4\nA,0,0,,20\nB,,20,40,5\n\n"
+            "Signal,1,2,3,4\nA,10,12,111,61\nB,91,41,31,71\n")
+    _write(str(tmp_path / "plates" / "p1.csv"), text)
+    raw = S.read_plate_files(spark, str(tmp_path / "plates"))
+    plates = raw.select(
+        F.lit("p1").alias("plate"), F.lit(3).alias("day"), F.col("Compound").alias("compound"),
+        F.col("Concentration").try_cast("double").alias("concentration"),
+        F.col("Signal").try_cast("double").alias("signal"),
+    )
+    bg = A.subtract_background(plates)
+    got = {(r.compound, r.concentration): r.signal for r in bg.collect()}
+    assert got[("Media", None)] in (100.0, 80.0) and got[("IRI", 20.0)] in (50.0, 30.0)
+    norm = {(r.compound, r.concentration, r.day): (r.mean, r.norm_mean) for r in A.plate_normalised(bg).collect()}
+    assert norm[("Media", None, 3)] == (90.0, 1.0)          # (100 + 80) / 2, relative to itself
+    assert norm[("IRI", 20.0, 3)] == (40.0, 40.0 / 90.0)    # (50 + 30) / 2
+    assert norm[("STA", 5.0, 3)] == (60.0, 60.0 / 90.0)

@@ -99,8 +99,18 @@ def read_experiments(spark: SparkSession, root: str, fmt: str = "csv") -> DataFr
         ]
         df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     else:
-        df = _normalise_headers(spark.read.option("mergeSchema", True).parquet(*files)).withColumn(
-            "_path", F.col("_metadata.file_path"))
+        try:
+            df = _normalise_headers(spark.read.option("mergeSchema", True).parquet(*files))
+            df.schema  # noqa: B018 - forces the schema merge now
+            df = df.withColumn("_path", F.col("_metadata.file_path"))
+        except Exception:  # noqa: BLE001 - e.g. a column that is all-missing (null type) in one sheet
+            # Schemas that cannot be merged: read each sheet as text (S4) and bind by name.
+            parts = []
+            for f in files:
+                one = _normalise_headers(spark.read.parquet(f))
+                one = one.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in one.columns])
+                parts.append(one.withColumn("_path", F.col("_metadata.file_path")))
+            df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     folder = F.regexp_extract("_path", r"([^/]+)/[^/]+$", 1)
     sheet = F.regexp_extract("_path", r"([^/]+)\.[^./]+$", 1)
     return df.withColumns({
