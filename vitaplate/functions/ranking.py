@@ -138,7 +138,7 @@ def sequence_index(
     groups: Sequence[str] = (),
     name: str = "_idx",
     slices: int | None = None,
-    small_rows: int = SMALL_ROWS,
+    small_rows: int | None = None,
 ) -> DataFrame:
     """Add ``name``: 0-based position of each row within its group, by ``order``.
 
@@ -153,6 +153,7 @@ def sequence_index(
     """
     groups = list(groups)
     keys = [F.col(g) for g in groups] + [F.col(o) if isinstance(o, str) else o for o in order]
+    small_rows = SMALL_ROWS if small_rows is None else small_rows
     df = checkpointed(df)
     if small_rows and df.count() <= small_rows:
         w = Window.partitionBy(*groups).orderBy(*keys[len(groups):])
