@@ -9,7 +9,6 @@ through Hadoop's FileSystem (metadata only); rows are always read by Spark.
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 from typing import Sequence
 
@@ -179,11 +178,3 @@ def read_plate_files(spark: SparkSession, path: str) -> DataFrame:
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str] = ("exp_id", "day"), mode: str = "overwrite") -> None:
     """Parquet sink partitioned so experiment/day filters prune whole folders."""
     df.write.mode(mode).partitionBy(*by).parquet(path)
-
-
-def sheet_name(day: int, call: str) -> str:
-    """The file name stem of one exported sheet."""
-    name = f"D{day}_{call}"
-    if not re.match(SHEET_PATTERN, name):
-        raise ValueError(name)
-    return name
