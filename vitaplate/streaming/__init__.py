@@ -1,0 +1 @@
+"""Incremental ingestion of exported sheets with Structured Streaming."""
