@@ -164,3 +164,13 @@ def test_plate_layout_files_to_normalised_signal(spark, tmp_path):
     assert norm[("Media", None, 3)] == (90.0, 1.0)          # (100 + 80) / 2, relative to itself
     assert norm[("IRI", 20.0, 3)] == (40.0, 40.0 / 90.0)    # (50 + 30) / 2
     assert norm[("STA", 5.0, 3)] == (60.0, 60.0 / 90.0)
+
+
+def test_streaming_layout_from_existing_sheet(spark, tmp_path):
+    root = str(tmp_path / "incoming2")
+    _write(f"{root}/ExpA/D1_Dead.csv", "Display,Compound,Dead Region Area\n1,STA,3\n")
+    q = ingest(sheet_stream(spark, root), str(tmp_path / "out2"), checkpoint=str(tmp_path / "ckpt2"))
+    q.awaitTermination(120)
+    back = spark.read.parquet(str(tmp_path / "out2"))
+    assert back.count() == 1 and "Region Area" in back.columns
+    assert [(r.ExpID, r.Day, r.LD) for r in back.collect()] == [("ExpA", 1, "Dead")]

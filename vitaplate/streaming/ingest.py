@@ -10,6 +10,7 @@ which defaults to a folder under the cluster's ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import csv
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,16 +20,23 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vitaplate.functions.names import strip_call_words, strip_leading_dash
 from vitaplate.session import ensure_checkpoint_dir
-from vitaplate.sources.files import SHEET_PATTERN
+from vitaplate.sources.files import SHEET_PATTERN, header_lines, list_files
 
 
-def sheet_stream(spark: SparkSession, root: str, columns: list[str], max_files_per_trigger: int = 1000) -> DataFrame:
-    """Stream of sheet rows: the given (raw) header columns as text, plus ExpID, Day and LD.
+def sheet_stream(spark: SparkSession, root: str, columns: list[str] | None = None,
+                 max_files_per_trigger: int = 1000) -> DataFrame:
+    """Stream of sheet rows: the (raw) header columns as text, plus ExpID, Day and LD.
 
     All sheets of one stream share one layout (columns are matched by
     position, as a CSV reader does); layouts that differ belong in separate
-    streams or in the batch reader.
+    streams or in the batch reader.  Without ``columns`` the layout is taken
+    from the header of a sheet already present.
     """
+    if columns is None:
+        files = list_files(spark, f"{root.rstrip('/')}/*/*.csv")
+        if not files:
+            raise FileNotFoundError(f"no sheet under {root} to take the layout from; pass columns")
+        columns = next(csv.reader([next(iter(header_lines(spark, files[:1]).values()))]))
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     raw = (
         spark.readStream.schema(schema)
