@@ -174,3 +174,12 @@ def test_streaming_layout_from_existing_sheet(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out2"))
     assert back.count() == 1 and "Region Area" in back.columns
     assert [(r.ExpID, r.Day, r.LD) for r in back.collect()] == [("ExpA", 1, "Dead")]
+
+
+def test_folder_names_with_space_and_plus(spark, tmp_path):
+    root = str(tmp_path / "odd names")
+    _write(f"{root}/IRI 20+STA/D2_Live.csv", "Display,Compound\n1,IRI\n")
+    _write(f"{root}/IRI 20+STA/D2_Dead.csv", "Display,Compound,Extra\n2,STA,x\n")
+    df = S.read_experiments(spark, root)
+    got = sorted((r.ExpID, r.Day, r.LD, r.Display, r.Extra) for r in df.collect())
+    assert got == [("IRI 20+STA", 2, "Dead", "2", "x"), ("IRI 20+STA", 2, "Live", "1", None)]

@@ -12,7 +12,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,14 @@ from vitaplate.functions.names import strip_call_words, strip_leading_dash, surv
 SHEET_PATTERN = r"^D(\d+)_([^_/]+)$"
 
 
+def file_path() -> Column:
+    """The scanned file's path, decoded (Spark reports it URI-encoded: a space is "%20").
+
+    A literal "+" is escaped first, since URL decoding would read it as a space.
+    """
+    return F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -57,7 +65,7 @@ def header_lines(spark: SparkSession, files: list[str]) -> dict[str, str]:
     file comes back to the driver (metadata, bounded by the number of files).
     """
     text = spark.read.text(files).select(
-        F.col("_metadata.file_path").alias("path"),
+        file_path().alias("path"),
         F.col("_metadata.file_block_start").alias("start"),
         F.col("value"),
         F.monotonically_increasing_id().alias("_mid"),
@@ -93,7 +101,7 @@ def read_experiments(spark: SparkSession, root: str, fmt: str = "csv") -> DataFr
             by_header.setdefault(header, []).append(f)
         parts = [
             _normalise_headers(spark.read.option("header", True).option("inferSchema", False).csv(fs))
-            .withColumn("_path", F.col("_metadata.file_path"))
+            .withColumn("_path", file_path())
             for fs in by_header.values()
         ]
         df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -101,14 +109,14 @@ def read_experiments(spark: SparkSession, root: str, fmt: str = "csv") -> DataFr
         try:
             df = _normalise_headers(spark.read.option("mergeSchema", True).parquet(*files))
             df.schema  # noqa: B018 - forces the schema merge now
-            df = df.withColumn("_path", F.col("_metadata.file_path"))
+            df = df.withColumn("_path", file_path())
         except Exception:  # noqa: BLE001 - e.g. a column that is all-missing (null type) in one sheet
             # Schemas that cannot be merged: read each sheet as text (S4) and bind by name.
             parts = []
             for f in files:
                 one = _normalise_headers(spark.read.parquet(f))
                 one = one.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in one.columns])
-                parts.append(one.withColumn("_path", F.col("_metadata.file_path")))
+                parts.append(one.withColumn("_path", file_path()))
             df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     folder = F.regexp_extract("_path", r"([^/]+)/[^/]+$", 1)
     sheet = F.regexp_extract("_path", r"([^/]+)\.[^./]+$", 1)
@@ -157,7 +165,7 @@ def read_plate_files(spark: SparkSession, path: str) -> DataFrame:
     Returns (file, well, <one text column per block>).
     """
     raw = spark.read.option("wholetext", True).text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("ln", "line"))
+        file_path().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("ln", "line"))
     cells = raw.withColumn("cells", F.split("line", ","))
     is_header = (F.size("cells") > 1) & (F.trim(F.col("cells")[1]) == "1")
     w = Window.partitionBy("file").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)

@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vitaplate.functions.names import strip_call_words, strip_leading_dash
 from vitaplate.session import ensure_checkpoint_dir
-from vitaplate.sources.files import SHEET_PATTERN, header_lines, list_files
+from vitaplate.sources.files import SHEET_PATTERN, file_path, header_lines, list_files
 
 
 def sheet_stream(spark: SparkSession, root: str, columns: list[str] | None = None,
@@ -45,7 +45,7 @@ def sheet_stream(spark: SparkSession, root: str, columns: list[str] | None = Non
         .csv(f"{root.rstrip('/')}/*/*.csv")
     )
     df = raw.toDF(*[strip_leading_dash(strip_call_words(c)) for c in columns])
-    path = F.col("_metadata.file_path")
+    path = file_path()
     sheet = F.regexp_extract(path, r"([^/]+)\.[^./]+$", 1)
     return df.withColumns({
         "ExpID": F.regexp_extract(path, r"([^/]+)/[^/]+$", 1),
