@@ -79,3 +79,27 @@ def test_custom_stages(spark):
     got = sorted((r.stage, r.source, r.target, r["count"]) for r in links.collect())
     assert got == [(1, "1_D-ML_D-VD", "2_L-ML_L-VD", 1), (1, "1_L-ML_L-VD", "2_D-ML_D-VD", 1),
                    (2, "3_D-ML_D-VD", "7_L-ML_L-VD", 2)]
+
+
+def test_links_equal_brute_force_on_surrogate(spark):
+    from collections import Counter
+
+    from tests.conftest import SF_CHECK, SF_SMALL
+    from vitaplate.plans import surrogates as S
+
+    for sf in (SF_SMALL, SF_CHECK):
+        cohort = TR.tracked_cohort(S.visits(spark, sf))
+        rows = sorted((r.compound, r.id, r.day, r.status, r.intensity) for r in cohort.collect())
+        by_obj = {}
+        for comp, oid, day, status, inten in rows:
+            by_obj.setdefault((comp, oid), []).append((day, status))
+        want = Counter()
+        for (comp, _), visits in by_obj.items():
+            for stage, (pos, d0, d1) in enumerate(TR.STAGES, start=1):
+                if len(visits) > pos and visits[pos - 1][0] == d0 and visits[pos][0] == d1:
+                    s0, s1 = visits[pos - 1][1], visits[pos][1]
+                    if s0 != "0" and s1 != "0":
+                        want[(comp, stage, f"{d0}_{s0}", f"{d1}_{s1}")] += 1
+        links = TR.transition_links(cohort)
+        got = Counter({(r.compound, r.stage, r.source, r.target): r["count"] for r in links.collect()})
+        assert got == want and sum(want.values()) > 0
