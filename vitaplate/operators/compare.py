@@ -6,6 +6,7 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitaplate.operators.clean import split_pair, unique_by
 from vitaplate.operators.reshape import melt, restack, unify
@@ -72,7 +73,8 @@ def consensus_votes(
     observed).  In long form appending it is a union: its respondent label is
     new, so the natural full join of the reference adds exactly these rows.
     """
-    long = melt(survey, ids=list(ids), value_type=survey.schema[[c for c in survey.columns if c not in ids][0]].dataType)
+    # Answers are compared as text, whatever type each vote column was read with.
+    long = melt(survey, ids=list(ids), value_type=T.StringType())
     voters = long if voter_filter is None else long.where(voter_filter)
     major = majority_long(voters).select(
         F.lit(MAJORITY).alias(respondent), F.lit(MAJORITY).alias(grp), "variable", "value"
