@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitaplate.llm import decontaminate, fingerprint
+from vitaplate.llm import decontaminate, fingerprint, html_text, jaccard, mixing, pii, quality, token_files, toxicity
 from vitaplate.llm.common import table
 
 
@@ -22,14 +22,68 @@ def op2_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
+def op4_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return toxicity.digest(toxicity.score_toxicity(docs, model))
+
+
+def op5_line_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_text.digest(html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+
+
+def op6_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written as ORC files and read back."""
+    return token_files.encode_to_files(table(spark, sf_dir, "documents"))
+
+
+def op7_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under the shingle Jaccard join."""
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+def op8_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in all documents."""
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
+def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of all documents."""
+    return mixing.digest(mixing.curriculum(table(spark, sf_dir, "documents")))
+
+
+def op10_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    return quality.digest(quality.score_quality(docs, model))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator, and the pipeline."""
     return {
         "op1_quartile_digest": op1_quartile_digest,
         "op2_suffix_decontamination": op2_suffix_decontamination,
+        "op4_counterfactual_toxicity": op4_counterfactual_toxicity,
+        "op5_line_block_text": op5_line_block_text,
+        "op6_orc_tokens": op6_orc_tokens,
+        "op7_token_group_join": op7_token_group_join,
+        "op8_weak_supervision_pii": op8_weak_supervision_pii,
+        "op9_curriculum_mix": op9_curriculum_mix,
+        "op10_additive_quality": op10_additive_quality,
+        "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {}
+    return {"op9_curriculum_mix": mixing.ORACLE}
