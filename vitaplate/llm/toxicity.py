@@ -1,8 +1,8 @@
 """Toxicity: a counterfactual-regularised classifier.
 
-A logistic model over the distinct words of a text, learned by coordinate
-steps: a word gets a weight once its evidence passes what chance would give, and
-all such words are then fitted together.  Every learning text that
+A logistic model over the distinct words of a text, learned forward: the words
+with the strongest evidence, beyond what chance would give, get weights, all of
+which are fitted together before the next enter.  Every learning text that
 mentions an identity term gets counterfactual twins, the term swapped for the
 others of its kind; the loss adds a penalty on the squared change of the logit
 between twins.  So a term earns no weight of its own, and neutral mentions of a
@@ -41,12 +41,13 @@ FIT_ROWS = 20_000
 BITS = 20
 #: A word needs so many learning texts.
 LEAST_TEXTS = 4
-#: Score statistic (squared slope over curvature) that a word needs to get a weight; chance alone gives about 20 at most.
-ENTER = 25.0
-RIDGE = 1.0
+#: Score statistic (squared slope over curvature) that a word needs to get a weight.
+ENTER = 16.0
+RIDGE = 0.1
 SWAP_PENALTY = 1.0
-STEPS = 200
-RATE = 0.35
+#: Words that enter between two fits, and fits at most (a bound of the model's size).
+AT_ONCE = 10
+ROUNDS = 40
 
 
 def word_sets(step: C.TextStep) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +76,7 @@ class WordModel:
 
 
 def fit_words(sets: list[np.ndarray], y: np.ndarray, swap_penalty: float = SWAP_PENALTY, least: int = LEAST_TEXTS) -> WordModel:
-    """Damped coordinate Newton steps on log loss, ridge and the penalty on twins' logit changes.
+    """Forward selection, with Newton steps on log loss, ridge and the penalty on twins' logit changes.
 
     Without rows, or with one label only, the model is its prior.
     """
@@ -109,27 +110,43 @@ def fit_words(sets: list[np.ndarray], y: np.ndarray, swap_penalty: float = SWAP_
                 n += 1
     twin, away, to = (np.array(x, np.int64) for x in (twin, away, to))
 
-    w = np.zeros(len(used))
-    active = np.zeros(len(used), bool)
     rows = len(sets)
-    texts_with = np.bincount(col, minlength=len(used)) + 1.0
-    for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-(np.bincount(row, w[col], rows) + bias)))
-        slope = np.bincount(col, (y - p)[row], len(used)) - RIDGE * w
+    chosen: list[int] = []
+    w = np.zeros(0)
+    p = np.full(rows, prior)
+    for _ in range(ROUNDS):
+        rest = np.bincount(col, (y - p)[row], len(used))
         curve = np.bincount(col, (p * (1 - p))[row], len(used)) + RIDGE
-        if n:
-            change = np.bincount(twin, w[to] - w[away], n)[twin]
-            for place_, sign in ((to, -1), (away, 1)):
-                slope += sign * 2 * swap_penalty * np.bincount(place_, change, len(used))
-                curve += 2 * swap_penalty * np.bincount(place_, minlength=len(used))
-        # few words enter a round: the strongest take their share of the evidence first
-        evidence = np.where(active, 0, slope * slope / curve)
-        active |= evidence >= max(ENTER, evidence.max(initial=0) / 2)
-        # the words step together: bounded steps, and no step on vanishing curvature
-        step = RATE * slope / np.maximum(curve, 0.03 * texts_with)
-        w[active] += np.clip(step, -0.3, 0.3)[active]
-        bias += float(np.clip(RATE * (y - p).sum() / max((p * (1 - p)).sum(), 0.03 * rows), -0.3, 0.3))
-    weights[used] = w
+        if n:  # a lone step of a term changes all its twins
+            curve += 2 * swap_penalty * (np.bincount(to, minlength=len(used)) + np.bincount(away, minlength=len(used)))
+        evidence = rest * rest / curve
+        evidence[chosen] = 0
+        new = np.argsort(-evidence, kind="stable")[:AT_ONCE]
+        new = new[evidence[new] >= ENTER]
+        if not len(new):
+            break
+        chosen += new.tolist()
+        w = np.concatenate([w, np.zeros(len(new))])
+        at = np.full(len(used), -1, np.int64)
+        at[chosen] = np.arange(len(chosen))
+        x = np.zeros((rows, len(chosen) + 1), np.float64)
+        x[:, -1] = 1
+        mine = at[col] >= 0
+        x[row[mine], at[col[mine]]] = 1
+        d = np.zeros((n, len(chosen) + 1))
+        for side, sign in ((to, 1.0), (away, -1.0)):
+            mine = at[side] >= 0 if n else np.zeros(0, bool)
+            np.add.at(d, (twin[mine], at[side[mine]]), sign)
+        penalty = 2 * swap_penalty * (d.T @ d) + RIDGE * np.diag([1.0] * len(chosen) + [0.0])
+        full = np.append(w, bias)
+        for _ in range(12):
+            p = 1 / (1 + np.exp(-(x @ full)))
+            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty + 1e-6 * np.eye(len(full)), x.T @ (y - p) - penalty @ full)
+            full = full + np.clip(step, -2, 2)
+        w, bias = full[:-1], float(full[-1])
+        p = 1 / (1 + np.exp(-(x @ full)))
+    if chosen:
+        weights[used[chosen]] = w
     return WordModel(float(bias), weights)
 
 
