@@ -8,6 +8,8 @@ lookup skip stripes and row groups, and stripes are read in parallel.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -33,13 +35,47 @@ STRIPE_BYTES = 64 << 20
 FILE_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("shard", T.IntegerType())])
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary (fixed values): visible Latin-1 characters for themselves, the rest from U+0100 on."""
+    seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in seen]
+    return {b: chr(b) if b in seen else chr(256 + others.index(b)) for b in range(256)}
+
+
+_BYTE_LETTERS = _byte_letters()
+#: Words with the space before them, and full stops, commas and line ends on their own.
+_PIECE = re.compile(r" ?[^ \n.,]+|[.,\n ]")
+#: Where such pieces could belong together: marks next to other marks or after a space, white space in runs or of other kinds.
+_JOINED = re.compile(r"[^\s\w][.,]|[_ ][.,]|[.,](?:_|[^\w\s])|\s\s|[^\S \n]")
+
+
+class Recent(dict):
+    """Remembers what ``make`` gave for recent keys: at most two generations of ``size``."""
+
+    def __init__(self, make, size: int):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= REMEMBERED_LENGTH:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Encoder:
     """Whole texts to token ids, with the ids of recent pieces remembered.
 
-    The vocabulary's pre-tokeniser never lets a piece cross from a character to
-    a space that a visible character follows, so a text may be cut before each
-    such space and its parts encoded on their own.  A text with other white
-    space runs next to a cut is encoded whole.
+    The vocabulary's pre-tokeniser always cuts before a space that a visible
+    character follows, so a text is cut there and its parts are encoded on their
+    own; a text where white space follows a space is encoded whole.  It also cuts
+    between letters or digits and a lone full stop, comma or line end, so a part
+    that is new is cut there before it is encoded.
     """
 
     def __init__(self, path: str):
@@ -47,36 +83,42 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """Parts of the text that can be encoded on their own."""
-        first, *rest = text.split(" ")
-        if any(not p or p[0].isspace() for p in rest):
-            return [text]
-        return [first, *[" " + p for p in rest]] if first else [" " + p for p in rest]
+        self.model = self.tokenizer.model
+        self.fine = Recent(self._ids, REMEMBERED)
+        self.spaced = Recent(lambda part: self._cut(" " + part), REMEMBERED)
+
+    def _whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _ids(self, piece: str) -> bytes:
+        word = piece[1:] if piece[0] == " " else piece
+        if not word.isalpha():
+            return self._whole(piece)
+        # one word for the pre-tokeniser: straight to the vocabulary's merges
+        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _cut(self, part: str) -> bytes:
+        if _JOINED.search(part):
+            return self._whole(part)
+        return b"".join([self.fine[p] for p in _PIECE.findall(part)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Token ids of each text as little-endian 32-bit integers, END_ID after its last."""
-        parts = [self.pieces(t) for t in texts]
-        ids, missing = {}, []
-        for p in set(chain.from_iterable(parts)):
-            known = self.new.get(p) or self.old.get(p)
-            if known is None:
-                missing.append(p)
-            else:
-                ids[p] = known
-        ids.update(zip(missing, self._ids(missing), strict=True))
-        if len(self.new) + len(ids) > REMEMBERED:
-            self.old, self.new = self.new, {}
-        self.new.update((p, v) for p, v in ids.items() if len(p) <= REMEMBERED_LENGTH)
+        parts = [t.split(" ") for t in texts]
+        first = [p.pop(0) for p in parts]
+        wanted = set(chain.from_iterable(parts))
+        odd = {p for p in wanted if not p or p[0].isspace()}
+        ids = {p: self.spaced[p] for p in wanted - odd}
         end = END_ID.to_bytes(4, "little")
-        return [b"".join(map(ids.__getitem__, p)) + end for p in parts]
+        out = []
+        for text, start, rest in zip(texts, first, parts, strict=True):
+            if odd and not odd.isdisjoint(rest):
+                out.append(self._whole(text) + end)
+            else:
+                out.append(self._cut(start) + b"".join(map(ids.__getitem__, rest)) + end)
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
