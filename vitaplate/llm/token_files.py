@@ -25,8 +25,8 @@ from vitaplate.llm import common as C
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
-#: Pieces whose ids a worker remembers (two generations of this size at most).
-REMEMBERED = 250_000
+#: Parts whose ids a worker remembers.
+REMEMBERED = 300_000
 REMEMBERED_LENGTH = 40
 #: Rows between two entries of the row index.
 INDEX_STRIDE = 1000
@@ -43,39 +43,38 @@ def _byte_letters() -> dict[int, str]:
 
 
 _BYTE_LETTERS = _byte_letters()
-#: Words with the space before them, and full stops, commas and line ends on their own.
-_PIECE = re.compile(r" ?[^ \n.,]+|[.,\n ]")
-#: Where such pieces could belong together: marks next to other marks or after a space, white space in runs or of other kinds.
-_JOINED = re.compile(r"[^\s\w][.,]|[_ ][.,]|[.,](?:_|[^\w\s])|\s\s|[^\S \n]")
+#: What the pre-tokeniser makes of a part without its exceptions: letters, digits or marks, with the space before them, and line ends.
+_TOKEN = re.compile(r" ?[^\W\d_]+| ?[0-9]+| ?(?:[^\w\s]|_)+|\n")
+#: Its exceptions: clippings after an apostrophe, white space in runs or of other kinds.
+_EXCEPTION = re.compile(r"'|\s\s|[^\S \n]")
 
 
-class Recent(dict):
-    """Remembers what ``make`` gave for recent keys: at most two generations of ``size``."""
+def _kinds() -> bytes:
+    """A kind for each byte: a for letters, digits and parts of other characters, s for spaces, n for line ends, p for full stops and commas, m for marks, w for the rest."""
+    out = bytearray(b"w" * 32 + b"m" * 96 + b"a" * 128)
+    for c in range(128):
+        if chr(c).isalnum():
+            out[c] = ord("a")
+    out[0x20], out[0x0A], out[0x2E], out[0x2C], out[0x7F] = b"snppw"
+    return bytes(out)
 
-    def __init__(self, make, size: int):
-        super().__init__()
-        self.make, self.size, self.old = make, size, {}
 
-    def __missing__(self, key: str) -> bytes:
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= REMEMBERED_LENGTH:
-            if len(self) >= self.size:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
-        return value
+_KINDS = _kinds()
+#: Neighbours that the pre-tokeniser could join or treat apart.
+_MEETINGS = (b"w", b"ss", b"sn", b"ns", b"nn", b"mp", b"pp", b"pm", b"sp")
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
 class Encoder:
-    """Whole texts to token ids, with the ids of recent pieces remembered.
+    """Whole texts to token ids, with the ids of frequent parts remembered.
 
     The vocabulary's pre-tokeniser always cuts before a space that a visible
-    character follows, so a text is cut there and its parts are encoded on their
-    own; a text where white space follows a space is encoded whole.  It also cuts
-    between letters or digits and a lone full stop, comma or line end, so a part
-    that is new is cut there before it is encoded.
+    character follows, around a line end that stands alone, and before a full
+    stop or comma that no other mark touches.  A text is cut at all of these
+    places if such marks and spaces always stand alone in it, else before spaces;
+    a text where white space follows a space is encoded whole.  The parts are
+    encoded on their own: a new part without exceptions is cut further as the
+    pre-tokeniser does, and each piece goes straight to the vocabulary's merges.
     """
 
     def __init__(self, path: str):
@@ -83,44 +82,61 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model = self.tokenizer.model
-        self.fine = Recent(self._ids, REMEMBERED)
-        self.spaced = Recent(lambda part: self._cut(" " + part), REMEMBERED)
+        self.merges = self.tokenizer.model.tokenize
+        self.known: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _ids(self, piece: str) -> bytes:
-        word = piece[1:] if piece[0] == " " else piece
-        if not word.isalpha():
-            return self._whole(piece)
-        # one word for the pre-tokeniser: straight to the vocabulary's merges
-        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_LETTERS))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _token(self, piece: str) -> bytes:
+        ids = [t.id for t in self.merges(piece.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
-    def _cut(self, part: str) -> bytes:
-        if _JOINED.search(part):
+    def _part(self, part: str) -> bytes:
+        if part[1:].isalpha() and (part[0] == " " or part[0].isalpha()):
+            return self._token(part)
+        pieces = [] if _EXCEPTION.search(part) else _TOKEN.findall(part)
+        # digits of other scripts and numerals that are no letters are left to the library
+        if sum(map(len, pieces)) != len(part) or not all(map(_plain, pieces)):
             return self._whole(part)
-        return b"".join([self.fine[p] for p in _PIECE.findall(part)])
+        return b"".join(map(self._token, pieces))
+
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        """Parts of the text that can be encoded on their own."""
+        kinds = text.encode().translate(_KINDS)
+        alone = not any(m in kinds for m in _MEETINGS)
+        if alone and (text.isascii() or all(c.isalpha() for c in set(text) if c > "\x7f")):
+            marked = text.replace(" ", "\0 ").replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n\0")
+            return [p for p in marked.split("\0") if p]
+        first, *rest = text.split(" ")
+        if any(not p or p[0].isspace() for p in rest):
+            return [text]
+        return [first, *[" " + p for p in rest]] if first else [" " + p for p in rest]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Token ids of each text as little-endian 32-bit integers, END_ID after its last."""
-        parts = [t.split(" ") for t in texts]
-        first = [p.pop(0) for p in parts]
+        parts = [self.cut(t) for t in texts]
         wanted = set(chain.from_iterable(parts))
-        odd = {p for p in wanted if not p or p[0].isspace()}
-        ids = {p: self.spaced[p] for p in wanted - odd}
+        missing = wanted.difference(self.known)
+        if len(self.known) + len(missing) > REMEMBERED:  # what is in use stays
+            self.known = {p: self.known[p] for p in wanted - missing}
+        for p in missing:
+            self.known[p] = self._part(p)
         end = END_ID.to_bytes(4, "little")
-        out = []
-        for text, start, rest in zip(texts, first, parts, strict=True):
-            if odd and not odd.isdisjoint(rest):
-                out.append(self._whole(text) + end)
-            else:
-                out.append(self._cut(start) + b"".join(map(ids.__getitem__, rest)) + end)
+        out = [b"".join(map(self.known.__getitem__, p)) + end for p in parts]
+        for p in missing:
+            if len(p) > REMEMBERED_LENGTH:
+                del self.known[p]
         return out
 
 
+def _plain(piece: str) -> bool:
+    """Whether a piece is of one kind for the pre-tokeniser as well."""
+    return not piece[-1].isalnum() or piece.isascii() or piece.lstrip(" ").isalpha()
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
