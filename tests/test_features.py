@@ -133,3 +133,25 @@ def test_rms_of_an_all_zero_feature_is_missing(spark):
     got = {(r.sample, r.variable): r.scaled for r in FT.rms_scale(long).collect()}
     assert got[("s1", "z")] is None and got[("s2", "z")] is None
     assert math.isclose(got[("s1", "a")], 3.0 / 5.0) and math.isclose(got[("s2", "a")], 4.0 / 5.0)
+
+
+def test_distance_of_close_large_columns(spark):
+    """Two columns near 1e8 that differ by 0.01 over 50 rows."""
+    from vitaplate.operators.features import column_distance
+
+    df = spark.createDataFrame([(1e8 + i, 1e8 + i + 0.01) for i in range(50)], "`a.x` double, b double")
+    (r,) = column_distance(df, ["a.x", "b"]).collect()
+    assert abs(r.distance - 0.0707) < 1e-4 and r.n_samples == 50
+
+
+def test_quartiles_of_large_tied_groups(spark):
+    """Exact beyond the sketch's size, with two thirds of a group on one value."""
+    import numpy as np
+
+    from vitaplate.operators.features import group_quartiles
+
+    df = spark.range(60_000).selectExpr("if(id % 3 = 0, 'tied', 'spread') as g", "if(id % 3 = 0, if(id % 9 < 6, 0.0d, id * 0.5d), sin(id)) as value")
+    got = {r.g: (r.q1, r.q3) for r in group_quartiles(df, ["g"]).collect()}
+    rows = df.toPandas()
+    for g, part in rows.groupby("g"):
+        assert np.allclose(got[g], np.quantile(part["value"], [0.25, 0.75]), rtol=0, atol=1e-12)

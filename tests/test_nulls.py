@@ -46,9 +46,11 @@ def test_nan_is_missing(spark):
 
 
 def test_num_label_prints_like_r(spark):
-    df = spark.createDataFrame([(20.0,), (0.74,), (0.082,), (0.00001,), (100.0,), (0.0,), (None,), (2.5,)], "x double")
+    df = spark.createDataFrame([(20.0,), (0.74,), (0.082,), (0.00001,), (100.0,), (0.0,), (None,), (2.5,),
+                                (1e-7,), (2e-7,), (1e13,), (100000.0,), (123456.0,), (-0.5,), (12345678.25,), (0.00012,)], "x double")
     got = [r.t for r in df.select(num_label("x").alias("t")).collect()]
-    assert got == ["20", "0.74", "0.082", "0.00001", "100", "0", None, "2.5"]
+    assert got == ["20", "0.74", "0.082", "1e-05", "100", "0", None, "2.5",
+                   "1e-07", "2e-07", "1e+13", "1e+05", "123456", "-0.5", "12345678.25", "0.00012"]
 
 
 def test_key_concat_prints_na(spark):

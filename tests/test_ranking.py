@@ -7,7 +7,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from vitaplate.functions.ranking import dense_codes, sequence_index
+from vitaplate.functions.ranking import dense_codes, sequence_index, window_index
 
 
 def _data(spark, n=3000, seed=7):
@@ -21,7 +21,7 @@ def _data(spark, n=3000, seed=7):
 
 def test_grouped_index_matches_row_number(spark):
     df = _data(spark)
-    got = sequence_index(df, ["v", "id"], groups=["g"], name="ix", slices=7, small_rows=0)
+    got = sequence_index(df, ["v", "id"], groups=["g"], name="ix", slices=7)
     w = Window.partitionBy("g").orderBy("v", "id")
     want = df.withColumn("ix", F.row_number().over(w) - 1)
     a = sorted((r.id, r.ix) for r in got.select("id", "ix").collect())
@@ -31,7 +31,7 @@ def test_grouped_index_matches_row_number(spark):
 
 def test_global_index_is_a_permutation_in_order(spark):
     df = _data(spark, n=1000, seed=3)
-    got = sequence_index(df, [F.col("v").desc(), "id"], name="ix", slices=5, small_rows=0).collect()
+    got = sequence_index(df, [F.col("v").desc(), "id"], name="ix", slices=5).collect()
     got.sort(key=lambda r: r.ix)
     assert [r.ix for r in got] == list(range(1000))
     keys = [(-r.v, r.id) for r in got]
@@ -49,7 +49,7 @@ def test_index_survives_small_arrow_batches(spark):
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
     try:
-        got = sequence_index(df, ["v", "id"], groups=["g"], name="ix", slices=3, small_rows=0)
+        got = sequence_index(df, ["v", "id"], groups=["g"], name="ix", slices=3)
         a = sorted((r.id, r.ix) for r in got.select("id", "ix").collect())
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
@@ -60,10 +60,10 @@ def test_index_survives_small_arrow_batches(spark):
 
 def test_index_of_empty_and_single_group_inputs(spark):
     empty = spark.createDataFrame([], "g string, v int")
-    assert sequence_index(empty, ["v"], groups=["g"], small_rows=0).count() == 0
+    assert sequence_index(empty, ["v"], groups=["g"]).count() == 0
     assert sequence_index(empty, ["v"], groups=["g"]).count() == 0
     one = spark.createDataFrame([("a", i) for i in range(50)], "g string, v int")
-    got = sorted(r._idx for r in sequence_index(one, ["v"], groups=["g"], slices=6, small_rows=0).collect())
+    got = sorted(r._idx for r in sequence_index(one, ["v"], groups=["g"], slices=6).collect())
     assert got == list(range(50))
 
 
@@ -76,9 +76,9 @@ def test_domain_codes_match_dense_codes(spark):
     assert got == want == [("", None), ("a", 1), ("c", 2), ("c", 2), ("e", 3)]
 
 
-def test_small_inputs_take_the_window_path(spark):
+def test_window_index_numbers_alike(spark):
     df = _data(spark, n=500, seed=21)
-    got = sequence_index(df, ["v", "id"], groups=["g"], name="ix")
+    got = window_index(df, ["v", "id"], groups=["g"], name="ix")
     w = Window.partitionBy("g").orderBy("v", "id")
     want = df.withColumn("ix", F.row_number().over(w) - 1)
     assert sorted((r.id, r.ix) for r in got.collect()) == sorted((r.id, r.ix) for r in want.collect())
@@ -102,3 +102,21 @@ def test_release_materialised_removes_only_own_tables(spark):
     assert os.path.isdir(path)
     assert release_materialised(spark) == 1
     assert not os.path.exists(path)
+
+
+def test_tied_values_are_spread_over_slices(spark, monkeypatch):
+    """Two thirds of the rows share one group and one value; no slice gets much more than its share."""
+    from vitaplate.functions import ranking
+
+    written = []
+    plain = ranking.checkpointed
+    monkeypatch.setattr(ranking, "checkpointed", lambda df: written.append(plain(df)) or written[-1])
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 < 2, "hot").otherwise("cold").alias("g"),
+                                    F.when(F.col("id") % 3 < 2, 0).otherwise(F.col("id")).alias("v"))
+    got = sequence_index(df, ["v"], groups=["g"], name="ix", slices=10)
+    assert got.groupBy("g").agg(F.count("ix"), F.countDistinct("ix"), F.max("ix")).count() == 2
+    assert {(r.g, r.n, r.d, r.m) for r in got.groupBy("g").agg(
+        F.count("ix").alias("n"), F.countDistinct("ix").alias("d"), F.max("ix").alias("m")).collect()} == {
+        ("hot", 20_000, 20_000, 19_999), ("cold", 10_000, 10_000, 9_999)}
+    sizes = [r["count"] for r in written[1].where("_kind = 0").groupBy("_slice").count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 2 * 30_000 / 10

@@ -114,3 +114,23 @@ def test_split_and_link_group(spark):
 def test_seconds_to_days_half_even(spark):
     df = spark.createDataFrame([(129600.0,), (216000.0,), (0.0,), (None,)], "s double")  # 1.5, 2.5, 0 days
     assert [r.d for r in df.select(C.seconds_to_days("s").alias("d")).collect()] == [2, 2, 0, None]
+
+
+def test_restack_overwrites_its_columns(spark):
+    from vitaplate.operators.reshape import restack
+
+    df = spark.createDataFrame([("IRI", "old", "Live", "Dead", 1.0)], "compound string, treatment string, ld_VD string, ld_ML string, `Object.ID` double")
+    out = restack(df, "ld", "_VD", "_ML")
+    assert out.columns == ["compound", "Object.ID", "ld", "treatment", "assay"]
+    assert sorted(r.treatment for r in out.collect()) == ["IRI_ML", "IRI_VD"]
+
+
+def test_unify_with_dotted_names_and_known_collapse(spark):
+    from vitaplate.operators.reshape import unify
+
+    left = spark.createDataFrame([(1, 5, "a"), (2, 6, "b")], "k int, `Object.ID` int, `l.d` string")
+    right = spark.createDataFrame([(1, 5, "z")], "k int, `Object.ID` int, `l.d` string")
+    found = unify(left, right, "k", "_L", "_R")
+    told = unify(left, right, "k", "_L", "_R", collapse=["Object.ID"])
+    assert found.columns == told.columns == ["k", "Object.ID", "l.d_R", "l.d_L"]
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, told.collect())) == [(1, 5, "z", "a"), (2, None, None, "b")]

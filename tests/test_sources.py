@@ -50,7 +50,7 @@ def test_read_plate_files(spark, tmp_path):
     _write(str(tmp_path / "plates" / "p1.csv"), text)
     df = S.read_plate_files(spark, str(tmp_path / "plates"))
     got = {r.well: (r.Compound, r.Concentration, r.Signal) for r in df.collect()}
-    assert got["A01"] == ("IRI", "20", "100") and got["B01"] == ("media", None, "120") and len(got) == 6
+    assert got["A01"] == ("IRI", 20.0, 100.0) and got["B01"] == ("media", None, 120.0) and len(got) == 6
 
 
 def test_plate_wells_from_grid(spark):
@@ -100,10 +100,15 @@ def test_streaming_ingest_is_incremental(spark, tmp_path):
     assert "Region Area" in back.columns
 
 
+# Measurement headers of a tracked-object table, the unused ones invented.
+TRACKED_HEADERS = ["Tracked.Organoids.Selected.Selected..." + h for h in (
+    "Live", "Dead", "Count", "Dead..DRAQ7..", "Live..DRAQ7..", "Intensity.Nucleus.Mean.Smoothed.Mean")]
+
+
 def test_tracked_csv_to_transitions(spark, tmp_path):
     from vitaplate.operators import transitions as TR
 
-    hdr = ["Row", "Column", "Field", "Object.ID", "Compound", "Timepoint", "Time..s."] + list(TR.TRACKED_COLUMNS)
+    hdr = ["Row", "Column", "Field", "Object.ID", "Compound", "Timepoint", "Time..s."] + TRACKED_HEADERS
     lines = [",".join(hdr)]
     # one object, visits at 0, 1, 2 (1.5 days rounds to 2), 3 and 7 days; calls flip at day 1
     for i, secs in enumerate([0, 86400, 129600, 259200, 604800]):
@@ -183,3 +188,35 @@ def test_folder_names_with_space_and_plus(spark, tmp_path):
     df = S.read_experiments(spark, root)
     got = sorted((r.ExpID, r.Day, r.LD, r.Display, r.Extra) for r in df.collect())
     assert got == [("IRI 20+STA", 2, "Dead", "2", "x"), ("IRI 20+STA", 2, "Live", "1", None)]
+
+
+def test_na_cells_and_repeated_headers(spark, tmp_path):
+    _write(str(tmp_path / "s.csv"), "Time (s),Vote: A.1,Vote: A.1\n86400,1,NA\nNA,2,x\n")
+    df = S.read_tracked(spark, str(tmp_path / "s.csv"))
+    assert df.columns == ["Time..s.", "Vote..A.1", "Vote..A.1.1"]
+    assert [tuple(r) for r in df.collect()] == [(86400, 1, None), (None, 2, "x")]
+    from vitaplate.operators.clean import infer_numeric, seconds_to_days
+
+    assert [r.d for r in df.select(seconds_to_days(F.col("`Time..s.`")).alias("d")).collect()] == [1, None]
+    text = spark.createDataFrame([("1", "a"), ("NA", "NA"), ("2.5", "")], "`Object.ID` string, b string")
+    typed = infer_numeric(text)
+    assert dict(typed.dtypes) == {"Object.ID": "double", "b": "string"}
+    assert [r[0] for r in typed.collect()] == [1.0, None, 2.5]
+
+
+def test_wide_plates_keep_their_wells(spark, tmp_path):
+    grid = spark.createDataFrame([tuple(["A", *range(120)])], "r string, " + ", ".join(f"`{i}` int" for i in range(1, 121)))
+    wells = [r.well for r in S.plate_wells(grid, "r").collect()]
+    assert len(set(wells)) == 120 and {"A01", "A99", "A100", "A120"} <= set(wells)
+    head = ",".join(map(str, range(1, 121)))
+    _write(str(tmp_path / "w" / "p.csv"), f"Signal,{head}\nA," + ",".join(str(10 * i) for i in range(1, 121)) + "\n")
+    got = {r.well: r.Signal for r in S.read_plate_files(spark, str(tmp_path / "w"), blocks=["Signal"]).collect()}
+    assert len(got) == 120 and got["A120"] == 1200.0
+
+
+def test_unreadable_parquet_is_an_error(spark, tmp_path):
+    import pytest
+
+    _write(str(tmp_path / "x" / "E1" / "D0_Live.parquet"), "not parquet")
+    with pytest.raises(Exception, match="(?i)parquet|footer"):
+        S.read_experiments(spark, str(tmp_path / "x"), fmt="parquet").count()

@@ -91,3 +91,21 @@ def test_single_replicate_and_dead_only_condition(spark):
     assert got[("A", 2)] == (1, 0.5, None, 0.5 / 0.75)
     # proportion 0 on the baseline day: 0/0 is missing, not an error
     assert got[("D", 0)] == (1, 0.0, None, None) and got[("D", 2)] == (1, 0.0, None, None)
+
+
+def test_treatment_order_keeps_missing_compounds(spark):
+    from vitaplate.operators.wells import treatment_order
+
+    df = spark.createDataFrame([("Media", None), (None, None), ("STA", 5.0), ("IRI", 20.0), ("IRI", 1e-7), ("IRI", 2e-7)], "compound string, concentration double")
+    rows = treatment_order(df).orderBy("treatment_rank").collect()
+    assert [(r.compound, r.treatment, r.compound_rank) for r in rows] == [
+        ("Media", "Media", 1), ("STA", "STA_5", 2), (None, None, 3), ("IRI", "IRI_1e-07", 4), ("IRI", "IRI_2e-07", 4), ("IRI", "IRI_20", 4)]
+    assert {(r.n_compounds, r.n_controls) for r in rows} == {(4, 1)}
+
+
+def test_extents_below_zero(spark):
+    from vitaplate.operators.wells import curve_extents
+
+    df = spark.createDataFrame([("p", 1, -1.5, 3.2), ("p", 2, 0.5, 2.0)], "patient string, day int, lower double, upper double")
+    assert [tuple(r) for r in curve_extents(df, clamp=False).collect()] == [("p", -2.0, 4.0, 2)]
+    assert [tuple(r) for r in curve_extents(df).collect()] == [("p", 0.0, 4.0, 2)]

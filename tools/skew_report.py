@@ -84,7 +84,7 @@ def main() -> None:
         "well_measurements (objects -> wells)": lambda: W.well_measurements(W.with_well_key(hot_wells)),
         "unique_by (F9 on a repeated key)": lambda: C.unique_by(hot_uid, "uid")[0],
         "majority_long (A7 mode)": lambda: M.majority_long(votes),
-        "sequence_index (range path)": lambda: sequence_index(long, ["v"], groups=["g"], name="i", small_rows=0),
+        "sequence_index (range path)": lambda: sequence_index(long, ["v"], groups=["g"], name="i"),
         "contrast: row_number() window per group": lambda: long.withColumn(
             "i", F.row_number().over(Window.partitionBy("g").orderBy("v"))),
     }

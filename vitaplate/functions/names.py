@@ -14,19 +14,13 @@ from typing import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Id-like features dropped before feature analysis (spaced and dotted header styles).
+# Id-like features dropped before feature analysis (spaced headers; dotted ones have dots for spaces).
 ID_LIKE_FEATURES = (
     "Object ID",
     "Object No in Organoids",
     "Object No in Organoids Selected",
     "Object No in Organoids Selected Selected",
 )
-ID_LIKE_FEATURES_DOTTED = (
-    "Object.ID",
-    "Object.No.in.Organoids",
-    "Object.No.in.Organoids.Selected",
-    "Object.No.in.Organoids.Selected.Selected",
-)
 
 # Feature columns are those whose name contains one of these words (case-sensitive).
 FEATURE_NAME_PATTERN = "Region|Object"
@@ -64,6 +58,35 @@ def survey_header(name: str) -> str:
     return re.sub(r"^.*\.\.|X\.|\.$", "", syntactic_name(name))
 
 
+def quoted(name: str) -> Column:
+    """The column of that exact name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unique_names(names: Iterable[str]) -> list[str]:
+    """R ``make.unique``: repeats of a header get .1, .2, ... (the first keeps its name)."""
+    names = list(names)
+    taken, seen, out = set(names), {}, []
+    for n in names:
+        if n not in seen:
+            seen[n] = 0
+            out.append(n)
+            continue
+        while True:
+            seen[n] += 1
+            new = f"{n}.{seen[n]}"
+            if new not in taken:
+                break
+        taken.add(new)
+        out.append(new)
+    return out
+
+
+def is_id_like(name: str) -> bool:
+    """an id-like feature, in spaced or dotted header style."""
+    return name.replace(".", " ") in ID_LIKE_FEATURES
+
+
 def squish(text: str) -> str:
     return re.sub(r"\s+", " ", text).strip()
 
@@ -79,20 +102,6 @@ def clean_feature_label(name: str, dotted: bool = False) -> str:
     return re.sub(r"Region.", "", name)
 
 
-def clean_feature_col(variable: Column, dotted: bool = False) -> Column:
-    """Column form of :func:`clean_feature_label` for long tables."""
-    def _squish(c: Column) -> Column:
-        return F.trim(F.regexp_replace(c, r"\s+", " "))
-
-    v = variable
-    if dotted:
-        v = _squish(F.regexp_replace(v, r"\.", " "))
-        v = F.regexp_replace(F.regexp_replace(F.regexp_replace(v, " 1 px", ""), "1 2", "1.2"), "2 2", "2.2")
-    else:
-        v = _squish(F.regexp_replace(v, " 1 px", ""))
-    return F.regexp_replace(v, "Region.", "")
-
-
 def feature_columns(columns: Iterable[str], pattern: str = FEATURE_NAME_PATTERN) -> list[str]:
     """F3 at plan time: the columns whose name matches the feature pattern."""
     rx = re.compile(pattern)

@@ -64,12 +64,31 @@ def not_in_keep_null(x: ColumnOrName, values: Iterable) -> Column:
 def num_label(x: ColumnOrName) -> Column:
     """Shortest decimal text of a number, as R's ``paste`` prints it (§1.1-7).
 
-    20 -> "20", 0.74 -> "0.74", 1e-05 -> "0.00001"; six decimals are kept,
-    trailing zeros and a trailing dot dropped.  NULL stays NULL.
+    20 -> "20", 0.74 -> "0.74", 100000 -> "1e+05", 1e-07 -> "1e-07": the shortest
+    digits that read back as the same number (so different numbers never share a
+    label), in fixed notation unless scientific is shorter.  NULL stays NULL.
     """
-    text = _c(x).cast(T.DecimalType(18, 6)).cast(T.StringType())
-    text = F.when(F.instr(text, ".") > 0, F.regexp_replace(text, "0+$", "")).otherwise(text)
-    return F.regexp_replace(text, r"\.$", "")
+    x = _c(x).cast("double")
+    text = F.regexp_replace(F.abs(x).cast(T.StringType()), r"\.0(?=E|$)", "")
+    power = F.coalesce(F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+    whole = F.regexp_extract(text, r"^([0-9]+)", 1)
+    part = F.regexp_extract(text, r"\.([0-9]+)", 1)
+    digits = F.regexp_replace(F.concat(whole, part), "^0+|0+$", "")
+    # exponent of the first significant digit
+    zeros = F.length(F.regexp_extract(part, "^(0*)", 1))
+    e = power + F.when(whole == "0", -zeros - 1).otherwise(F.length(whole) - 1)
+    n = F.length(digits)
+    fixed = (
+        F.when(e >= n - 1, F.concat(digits, F.repeat(F.lit("0"), e - n + 1)))
+        .when(e >= 0, F.concat(F.substring(digits, F.lit(1), e + 1), F.lit("."), F.substring(digits, e + 2, n)))
+        .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits))
+    )
+    mantissa = F.concat(F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(""))
+    exponent = F.concat(F.when(e < 0, "e-").otherwise("e+"), F.when(F.abs(e) < 10, "0").otherwise(""), F.abs(e).cast("string"))
+    science = F.concat(mantissa, exponent)
+    label = F.when(F.length(fixed) <= F.length(science), fixed).otherwise(science)
+    label = F.when(text.rlike("^[0-9]"), F.when(digits == "", "0").otherwise(label)).otherwise(text)
+    return F.concat(F.when(x < 0, "-").otherwise(""), label)
 
 
 def text_or_na(x: ColumnOrName, dtype: T.DataType | None = None) -> Column:

@@ -1,9 +1,9 @@
-"""Ordinal numbering without funnelling a group through one task.
+"""Ordinal numbering: a plain window for dimension-sized tables, slices for the rest.
 
 ``row_number()`` over a window with no partition (or over a hot group) moves
 every row of that group into one task.  ``sequence_index`` gets the same
-numbers with one range shuffle on (group, order): a hot group is spread over
-many sorted slices.  One sequential pass per slice (Arrow batches through
+numbers with one range shuffle on (group, order, tie-breaker): a hot group, and a
+value that most of its rows share, are spread over many sorted slices.  One sequential pass per slice (Arrow batches through
 pandas) numbers the rows within each run of equal group keys and reports the
 slice's first and last run.  Only a slice's first run can continue a group from
 earlier slices, so a prefix sum over these summaries (at most two rows per
@@ -127,9 +127,15 @@ def _run_numbering(groups: list[str], columns: list[str]):
     return number
 
 
-# Inputs with at most this many rows (counted, so the bound is proven) are numbered by a
-# plain window; a task sorting this many rows is cheap.
-SMALL_ROWS = 100_000
+def window_index(df: DataFrame, order: Sequence[Column | str], groups: Sequence[str] = (), name: str = "_idx") -> DataFrame:
+    """Add ``name``: 0-based position within its group, by a plain window inside the plan.
+
+    For tables whose groups are bounded by a dimension (treatments, days): a
+    group is sorted by one task and nothing is written.  Rows of any number go
+    to :func:`sequence_index`.
+    """
+    w = Window.partitionBy(*groups).orderBy(*[F.col(o) if isinstance(o, str) else o for o in order])
+    return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
 
 
 def sequence_index(
@@ -138,30 +144,26 @@ def sequence_index(
     groups: Sequence[str] = (),
     name: str = "_idx",
     slices: int | None = None,
-    small_rows: int | None = None,
 ) -> DataFrame:
     """Add ``name``: 0-based position of each row within its group, by ``order``.
 
     Equivalent to ``row_number() over (partition by groups order by order) - 1``
     (ties get distinct consecutive numbers), with no group ever processed by a
-    single task.  Group keys are compared null-safely.
+    single task: rows take one range shuffle on (group, order, row number of the
+    materialised input), so that equal values are spread as well, and a pass
+    over each slice numbers them.  Group keys are compared null-safely.
 
-    The input is materialised first, so its upstream runs once (range
-    partitioning samples its input in a job of its own).  Its row count then
-    comes from the Parquet footers: up to ``small_rows`` rows a window does the
-    numbering; beyond that the rows take one range shuffle and the slice pass.
+    The input is materialised first: its upstream runs once (range partitioning
+    samples its input in a job of its own), and the row numbers that break ties
+    are those of the written files.
     """
     groups = list(groups)
-    keys = [F.col(g) for g in groups] + [F.col(o) if isinstance(o, str) else o for o in order]
-    small_rows = SMALL_ROWS if small_rows is None else small_rows
-    df = checkpointed(df)
-    if small_rows and df.count() <= small_rows:
-        w = Window.partitionBy(*groups).orderBy(*keys[len(groups):])
-        return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
+    df = checkpointed(df).withColumn("_tie", F.monotonically_increasing_id())
+    keys = [F.col(g) for g in groups] + [F.col(o) if isinstance(o, str) else o for o in order] + [F.col("_tie")]
     # Without an explicit slice count AQE may merge adjacent small ranges; merged
     # slices stay in range order, which is all the numbering relies on.
     ranged = df.repartitionByRange(slices, *keys) if slices else df.repartitionByRange(*keys)
-    sliced = ranged.sortWithinPartitions(*keys).withColumn("_slice", F.spark_partition_id())
+    sliced = ranged.sortWithinPartitions(*keys).drop("_tie").withColumn("_slice", F.spark_partition_id())
     columns = sliced.columns
     # Summary rows carry NULL outside the group keys, so every field is declared nullable.
     schema = T.StructType(

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitaplate.functions.nulls import ieee_div, mean_strict, nan_to_null, not_in_keep_null
-from vitaplate.functions.ranking import checkpointed
 from vitaplate.operators.clean import canonical_compound
 from vitaplate.operators.wells import with_treatments
 
@@ -50,33 +49,26 @@ def plate_normalised(bg: DataFrame, control: str = "Media", background: str = "A
         mean_strict(sig).alias("mean"),
         F.when(F.count(sig) == F.count(F.lit(1)), nan_to_null(F.stddev_samp(sig))).alias("sd"),
     )
-    # One row per treatment and day, read three times below: materialise it once.
-    per = checkpointed(per)
-    ctrl = (
-        per.where(F.col("compound") == control).groupBy("day").agg(mean_strict("mean").alias("_ctrl"))
-        .withColumnRenamed("day", "_cd")
-    )
-    out = per.join(ctrl, per["day"] == ctrl["_cd"], "left").drop("_cd")
+    # One row per treatment and day: the control's value is a window over those few rows.
+    is_ctrl = F.col("compound") == control
+    day = Window.partitionBy("day")
+    known = F.count(F.when(is_ctrl & F.col("mean").isNotNull(), 1)).over(day) == F.count(F.when(is_ctrl, 1)).over(day)
+    out = per.withColumn("_ctrl", F.when(known, F.avg(F.when(is_ctrl, F.col("mean"))).over(day)))
     out = out.withColumns({"norm_mean": ieee_div("mean", "_ctrl"), "norm_sd": ieee_div("sd", "_ctrl")}).drop("_ctrl")
     return with_treatments(out)
 
 
-# Treatments left out of the concordance plot, and the days kept.
-CONCORDANCE_EXCLUDED = ("IRI_40", "OXA_20", "OXA_40", "Media", "IRI_0.74", "IRI_2.22", "IRI_6.66", "IRI_0.082", "IRI_0.25")
-CONCORDANCE_DAYS = (1, 3, 7)
-
-
 def assay_concordance(
     imaging: DataFrame,
     plates_bg: DataFrame,
-    patient: str,
-    excluded: Sequence[str] = CONCORDANCE_EXCLUDED,
-    days: Sequence[int] = CONCORDANCE_DAYS,
+    patients: Sequence[str],
+    excluded: Sequence[str],
+    days: Sequence[int],
 ) -> DataFrame:
     """Join plate signal to image-based viability of the same treatment, patient and day.
 
     ``imaging`` is a normalised curve table (T4 output); ``plates_bg`` the
-    background-subtracted wells of one patient.  Wells are first reduced to one
+    background-subtracted wells, which stand for each of ``patients``.  Wells are first reduced to one
     row per (day, compound, dose) holding sums and counts, so the join and the
     treatment ordering work on that small table instead of on every well; means
     over the joined wells are rebuilt from the sums (NA-propagating, A11).  Keys
@@ -84,12 +76,12 @@ def assay_concordance(
     signal is divided by the control's value of the same day (W2); listed
     treatments are dropped, missing ones kept (F5); only listed days remain.
     """
-    img = with_treatments(checkpointed(imaging)).withColumn(
+    img = with_treatments(imaging).withColumn(
         "treatment", F.when(F.col("treatment") == "STA", "STA_5").otherwise(F.col("treatment"))
     )
     wells = plates_bg.groupBy("day", "compound", "concentration").agg(
         F.sum("signal").alias("_sum"), F.count("signal").alias("_nsig"), F.count(F.lit(1)).alias("_n"))
-    wells = checkpointed(wells).withColumn("patient", F.lit(patient))
+    wells = wells.withColumn("patient", F.explode(F.array(*[F.lit(p) for p in patients])))
     plates = with_treatments(wells).withColumn(
         "treatment",
         F.when(F.col("treatment") == "media", "Media").when(F.col("treatment") == "STA", "STA_5").otherwise(F.col("treatment")),

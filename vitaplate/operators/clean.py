@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vitaplate.functions.names import quoted
 from vitaplate.functions.nulls import nan_to_null, num_label
 from vitaplate.functions.ranking import dense_codes
 
@@ -33,10 +34,15 @@ def canonical_compound(col: Column | str) -> Column:
     return F.when(c.isNull() | c.isin(*CONTROL_SPELLINGS), F.lit(CONTROL_NAME)).otherwise(c)
 
 
+def missing_text(col: Column) -> Column:
+    """Trimmed text, with blank cells and "NA" as NULL."""
+    text = F.trim(col)
+    return F.when(~text.isin("", "NA"), text)
+
+
 def to_number(col: Column | str) -> Column:
-    """Text to double; blank and unparseable text become NULL (never raises under ANSI)."""
-    text = F.nullif(F.trim(_c(col).cast("string")), F.lit(""))
-    return nan_to_null(text.try_cast(T.DoubleType()))
+    """Text to double; blank, "NA" and unparseable text become NULL (never raises under ANSI)."""
+    return nan_to_null(missing_text(_c(col).cast("string")).try_cast(T.DoubleType()))
 
 
 def clean_input(
@@ -71,8 +77,8 @@ def clean_input(
 def infer_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """P5: retype each text column that parses as a number in every non-blank row.
 
-    One aggregate job counts, per column, the non-blank values and those that
-    parse; the result plan is then a static projection.
+    Blank cells and "NA" are missing.  One aggregate job counts, per column, the
+    values there are and those that parse; the result plan is then a static projection.
     """
     text_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if columns is not None:
@@ -81,11 +87,11 @@ def infer_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
         return df
     aggs = []
     for i, c in enumerate(text_cols):
-        v = F.nullif(F.trim(F.col(c)), F.lit(""))
+        v = missing_text(quoted(c))
         aggs += [F.count(v).alias(f"n{i}"), F.count(v.try_cast(T.DoubleType())).alias(f"p{i}")]
     stats = df.agg(*aggs).first()
     numeric = {c for i, c in enumerate(text_cols) if stats[f"n{i}"] > 0 and stats[f"n{i}"] == stats[f"p{i}"]}
-    return df.withColumns({c: to_number(c) for c in numeric})
+    return df.select(*[to_number(quoted(c)).alias(c) if c in numeric else quoted(c) for c in df.columns])
 
 
 # --- P7, P8: factors and recodes ----------------------------------------------------------
@@ -123,6 +129,15 @@ def recode(
     return df.join(F.broadcast(table), df[column] == table["_lv"], "left").drop("_lv")
 
 
+def with_origin(col: Column | str, origins: Sequence[tuple[str, str]]) -> Column:
+    """P23: "name (Origin)" for the listed names; others stay as they are."""
+    c = _c(col)
+    out = c
+    for name, origin in origins:
+        out = F.when(c == name, F.concat(c, F.lit(f" ({origin})"))).otherwise(out)
+    return out
+
+
 # --- P13, P14, P17-P19: labels and codes --------------------------------------------------
 
 def treatment_label(compound: Column | str = "compound", concentration: Column | str = "concentration") -> Column:
@@ -176,15 +191,15 @@ def is_control(col: Column | str) -> Column:
 def unique_by(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """F9 + A17: keep only rows whose ``key`` occurs exactly once; report what was removed.
 
-    A grouped aggregate does it in one shuffle with map-side combining, so a key
-    repeated millions of times costs one partial row per task, not a hot window
-    partition.  For a key seen once, ``first`` of each column *is* the row.
+    Keys are counted with map-side combining (a key repeated millions of times
+    costs one partial row per task) and a left-semi join keeps the rows of keys
+    seen once.  A missing key is a key like any other.
     Returns ``(kept, report)`` where report holds total, kept and removed counts.
     """
-    others = [c for c in df.columns if c != key]
-    g = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in others])
-    kept = g.where(F.col("_n") == 1).select(key, *others)
-    report = g.agg(
+    counts = df.groupBy(quoted(key)).agg(F.count(F.lit(1)).alias("_n"))
+    once = counts.where(F.col("_n") == 1).select(quoted(key).alias("_once"))
+    kept = df.join(once, quoted(key).eqNullSafe(F.col("_once")), "left_semi")
+    report = counts.agg(
         F.sum("_n").alias("total_rows"),
         F.count(F.when(F.col("_n") == 1, 1)).alias("kept_rows"),
     ).withColumn("removed_rows", F.col("total_rows") - F.col("kept_rows"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitaplate.operators.clean import split_pair, unique_by
+from vitaplate.operators.clean import recode, split_pair, unique_by
 from vitaplate.operators.reshape import melt, restack, unify
 from vitaplate.operators.wells import normalise_viability, well_measurements
 
@@ -18,16 +18,16 @@ MAJORITY = "Majority"
 
 def paired_calls(
     vd: DataFrame, ml: DataFrame, key: str = "uid", l_suffix: str = "_VD", r_suffix: str = "_Imaging",
-    dedupe_right: bool = True,
+    collapse: Sequence[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """F9 + R8: objects called by both methods, one row per object key.
+    """F9 + R8: the vital-dye objects with a unique key, with the imaging rows of the same key.
 
-    Returns (unified, report); ``report`` counts the removed duplicate rows of
-    the vital-dye side (A17).
+    F9 is applied to the vital-dye side alone; an object with several imaging
+    rows comes once for each.  ``collapse``: see ``unify``.  Returns (unified,
+    report); ``report`` counts the removed duplicate rows (A17).
     """
     vd_u, report = unique_by(vd, key)
-    ml_u = unique_by(ml, key)[0] if dedupe_right else ml
-    return unify(vd_u, ml_u, key, l_suffix, r_suffix), report
+    return unify(vd_u, ml, key, l_suffix, r_suffix, collapse), report
 
 
 def method_compare_same(
@@ -65,10 +65,14 @@ def majority_long(long: DataFrame, variable: str = "variable", value: str = "val
 
 def consensus_votes(
     survey: DataFrame, ids: Sequence[str] = ("respondent", "grp"), respondent: str = "respondent", grp: str = "grp",
-    voter_filter=None,
+    voter_filter=None, groups: Sequence[tuple[str, str]] | None = None, items: Sequence[tuple[str, str]] | None = None,
 ) -> DataFrame:
     """Append the majority respondent, unpivot the votes, count answers per group (A10).
 
+    ``groups`` and ``items`` recode group and item names (P8): ordered (name,
+    label) pairs; the labels replace the names, names not listed become NULL,
+    and ``grp_rank`` and ``item_rank`` hold the order.
+
     The majority row is built from ``voter_filter`` rows (default: everyone, as
     observed).  In long form appending it is a union: its respondent label is
     new, so the natural full join of the reference adds exactly these rows.
@@ -80,4 +84,10 @@ def consensus_votes(
         F.lit(MAJORITY).alias(respondent), F.lit(MAJORITY).alias(grp), "variable", "value"
     )
     allrows = long.unionByName(major)
-    return allrows.groupBy("variable", "value", grp).agg(F.count(F.lit(1)).alias("n"))
+    counts = allrows.groupBy("variable", "value", grp).agg(F.count(F.lit(1)).alias("n"))
+    for column, pairs, rank in ((grp, groups, "grp_rank"), ("variable", items, "item_rank")):
+        if pairs is not None:
+            names, labels = zip(*pairs)
+            counts = recode(counts, column, names, labels, name="_label", rank_name=rank)
+            counts = counts.withColumn(column, F.col("_label")).drop("_label")
+    return counts

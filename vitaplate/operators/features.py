@@ -12,7 +12,6 @@ unpivoted.
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -21,9 +20,9 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitaplate.functions.names import ID_LIKE_FEATURES, clean_feature_label, feature_columns
+from vitaplate.functions.names import clean_feature_label, feature_columns, is_id_like, quoted
 from vitaplate.functions.nulls import join_null_safe, key_concat, mean_strict, nan_to_null
-from vitaplate.functions.ranking import checkpointed, sequence_index
+from vitaplate.functions.ranking import checkpointed
 from vitaplate.operators.reshape import NUMERIC_TYPES, melt
 
 
@@ -36,13 +35,13 @@ def select_features(df: DataFrame, ids: Sequence[str] | None = None, drop_id_lik
     numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC_TYPES)}
     feats = [c for c in feature_columns(df.columns) if c not in ids and c in numeric]
     if drop_id_like:
-        feats = [c for c in feats if c not in ID_LIKE_FEATURES]
+        feats = [c for c in feats if not is_id_like(c)]
     return feats
 
 
 def label_map(features: Sequence[str]) -> dict[str, str]:
-    """P20 at plan time: raw feature header -> cleaned label."""
-    return {f: clean_feature_label(f) for f in features}
+    """P20 and P21 at plan time: raw feature header, spaced or dotted -> cleaned label."""
+    return {f: clean_feature_label(f, dotted=" " not in f and "." in f) for f in features}
 
 
 def _label_expr(variable: Column, labels: dict[str, str]) -> Column:
@@ -74,7 +73,7 @@ def condition_means(df: DataFrame, keys: Sequence[str], features: Sequence[str])
 
     Returns (keys..., variable, mean_val) with cleaned labels.
     """
-    agg = df.groupBy(*keys).agg(*[mean_strict(F.col(f"`{f}`")).alias(f) for f in features])
+    agg = df.groupBy(*keys).agg(*[mean_strict(quoted(f)).alias(f) for f in features])
     long = agg.unpivot(list(keys), list(features), "variable", "mean_val")
     return long.withColumn("variable", _label_expr(F.col("variable"), label_map(features)))
 
@@ -127,49 +126,27 @@ def heatmap(
 def feature_distance(matrix: DataFrame, labels: Sequence[str], value: str = "scaled") -> DataFrame:
     """Euclidean distance between feature rows over samples, as R's ``dist``.
 
-    Pairs where a sample misses either value are skipped and the sum is scaled
-    up by (samples / usable samples).  The matrix is pivoted to one row per
-    sample and every pair's sums are aggregate expressions of one global
-    aggregate (partial sums per task), so no pair rows are ever emitted; the
-    number of expressions is bounded by the schema (features choose 2).
+    The matrix is pivoted to one row per sample and handed to
+    :func:`column_distance`; the plan does not grow with the pairs.
     """
     labels = sorted(labels)
     wide = matrix.groupBy("sample").pivot("variable", labels).agg(F.first(value))
-    aggs = [F.count(F.lit(1)).alias("_p")]
-    pairs = list(combinations(range(len(labels)), 2))
-    for k, (i, j) in enumerate(pairs):
-        d = F.col(f"`{labels[i]}`") - F.col(f"`{labels[j]}`")
-        aggs += [F.sum(d * d).alias(f"_s{k}"), F.count(d).alias(f"_n{k}")]
-    sums = wide.agg(*aggs)
-    rows = F.array(*[
-        F.struct(
-            F.lit(labels[i]).alias("feature_a"),
-            F.lit(labels[j]).alias("feature_b"),
-            F.when(F.col(f"_n{k}") > 0, F.sqrt(F.col(f"_s{k}") * F.col("_p") / F.col(f"_n{k}"))).alias("distance"),
-            F.col(f"_n{k}").alias("n_samples"),
-        )
-        for k, (i, j) in enumerate(pairs)
-    ])
-    return sums.select(F.explode(rows).alias("r")).select("r.*")
-
-
-def _gram_partials(columns: list[str]):
-    k = len(columns)
+    return column_distance(wide, labels)
+
 
+def _pair_partials(k: int):
     def partial(batches):
-        s = np.zeros((k, k))   # sum of x_i * x_j over rows where both are present
-        q = np.zeros((k, k))   # sum of x_i^2 over rows where x_j is present too
-        n = np.zeros((k, k))   # rows where both are present
-        rows = 0
+        s, n, rows = np.zeros((k, k)), np.zeros((k, k), np.int64), 0
         for pdf in batches:
-            x = pdf[columns].to_numpy(dtype=float)
-            m = ~np.isnan(x)
-            x0, mf = np.where(m, x, 0.0), m.astype(float)
-            s += x0.T @ x0
-            q += (x0 * x0).T @ mf
-            n += mf.T @ mf
-            rows += len(pdf)
-        yield pd.DataFrame({"parts": [np.concatenate([s.ravel(), q.ravel(), n.ravel()])], "rows": [rows]})
+            x = pdf.to_numpy(dtype=float)
+            rows += len(x)
+            for i in range(k - 1):
+                d = x[:, i + 1:] - x[:, i:i + 1]  # differences first: close columns keep their digits
+                there = ~np.isnan(d)
+                s[i, i + 1:] += np.square(np.where(there, d, 0.0)).sum(axis=0)
+                n[i, i + 1:] += there.sum(axis=0)
+        i, j = np.triu_indices(k, 1)
+        yield pd.DataFrame({"i": i, "j": j, "s": s[i, j], "n": n[i, j], "rows": rows})
 
     return partial
 
@@ -177,40 +154,22 @@ def _gram_partials(columns: list[str]):
 def column_distance(wide: DataFrame, columns: Sequence[str]) -> DataFrame:
     """T12 on a wide numeric matrix (one row per sample): Euclidean distance between columns.
 
-    Same rule as :func:`feature_distance` (pairs with a missing side skipped,
-    sum scaled by samples / usable samples), for many columns, e.g. the 64
-    positions of an embedding.  Each task folds its rows into three k x k
-    matrices with numpy (a map-side combine); Spark sums the matrices of all
-    tasks by position.  Nothing grows with the rows but one partial per task,
-    and no pair rows are emitted.
+    Pairs where a sample misses either value are skipped and the sum is scaled
+    up by (samples / usable samples).  Each task adds up the squared differences
+    of its rows for every pair of columns (Arrow batches, numpy) and emits one
+    row per pair, bounded by the schema; one grouped sum over tasks finishes the
+    job in a single pass over the data.
     """
     columns = sorted(columns)
-    k = len(columns)
-    sel = wide.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
-    partials = sel.mapInPandas(_gram_partials(columns), "parts array<double>, rows long")
-    totals = partials.select(F.posexplode("parts").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v"))
-    n_rows = partials.select(F.sum("rows")).scalar()
-    spark = wide.sparkSession
-    # Pair index table: k*(k-1)/2 rows, bounded by the schema.
-    pairs = spark.range(k * k).select((F.col("id") / k).cast("int").alias("i"), (F.col("id") % k).cast("int").alias("j"))
-    pairs = pairs.where(F.col("i") < F.col("j")).withColumns({
-        "_s": F.col("i") * k + F.col("j"),
-        "_qij": F.lit(k * k) + F.col("i") * k + F.col("j"),
-        "_qji": F.lit(k * k) + F.col("j") * k + F.col("i"),
-        "_n": F.lit(2 * k * k) + F.col("i") * k + F.col("j"),
-    })
-    out = pairs
-    for key in ("_s", "_qij", "_qji", "_n"):
-        t = totals.select(F.col("pos").alias(key), F.col("v").alias(key + "_v"))
-        out = out.join(F.broadcast(t), key)  # 3 k^2 rows: bounded by the schema
-    sumsq = F.greatest(F.col("_qij_v") + F.col("_qji_v") - 2 * F.col("_s_v"), F.lit(0.0))
-    n = F.col("_n_v")
+    sel = wide.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    partials = sel.mapInPandas(_pair_partials(len(columns)), "i int, j int, s double, n long, rows long")
+    sums = partials.groupBy("i", "j").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("rows").alias("rows"))
     labels = F.array(*[F.lit(c) for c in columns])
-    return out.select(
+    return sums.select(
         F.element_at(labels, F.col("i") + 1).alias("feature_a"),
         F.element_at(labels, F.col("j") + 1).alias("feature_b"),
-        F.when(n > 0, F.sqrt(sumsq * n_rows / n)).alias("distance"),
-        n.cast("long").alias("n_samples"),
+        F.when(F.col("n") > 0, F.sqrt(F.try_divide(F.col("s") * F.col("rows"), F.col("n")))).alias("distance"),
+        F.col("n").alias("n_samples"),
     )
 
 
@@ -218,39 +177,62 @@ GRID_POINTS = 512  # density grid size of the violin layer
 GRID_CUT = 3.0     # grid extends this many bandwidths beyond the data (untrimmed violins)
 
 
-def _quartiles_from_ranked(ranked: DataFrame, groups: Sequence[str], value: str, index: str = "_i") -> DataFrame:
-    """Type-7 quartiles from values already numbered 0..n-1 within their group."""
-    sizes = ranked.groupBy(*groups).agg((F.max(index) + 1).alias("_cnt"))
-    r = join_null_safe(ranked, sizes, groups)
-    picks, wanted = [], []
-    for name, p in (("q1", 0.25), ("q3", 0.75)):
-        h = (F.col("_cnt") - 1) * p
-        lo, hi = F.floor(h), F.ceil(h)
-        wanted += [lo, hi]
-        picks += [
-            F.max(F.when(F.col(index) == lo, F.col(value))).alias(f"_{name}_lo"),
-            F.max(F.when(F.col(index) == hi, F.col(value))).alias(f"_{name}_hi"),
-            F.first(h - lo).alias(f"_{name}_f"),
-        ]
-    q = r.where(F.col(index).isin(*wanted)).groupBy(*groups).agg(*picks)
-    return q.select(
-        *groups,
-        (F.col("_q1_lo") + F.col("_q1_f") * (F.col("_q1_hi") - F.col("_q1_lo"))).alias("q1"),
-        (F.col("_q3_lo") + F.col("_q3_f") * (F.col("_q3_hi") - F.col("_q3_lo"))).alias("q3"),
-    )
+# Accuracy of the quantile sketches, and how many times its rank error an interval spans.
+SKETCH = 10_000
+MARGIN = 10
+
+
+def _sketch_points() -> list[float]:
+    out = []
+    for p in (0.25, 0.75):
+        out += [p - MARGIN / SKETCH, p + MARGIN / SKETCH]
+    return out
 
 
 def group_quartiles(values: DataFrame, groups: Sequence[str], value: str = "value") -> DataFrame:
     """Exact first and third quartiles per group (linear interpolation, R type 7).
 
-    Values are ranked within their group by :func:`sequence_index`, which
-    range-partitions so even a group holding most rows is spread over tasks;
-    only the two order statistics each quartile needs are then picked out.
+    A quantile sketch per group (partial aggregate, bounded memory) brackets each
+    quartile by an interval of a few thousandths of the group's ranks; a second
+    aggregate counts the values below it and the distinct values inside, and only
+    those are put in order.  Neither sorts the values nor writes them.
     """
     groups = list(groups)
-    ranked = sequence_index(values.select(*groups, value).where(F.col(value).isNotNull()),
-                            [F.col(value).asc()], groups=groups, name="_i")
-    return _quartiles_from_ranked(ranked, groups, value)
+    vals = values.select(*groups, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    return _bracketed_quartiles(vals, _bracket_stats(vals, groups), groups)
+
+
+def _bracket_stats(vals: DataFrame, groups: Sequence[str], *more: Column) -> DataFrame:
+    sketch = F.percentile_approx("_v", F.array(*[F.lit(p) for p in _sketch_points()]), F.lit(SKETCH)).alias("_sk")
+    return vals.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), sketch, *more)
+
+
+def _bracketed_quartiles(vals: DataFrame, stats: DataFrame, groups: Sequence[str]) -> DataFrame:
+    # an interval of a small group, where the sketch holds every value, is its whole range
+    ends = [F.when(F.col("_n") <= SKETCH, F.col("_min" if k % 2 == 0 else "_max")).otherwise(F.col("_sk")[k]) for k in range(4)]
+    r = join_null_safe(vals, stats.select(*groups, *[e.alias(f"_e{k}") for k, e in enumerate(ends)]), groups)
+    # below the first interval, inside the first, between, inside the second, above: one count per value only inside
+    v = F.col("_v")
+    near = (v >= F.col("_e0")) & (v <= F.col("_e1")) | (v >= F.col("_e2")) & (v <= F.col("_e3"))
+    zone = F.when(v < F.col("_e0"), 0).when(v <= F.col("_e1"), 1).when(v < F.col("_e2"), 2).otherwise(3)
+    counts = r.where(v <= F.greatest("_e1", "_e3")).groupBy(*groups, zone.alias("_z"), F.when(near, v).alias("_at")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy(*groups).orderBy("_z", F.col("_at").asc_nulls_first())
+    placed = counts.withColumn("_end", F.sum("_c").over(upto))
+    sizes = stats.select(*groups, "_n")
+    r = join_null_safe(placed, sizes, groups)
+    picks = []
+    for name, p in (("q1", 0.25), ("q3", 0.75)):
+        h = (F.col("_n") - 1) * p
+        for end, k in (("lo", F.floor(h)), ("hi", F.ceil(h))):
+            picks.append(F.max(F.when((F.col("_end") - F.col("_c") <= k) & (k < F.col("_end")), F.col("_at"))).alias(f"_{name}_{end}"))
+        picks.append(F.max(h - F.floor(h)).alias(f"_{name}_f"))
+    q = r.groupBy(*groups).agg(*picks)
+
+    def between(name):
+        lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
+        return (lo + F.col(f"_{name}_f") * (hi - lo)).alias(name)
+
+    return q.select(*groups, between("q1"), between("q3"))
 
 
 def feature_density(long: DataFrame, groups: Sequence[str], value: str = "value") -> DataFrame:
@@ -260,59 +242,48 @@ def feature_density(long: DataFrame, groups: Sequence[str], value: str = "value"
     the IQR is 0, the largest |x| when both are 0, else 1); groups with fewer
     than two values are dropped.  The grid spans [min - 3bw, max + 3bw].  Data
     are linearly binned onto the grid (a partial aggregate, so hot groups cost
-    nothing extra) and the binned counts are convolved with the kernel: work per
-    group is bounded by the grid size, never by the number of rows.
+    nothing extra); the bins of a group, GRID_POINTS + 1 at most, are folded into
+    one array and convolved with the kernel there.
     Output: groups..., grid index ``g``, ``x``, ``density`` and ``scaled``
     (density / the group's maximum).
     """
     groups = list(groups)
     vals = long.select(*groups, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    # Ranked once and materialised: statistics, quartiles and binning all read this table,
-    # so the upstream (object scan, joins, unpivot) runs a single time.
-    ranked = sequence_index(vals, [F.col("_v").asc()], groups=groups, name="_i")
-    stats = ranked.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("_n"), F.stddev_samp("_v").alias("_sd"),
-        F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.max(F.abs("_v")).alias("_amax"),
-    ).where(F.col("_n") >= 2)
-    quart = _quartiles_from_ranked(ranked, groups, "_v")
-    st = join_null_safe(stats, quart, groups)
+    stats = _bracket_stats(vals, groups, F.stddev_samp("_v").alias("_sd"), F.max(F.abs("_v")).alias("_amax")).where(F.col("_n") >= 2)
+    stats = checkpointed(stats)  # one row per group, read by the quartiles and the grid
+    st = join_null_safe(stats.drop("_sk"), _bracketed_quartiles(vals, stats, groups), groups)
     lo = F.least(F.col("_sd"), (F.col("q3") - F.col("q1")) / 1.34)
     lo = F.when(lo > 0, lo).when(F.col("_sd") > 0, F.col("_sd")).when(F.col("_amax") > 0, F.col("_amax")).otherwise(1.0)
     st = st.withColumn("_bw", 0.9 * lo * F.pow(F.col("_n").cast("double"), -0.2))
     st = st.withColumns({
         "_g0": F.col("_min") - GRID_CUT * F.col("_bw"),
         "_step": (F.col("_max") - F.col("_min") + 2 * GRID_CUT * F.col("_bw")) / (GRID_POINTS - 1),
-    }).select(*groups, "_n", "_bw", "_g0", "_step")
-    st = checkpointed(st)  # one row per group, read by the binning and the convolution
+    })
+    # the kernel at every distance between grid points
+    far = F.col("_step") / F.col("_bw")
+    kernel = F.transform(F.sequence(F.lit(0), F.lit(GRID_POINTS)), lambda d: F.exp(-0.5 * d * d * far * far))
+    # one row per group, read by the binning and the convolution
+    st = checkpointed(st.select(*groups, "_n", "_bw", "_g0", "_step", kernel.alias("_kernel")))
 
     # Linear binning: each value splits its unit weight between its two neighbouring grid points.
-    binned = join_null_safe(ranked, st, groups)
+    binned = join_null_safe(vals, st.drop("_kernel"), groups)
     pos = (F.col("_v") - F.col("_g0")) / F.col("_step")
     binned = binned.withColumns({"_b": F.floor(pos).cast("int"), "_f": pos - F.floor(pos)})
-    parts = F.array(
-        F.struct(F.col("_b").alias("b"), (1 - F.col("_f")).alias("w")),
-        F.struct((F.col("_b") + 1).alias("b"), F.col("_f").alias("w")),
-    )
-    bins = (
-        binned.select(*groups, F.explode(parts).alias("p"))
-        .groupBy(*groups, F.col("p.b").alias("b"))
-        .agg(F.sum("p.w").alias("w"))
-    )
-    # Convolution on the grid: bounded by GRID_POINTS^2 per group.
-    conv = join_null_safe(bins, st, groups).select(
-        *groups, "b", "w", "_n", "_bw", "_g0", "_step",
-        F.explode(F.sequence(F.lit(0), F.lit(GRID_POINTS - 1))).alias("g"),
-    )
-    u = (F.col("g") - F.col("b")) * F.col("_step") / F.col("_bw")
-    kern = F.exp(-0.5 * u * u) / math.sqrt(2 * math.pi)
-    dens = conv.groupBy(*groups, "g").agg(
-        F.sum(F.col("w") * kern).alias("_k"), F.first("_n").alias("_n"), F.first("_bw").alias("_bw"),
-        F.first("_g0").alias("_g0"), F.first("_step").alias("_step"),
-    )
-    dens = dens.select(
-        *groups, F.col("g").cast("int").alias("g"),
+    per_bin = binned.groupBy(*groups, "_b").agg(F.sum(1 - F.col("_f")).alias("_w0"), F.sum("_f").alias("_w1"))
+    halves = F.array(F.struct(F.col("_b").alias("b"), F.col("_w0").alias("w")), F.struct((F.col("_b") + 1).alias("b"), F.col("_w1").alias("w")))
+    points = per_bin.select(*groups, F.explode(halves).alias("p")).groupBy(*groups, F.col("p.b").alias("b")).agg(F.sum("p.w").alias("w"))
+    bins = points.groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct("b", "w"))).alias("_bins"))
+    grid = join_null_safe(bins, st, groups)
+
+    def at(g: Column) -> Column:
+        return F.aggregate("_bins", F.lit(0.0), lambda acc, p: acc + p["w"] * F.get("_kernel", F.abs(g - p["b"])))
+
+    grid = grid.withColumn("_d", F.transform(F.sequence(F.lit(0), F.lit(GRID_POINTS - 1)), at))
+    grid = grid.withColumn("_top", F.array_max("_d"))
+    dens = grid.select(*groups, "_n", "_bw", "_g0", "_step", "_top", F.posexplode("_d").alias("g", "_k"))
+    return dens.select(
+        *groups, "g",
         (F.col("_g0") + F.col("g") * F.col("_step")).alias("x"),
-        (F.col("_k") / (F.col("_n") * F.col("_bw"))).alias("density"),
+        (F.col("_k") / math.sqrt(2 * math.pi) / (F.col("_n") * F.col("_bw"))).alias("density"),
+        (F.col("_k") / F.col("_top")).alias("scaled"),
     )
-    w = Window.partitionBy(*groups)
-    return dens.withColumn("scaled", F.col("density") / F.max("density").over(w))

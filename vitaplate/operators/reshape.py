@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitaplate.functions.ranking import checkpointed
+from vitaplate.functions.names import quoted
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -34,8 +34,8 @@ def melt(
     ids = list(ids)
     if values is None:
         values = [c for c in df.columns if c not in ids]
-    typed = df.select(*[F.col(f"`{i}`") for i in ids], *[F.col(f"`{v}`").cast(value_type).alias(v) for v in values])
-    return typed.unpivot(ids, list(values), variable, value)
+    typed = df.select(*map(quoted, ids), *[quoted(v).cast(value_type).alias(v) for v in values])
+    return typed.unpivot([quoted(i) for i in ids], [quoted(v) for v in values], variable, value)
 
 
 def spread(
@@ -70,34 +70,33 @@ def live_dead_columns(value: Column | None, ld: Column, missing_as_zero: bool) -
     return out
 
 
-def unify(left: DataFrame, right: DataFrame, key: str, l_suffix: str, r_suffix: str) -> DataFrame:
+def unify(left: DataFrame, right: DataFrame, key: str, l_suffix: str, r_suffix: str, collapse: Sequence[str] | None = None) -> DataFrame:
     """Left join on ``key``; each shared column collapses when all non-missing pairs agree.
 
-    One aggregate job evaluates ``bool_and(l = r)`` for every shared column
-    (NULL pairs are skipped; a column with no complete pair collapses).  A
+    The output columns depend on the data: one aggregate job over the join
+    evaluates ``bool_and(l = r)`` for every shared column (NULL pairs are
+    skipped; a column with no complete pair collapses).  A caller that knows the
+    outcome names the columns that ``collapse``, and no job runs.  A
     collapsed column keeps the right side's value, as the reference does; a
     column that disagrees is kept twice, right then left.
     """
     shared = [c for c in left.columns if c in right.columns and c != key]
     l_only = [c for c in left.columns if c not in shared and c != key]
     r_only = [c for c in right.columns if c not in shared and c != key]
-    lsel = left.select(key, *l_only, *[F.col(c).alias(c + l_suffix) for c in shared])
-    rsel = right.select(F.col(key).alias("_rkey"), *r_only, *[F.col(c).alias(c + r_suffix) for c in shared])
-    merged = lsel.join(rsel, lsel[key] == rsel["_rkey"], "left").drop("_rkey")
-    if shared:
-        # The output schema depends on the data: materialise the join once, so the
-        # agreement pass and the result read it instead of joining twice.
-        merged = checkpointed(merged)
+    lsel = left.select(quoted(key), *map(quoted, l_only), *[quoted(c).alias(c + l_suffix) for c in shared])
+    rsel = right.select(quoted(key).alias("_rkey"), *map(quoted, r_only), *[quoted(c).alias(c + r_suffix) for c in shared])
+    merged = lsel.join(rsel, lsel["`" + key.replace("`", "``") + "`"] == rsel["_rkey"], "left").drop("_rkey")
+    if collapse is None and shared:
         checks = merged.agg(
-            *[F.bool_and(F.col(c + l_suffix) == F.col(c + r_suffix)).alias(f"s{i}") for i, c in enumerate(shared)]
+            *[F.bool_and(quoted(c + l_suffix) == quoted(c + r_suffix)).alias(f"s{i}") for i, c in enumerate(shared)]
         ).first()
-    out = [F.col(key)] + [F.col(c) for c in l_only + r_only]
-    for i, c in enumerate(shared):
-        agree = checks[f"s{i}"]
-        if agree is None or agree:
-            out.append(F.col(c + r_suffix).alias(c))
+        collapse = [c for i, c in enumerate(shared) if checks[f"s{i}"] is not False]
+    out = [quoted(key), *map(quoted, l_only + r_only)]
+    for c in shared:
+        if c in collapse:
+            out.append(quoted(c + r_suffix).alias(c))
         else:
-            out += [F.col(c + r_suffix), F.col(c + l_suffix)]
+            out += [quoted(c + r_suffix), quoted(c + l_suffix)]
     return merged.select(*out)
 
 
@@ -114,18 +113,18 @@ def restack(
 
     One scan: each input row yields its two halves via ``explode`` of a
     two-element array, instead of scanning the input twice for a union.
+    ``treatment`` and ``assay`` columns that the input has are overwritten.
     """
-    others = [c for c in df.columns if c not in (foi + l_suffix, foi + r_suffix)]
+    made = (foi + l_suffix, foi + r_suffix, foi, treatment, assay)
+    others = [c for c in df.columns if c not in made]
     halves = F.array(
-        F.struct(F.lit(l_suffix).alias("_sfx"), F.col(foi + l_suffix).alias("_v")),
-        F.struct(F.lit(r_suffix).alias("_sfx"), F.col(foi + r_suffix).alias("_v")),
+        F.struct(F.lit(l_suffix).alias("_sfx"), quoted(foi + l_suffix).alias("_v")),
+        F.struct(F.lit(r_suffix).alias("_sfx"), quoted(foi + r_suffix).alias("_v")),
     )
-    ex = df.select(*others, F.explode(halves).alias("_h"))
-    comp_text = F.coalesce(F.col(compound).cast("string"), F.lit("NA"))
+    ex = df.select(*map(quoted, others), F.explode(halves).alias("_h"))
+    comp_text = F.coalesce(quoted(compound).cast("string"), F.lit("NA"))
     tagged = F.concat(comp_text, F.col("_h._sfx"))
-    cols = []
-    for c in others:
-        cols.append(tagged.alias(compound) if c == compound else F.col(c))
+    cols = [tagged.alias(compound) if c == compound else quoted(c) for c in others]
     return ex.select(
         *cols,
         F.col("_h._v").alias(foi),

@@ -10,8 +10,9 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitaplate.functions.names import quoted
 from vitaplate.functions.nulls import finite, ieee_div, key_concat, nan_to_null
-from vitaplate.functions.ranking import checkpointed, sequence_index
+from vitaplate.functions.ranking import window_index
 from vitaplate.operators.clean import is_control, treatment_label
 from vitaplate.operators.reshape import live_dead_columns
 
@@ -37,7 +38,7 @@ def well_measurements(
     Counting per (well, call) and then pivoting the call is folded into one
     conditional aggregate: one shuffle, partial aggregation on the map side.
     """
-    value = None if feature is None else F.col(f"`{feature}`")
+    value = None if feature is None else quoted(feature)
     return df.groupBy(*keys).agg(*live_dead_columns(value, F.col(ld), missing_as_zero))
 
 
@@ -101,67 +102,79 @@ def growth_curve(objects: DataFrame, feature: str, control: str = "Media") -> Da
     return replicate_summary(wells, "live", [*CONDITION_KEYS, "day"])
 
 
+def _ranked_treatments(df: DataFrame, compound: str, concentration: str) -> DataFrame:
+    """``df`` with ``treatment``, ``treatment_rank``, ``compound_rank``, ``n_doses``, ``n_compounds`` and ``n_controls``.
+
+    Windows over ``df``'s own rows, so nothing is read twice or written: for
+    tables with few rows per treatment (distinct treatments, conditions and days).
+    """
+    comp, conc = F.col(compound), F.col(concentration)
+    per = Window.partitionBy(compound)
+    everything = Window.partitionBy()
+    t = df.withColumn("_doses", F.size(F.collect_set(F.struct(conc)).over(per)))
+    single = F.col("_doses") == 1
+    controls = F.size(F.collect_set(F.when(single & is_control(compound), comp)).over(everything))
+    t = t.withColumns({"_single_controls": controls, "n_compounds": F.size(F.collect_set(F.struct(comp)).over(everything)).cast("int"),
+                       "n_controls": F.size(F.collect_set(F.when(is_control(compound), comp)).over(everything)).cast("int")})
+    pinned = single & is_control(compound) & (F.col("_single_controls") == 1)
+    first = [F.when(single, 0).otherwise(1), F.when(F.coalesce(pinned, F.lit(False)), 0).otherwise(1), comp.asc_nulls_last()]
+    order = Window.orderBy(*first, conc.asc_nulls_last())
+    return t.withColumns({
+        "treatment": treatment_label(compound, concentration),
+        "treatment_rank": F.dense_rank().over(order).cast("int"),
+        "compound_rank": F.dense_rank().over(Window.orderBy(*first)).cast("int"),
+        "n_doses": F.col("_doses").cast("int"),
+    }).drop("_doses", "_single_controls")
+
+
 def treatment_order(df: DataFrame, compound: str = "compound", concentration: str = "concentration") -> DataFrame:
-    """W7 + P13 + A9: the ordered treatment table of ``df``.
+    """W7 + P7 + P13 + A9: the ordered treatment table of ``df``.
 
     Compounds with a single treatment row come first, alphabetically; the control
     moves to the very front when it is the only control row.  Compounds with
-    several doses follow, by compound then ascending dose (missing dose last).
+    several doses follow, by compound then ascending dose (missing dose last); a
+    missing compound is one like any other, and last of its kind.
     Returns one row per distinct (compound, concentration) with ``treatment``,
-    ``treatment_rank`` (1-based) and ``n_doses``.
+    ``treatment_rank`` and ``compound_rank`` (1-based), ``n_doses`` of the compound,
+    and the table's ``n_compounds`` and ``n_controls``.  The windows see the
+    distinct treatments only.
     """
-    treatments = df.select(compound, concentration).distinct()
-    doses = treatments.groupBy(compound).agg(F.count(F.lit(1)).alias("n_doses"))
-    t = treatments.join(doses, compound)
-    single = F.col("n_doses") == 1
-    n_single_controls = t.where(single & is_control(compound)).select(F.count(F.lit(1))).scalar()
-    pinned = single & is_control(compound) & (n_single_controls == 1)
-    t = t.withColumns({
-        "_curve": F.when(single, 0).otherwise(1),
-        "_pin": F.when(pinned, 0).otherwise(1),
-        "treatment": treatment_label(compound, concentration),
-    })
-    ranked = sequence_index(
-        t,
-        [F.col("_curve").asc(), F.col("_pin").asc(), F.col(compound).asc_nulls_last(),
-         F.col(concentration).asc_nulls_last()],
-        name="_r",
-    )
-    return ranked.select(
-        compound, concentration, "treatment", (F.col("_r") + 1).cast("int").alias("treatment_rank"),
-        F.col("n_doses").cast("int").alias("n_doses"),
-    )
+    ranked = _ranked_treatments(df.select(compound, concentration).distinct(), compound, concentration)
+    return ranked.select(compound, concentration, "treatment", "treatment_rank", "compound_rank", "n_doses", "n_compounds", "n_controls")
 
 
 def with_treatments(df: DataFrame, compound: str = "compound", concentration: str = "concentration") -> DataFrame:
-    """Attach ``treatment`` and ``treatment_rank`` to every row (null-safe on the dose)."""
-    order = treatment_order(df, compound, concentration).select(
-        F.col(compound).alias("_tc"), F.col(concentration).alias("_tk"), "treatment", "treatment_rank"
-    )
-    cond = df[compound].eqNullSafe(order["_tc"]) & df[concentration].eqNullSafe(order["_tk"])
-    return df.join(order, cond, "left").drop("_tc", "_tk")
+    """Attach ``treatment`` and ``treatment_rank`` to every row of a table of conditions.
+
+    ``df`` holds a few rows per treatment (one per patient and day); its own rows
+    are ranked, so it is computed once and nothing is joined.
+    """
+    return _ranked_treatments(df, compound, concentration).drop("compound_rank", "n_doses", "n_compounds", "n_controls")
 
 
 def curve_table(norm: DataFrame, normalized: bool = True) -> DataFrame:
     """T11 data: ordered treatments, the chosen value and error bar, finite values only.
 
-    ``norm`` (one row per condition and day) is read twice, for the treatment
-    order and for the rows, so it is materialised once rather than recomputed
-    from the objects.
+    ``norm`` has one row per condition and day and is computed once, in one plan.
     """
     val, dev = ("nlive", "nlive_sd") if normalized else ("live_mean", "live_sd")
-    t = with_treatments(checkpointed(norm)).withColumns({"val": F.col(val), "dev": F.col(dev)})
+    t = with_treatments(norm).withColumns({"val": F.col(val), "dev": F.col(dev)})
     t = t.where(finite("val"))
     return t.withColumns({"lower": F.col("val") - F.col("dev"), "upper": F.col("val") + F.col("dev")})
 
 
-def curve_extents(curves: DataFrame, by: Sequence[str] = ("patient",), error_bars: bool = True) -> DataFrame:
-    """Fixed-scale y-axis limits of a curve plot, and the number of distinct days."""
+def curve_extents(curves: DataFrame, by: Sequence[str] = ("patient",), error_bars: bool = True, clamp: bool = True) -> DataFrame:
+    """Fixed-scale y-axis limits of a curve plot, and the number of distinct days.
+
+    ``clamp`` keeps the lower limit at 0 (the viability curves); without it the
+    limit is the floor of the lowest value, negatives kept (the other plots).
+    """
     hi = F.max("upper") if error_bars else F.max("val")
     lo = F.min("lower") if error_bars else F.min("val")
     g = curves.groupBy(*by).agg(hi.alias("_hi"), lo.alias("_lo"), F.countDistinct("day").alias("n_days"))
-    miny = F.when(F.col("_lo") > 0, F.lit(0.0)).otherwise(F.col("_lo"))
-    miny = F.coalesce(F.when(miny < 0, F.lit(0.0)).otherwise(F.floor(miny).cast("double")), F.lit(0.0))
+    miny = F.floor(F.when(F.col("_lo") > 0, F.lit(0.0)).otherwise(F.col("_lo"))).cast("double")
+    if clamp:
+        miny = F.coalesce(F.greatest(miny, F.lit(0.0)), F.lit(0.0))
     maxy = F.when(F.col("_hi") < 2, F.bround(F.col("_hi"), 1)).otherwise(F.ceil(F.col("_hi")).cast("double"))
     return g.select(*by, miny.alias("y_min"), maxy.alias("y_max"), F.col("n_days").cast("int").alias("n_days"))
 
@@ -169,5 +182,5 @@ def curve_extents(curves: DataFrame, by: Sequence[str] = ("patient",), error_bar
 def curve_days(curves: DataFrame, by: Sequence[str] = ("patient",), day: str = "day") -> DataFrame:
     """O3: the sorted distinct days of each curve plot (its x-axis breaks), with a 1-based rank."""
     days = curves.select(*by, day).distinct()
-    ranked = sequence_index(days, [F.col(day).asc()], groups=list(by), name="_r")
+    ranked = window_index(days, [F.col(day).asc()], groups=list(by), name="_r")  # days of a plot: few
     return ranked.select(*by, day, (F.col("_r") + 1).cast("int").alias("day_rank"))

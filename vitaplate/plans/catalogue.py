@@ -17,7 +17,7 @@ from vitaplate.operators import compare as M
 from vitaplate.operators import features as FT
 from vitaplate.operators import transitions as TR
 from vitaplate.operators import wells as W
-from vitaplate.operators.reshape import restack
+from vitaplate.operators.reshape import restack, spread
 from vitaplate.plans import surrogates as S
 from vitaplate.plans.output import rounded
 from vitaplate.sources.files import plate_wells
@@ -82,6 +82,25 @@ def curve_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.curve_days(W.curve_table(norm, normalized=True), by=("patient",))
 
 
+def plate_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A12, second rule: y-axis limits of the plate curves, negative values kept."""
+    norm = plate_normalised_table(spark, sf_dir)
+    curves = norm.withColumns({"val": F.col("norm_mean"), "lower": F.col("norm_mean") - F.col("norm_sd"),
+                               "upper": F.col("norm_mean") + F.col("norm_sd")})
+    return rounded(W.curve_extents(curves, by=("compound",), clamp=False))
+
+
+# Surrogate origins of two patients, appended to their names as one figure does.
+ORIGINS = (("BUILDING", "Primary"), ("MACHINERY", "Metastasis"))
+
+
+def patient_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patient names with their origin appended, of the normalised curves."""
+    norm = W.dose_response(S.objects(spark, sf_dir), metric="proportion")
+    return rounded(norm.withColumn("patient", C.with_origin("patient", ORIGINS)).select(
+        "patient", "compound", "concentration", "day", "nlive"))
+
+
 def dose_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1 + F2 + F4: named compound/dose conditions (OR of ANDs), day 0 excluded."""
     o = S.objects(spark, sf_dir)
@@ -132,6 +151,14 @@ def feature_heatmap_rms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(hm.select("sample", *keys, "variable", "mean_val", "scaled"))
 
 
+def feature_heatmap_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R6 + A4: all objects, mean per condition and call, neither filtered nor scaled."""
+    keys = ("compound", "concentration", "patient", "day", "ld")
+    hm = FT.heatmap(S.objects_wide(spark, sf_dir), keys=keys,
+                    sample_keys=("patient", "day", "compound", "concentration", "ld"), scale=None)
+    return rounded(hm.select("sample", *keys, "variable", "mean_val"))
+
+
 def feature_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Euclidean distances between z-scored feature rows of the live/dead heatmap."""
     wide = S.objects_wide(spark, sf_dir).where(F.col("compound").isin("Media", "STA"))
@@ -144,9 +171,8 @@ def feature_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedding_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T12 on the embeddings: distances between the 64 vector positions over all vectors."""
     emb = read_table(spark, sf_dir, "embeddings")
-    dims = [f"d{i + 1:02d}" for i in range(64)]
-    wide = emb.select(*[F.try_element_at("embedding", F.lit(i + 1)).cast("double").alias(d) for i, d in enumerate(dims)])
-    return rounded(FT.column_distance(wide, dims))
+    wide = emb.select(*S.positions(emb, lambda i: f"d{i:02d}"))
+    return rounded(FT.column_distance(wide, wide.columns))
 
 
 def feature_density(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,6 +221,23 @@ def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.consensus_votes(S.survey(spark, sf_dir))
 
 
+# Surrogate orders and labels of the groups and items of the vote plot.
+VOTE_GROUPS = (("src0", "Experts"), ("Majority", "Majority"), ("src1", "ML"), ("src2", "Dye"))
+VOTE_ITEMS = (("quality", "1"), ("toxic", "2"), ("lang", "3"))
+
+
+def consensus_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T10 with its ordered recodes (P8): votes by labelled group and item."""
+    return M.consensus_votes(S.survey(spark, sf_dir), groups=VOTE_GROUPS, items=VOTE_ITEMS).groupBy(
+        "variable", "item_rank", "value", "grp", "grp_rank").agg(F.sum("n").alias("n"))
+
+
+def vote_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of each answer, one column per item."""
+    counts = M.consensus_votes(S.survey(spark, sf_dir))
+    return spread(counts.where(F.col("value").isin("0", "1")), ["value", "grp"], "variable", "n", ["quality", "toxic"])
+
+
 # Surrogate recode of document languages (levels in display order, and labels).
 LANG_LEVELS = ("en", "de", "fr", "es")
 LANG_LABELS = ("English", "German", "French", "Spanish")
@@ -220,42 +263,56 @@ def unique_uid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report
 
 
+# What both methods record alike of an object (only the call differs).
+SAME = ("quantity", "compound", "concentration", "day", "patient", "plate_row", "plate_col")
+
+
 def unify_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R8 + J1: vital-dye and imaging calls of the same objects in one table."""
-    unified, _ = M.paired_calls(S.vd_side(spark, sf_dir), S.ml_side(spark, sf_dir))
+    unified, _ = M.paired_calls(S.vd_side(spark, sf_dir), S.ml_side(spark, sf_dir), collapse=SAME)
     return rounded(unified)
 
 
 def restack_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R9 + U1: the two calls of each object as two rows tagged by assay."""
-    unified, _ = M.paired_calls(S.vd_side(spark, sf_dir), S.ml_side(spark, sf_dir))
+    unified, _ = M.paired_calls(S.vd_side(spark, sf_dir), S.ml_side(spark, sf_dir), collapse=SAME)
     return rounded(restack(unified, "ld", "_VD", "_Imaging"))
 
 
 def method_compare_same(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T8 + P18: proportion-live curves of the same objects by each method."""
-    unified, _ = M.paired_calls(S.vd_side(spark, sf_dir), S.ml_side(spark, sf_dir))
+    unified, _ = M.paired_calls(S.vd_side(spark, sf_dir), S.ml_side(spark, sf_dir), collapse=SAME)
     return rounded(M.method_compare_same(unified))
 
 
 # --- assay plates --------------------------------------------------------------------------------
 
 def plate_background(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J5 + P15 + F6: per-plate background subtraction; dose 0.25 dropped on plate F, missing kept."""
-    bg = A.subtract_background(S.plates(spark, sf_dir), exclude_doses={"F": [0.25]})
+    """J5 + P15 + F6: per-plate background subtraction; dose 0.25 dropped on plate F3, missing kept."""
+    bg = A.subtract_background(S.plates(spark, sf_dir), exclude_doses={"F3": [0.25]})
     return rounded(bg)
 
 
+def plate_normalised_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unrounded table of ``plate_normalised``."""
+    return A.plate_normalised(A.subtract_background(S.plates(spark, sf_dir), exclude_doses={"F3": [0.25]}))
+
+
 def plate_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T7 (A5 + A6 + J6 + U2 + W7): treatment means relative to the control of the same day."""
-    bg = A.subtract_background(S.plates(spark, sf_dir), exclude_doses={"F": [0.25]})
-    return rounded(A.plate_normalised(bg))
+    return rounded(plate_normalised_table(spark, sf_dir))
+
+
+# Treatments left out of the concordance plot, and the days kept.
+CONCORDANCE_EXCLUDED = ("IRI_40", "OXA_20", "OXA_40", "Media", "IRI_0.74", "IRI_2.22", "IRI_6.66", "IRI_0.082", "IRI_0.25")
+CONCORDANCE_DAYS = (1, 3, 7)
+CONCORDANCE_PATIENTS = ("BUILDING", "MACHINERY")
 
 
 def _assay_concordance(spark: SparkSession, sf_dir: str) -> DataFrame:
     imaging = W.dose_response(S.objects(spark, sf_dir), metric="proportion")
-    bg = A.subtract_background(S.plates(spark, sf_dir), exclude_doses={"F": [0.25]}).drop("patient")
-    return A.assay_concordance(imaging, bg, patient="BUILDING")
+    bg = A.subtract_background(S.plates(spark, sf_dir), exclude_doses={"F3": [0.25]}).drop("patient")
+    return A.assay_concordance(imaging, bg, CONCORDANCE_PATIENTS, CONCORDANCE_EXCLUDED, CONCORDANCE_DAYS)
 
 
 # Display labels of the treatments in the concordance plot.
@@ -296,11 +353,14 @@ def queries() -> dict[str, Query]:
         "curve_table": curve_table,
         "curve_extents": curve_extents,
         "curve_days": curve_days,
+        "plate_extents": plate_extents,
+        "patient_origins": patient_origins,
         "dose_filter": dose_filter,
         "feature_long": feature_long,
         "feature_heatmap_media": feature_heatmap_media,
         "feature_heatmap_z": feature_heatmap_z,
         "feature_heatmap_rms": feature_heatmap_rms,
+        "feature_heatmap_plain": feature_heatmap_plain,
         "feature_distance": feature_distance,
         "embedding_distance": embedding_distance,
         "feature_density": feature_density,
@@ -310,6 +370,8 @@ def queries() -> dict[str, Query]:
         "transition_graph": transition_graph,
         "concordance_status": concordance_status,
         "majority_vote": majority_vote,
+        "consensus_votes": consensus_votes,
+        "vote_table": vote_table,
         "recode_labels": recode_labels,
         "factor_codes": factor_codes,
         "unique_uid": unique_uid,

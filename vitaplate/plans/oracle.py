@@ -22,9 +22,7 @@ def ieee(num: str, den: str) -> str:
 
 def num_label(x: str) -> str:
     """Shortest decimal text of a double (20 -> '20', 0.74 -> '0.74')."""
-    t = f"CAST(CAST({x} AS DECIMAL(18,6)) AS VARCHAR)"
-    t = f"(CASE WHEN strpos({t}, '.') > 0 THEN regexp_replace({t}, '0+$', '') ELSE {t} END)"
-    return f"regexp_replace({t}, '\\.$', '')"
+    return f"regexp_replace(CAST({x} AS VARCHAR), '\\.0$', '')"
 
 
 OBJECTS = """objects AS (
@@ -34,9 +32,11 @@ OBJECTS = """objects AS (
          CASE l_returnflag WHEN 'N' THEN CAST(NULL AS DOUBLE)
               WHEN 'A' THEN CAST(20 * (CAST(round(l_discount * 100) AS INTEGER) % 4) AS DOUBLE)
               ELSE CAST(5 AS DOUBLE) END AS concentration,
-         CAST(year(l_shipdate) - 1995 AS INTEGER) AS day,
-         CASE l_linestatus WHEN 'O' THEN 'Live' ELSE 'Dead' END AS ld,
-         l_suppkey % 8 AS plate_row, l_linenumber AS plate_col,
+         CAST(list_extract([0, 1, 2, 3, 5, 7, 10], year(l_shipdate) - 1994) AS INTEGER) AS day,
+         CASE WHEN l_returnflag = 'R' AND year(l_shipdate) = 1995 AND c_mktsegment = 'FURNITURE' THEN 'Dead'
+              WHEN l_returnflag = 'A' AND l_suppkey % 2 = 0 AND c_mktsegment = 'HOUSEHOLD' THEN 'Live'
+              WHEN l_linestatus = 'O' THEN 'Live' ELSE 'Dead' END AS ld,
+         l_suppkey % 2 AS plate_row, l_linenumber % 2 + 1 AS plate_col,
          l_quantity AS region_area, l_extendedprice AS region_intensity,
          CASE WHEN l_partkey % 97 = 0 THEN CAST(NULL AS DOUBLE) ELSE l_tax END AS region_texture,
          l_partkey AS object_no
@@ -87,7 +87,8 @@ def treatments(src: str, p: str) -> str:
     label = f"concat(compound, CASE WHEN concentration IS NULL THEN '' ELSE concat('_', {num_label('concentration')}) END)"
     return f"""{p}_d AS (SELECT DISTINCT compound, concentration FROM {src}),
 {p}_n AS (SELECT compound, count(*) AS n_doses FROM {p}_d GROUP BY compound),
-{p}_j AS (SELECT {p}_d.compound, {p}_d.concentration, {p}_n.n_doses FROM {p}_d JOIN {p}_n ON {p}_d.compound = {p}_n.compound),
+{p}_j AS (SELECT {p}_d.compound, {p}_d.concentration, {p}_n.n_doses FROM {p}_d
+          JOIN {p}_n ON {p}_d.compound IS NOT DISTINCT FROM {p}_n.compound),
 {p}_pin AS (SELECT count(*) AS n FROM {p}_j WHERE n_doses = 1 AND lower(compound) IN ('media', 'control')),
 {p}_o AS (
   SELECT compound, concentration, {label} AS treatment,
@@ -95,7 +96,12 @@ def treatments(src: str, p: str) -> str:
               CASE WHEN n_doses = 1 AND lower(compound) IN ('media', 'control') AND (SELECT n FROM {p}_pin) = 1
                    THEN 0 ELSE 1 END,
               compound NULLS LAST, concentration NULLS LAST) AS INTEGER) AS treatment_rank,
-         CAST(n_doses AS INTEGER) AS n_doses
+         CAST(dense_rank() OVER (ORDER BY CASE WHEN n_doses = 1 THEN 0 ELSE 1 END,
+              CASE WHEN n_doses = 1 AND lower(compound) IN ('media', 'control') AND (SELECT n FROM {p}_pin) = 1
+                   THEN 0 ELSE 1 END, compound NULLS LAST) AS INTEGER) AS compound_rank,
+         CAST(n_doses AS INTEGER) AS n_doses,
+         CAST((SELECT count(*) FROM {p}_n) AS INTEGER) AS n_compounds,
+         CAST((SELECT count(*) FROM {p}_n WHERE lower(compound) IN ('media', 'control')) AS INTEGER) AS n_controls
   FROM {p}_j)"""
 
 
@@ -268,8 +274,8 @@ links AS (SELECT compound, CAST(stage AS INTEGER) AS stage,
                       THEN 'type_b' ELSE 'type_a' END AS "group"
           FROM coded)"""
 
-NODES = """ends AS (SELECT compound, source AS name, link_order AS k FROM links
-         UNION ALL SELECT compound, target AS name, link_order + 1000 AS k FROM links),
+NODES = """ends AS (SELECT compound, source AS name, (0, link_order) AS k FROM links
+         UNION ALL SELECT compound, target AS name, (1, link_order) AS k FROM links),
 firsts AS (SELECT compound, name, min(k) AS k FROM ends GROUP BY ALL),
 nodes AS (SELECT compound, name, CAST(row_number() OVER (PARTITION BY compound ORDER BY k) - 1 AS INTEGER) AS node_id,
                  CASE WHEN regexp_extract(name, '_(.)-ML_(.)', 1) = regexp_extract(name, '_(.)-ML_(.)', 2)
@@ -297,18 +303,17 @@ def _side(imaging: bool) -> str:
        CASE l_returnflag WHEN 'N' THEN CAST(NULL AS DOUBLE)
             WHEN 'A' THEN CAST(20 * (CAST(round(l_discount * 100) AS INTEGER) % 4) AS DOUBLE)
             ELSE CAST(5 AS DOUBLE) END AS concentration,
-       CAST(year(l_shipdate) - 1995 AS INTEGER) AS day, c_mktsegment AS patient,
-       l_suppkey % 8 AS plate_row, l_linenumber AS plate_col
+       CAST(list_extract([0, 1, 2, 3, 5, 7, 10], year(l_shipdate) - 1994) AS INTEGER) AS day, c_mktsegment AS patient,
+       l_suppkey % 2 AS plate_row, l_linenumber % 2 + 1 AS plate_col
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey {where}"""
 
 
 UNIFIED = f"""vd AS ({_side(False)}),
 ml AS ({_side(True)}),
 vdu AS (SELECT * FROM vd WHERE uid IN (SELECT uid FROM vd GROUP BY uid HAVING count(*) = 1)),
-mlu AS (SELECT * FROM ml WHERE uid IN (SELECT uid FROM ml GROUP BY uid HAVING count(*) = 1)),
 uni AS (SELECT v.uid, m.compound, m.concentration, m.day, m.patient, m.plate_row, m.plate_col, m.quantity,
                m.ld AS ld_Imaging, v.ld AS ld_VD
-        FROM vdu v LEFT JOIN mlu m ON v.uid = m.uid)"""
+        FROM vdu v LEFT JOIN ml m ON v.uid = m.uid)"""
 
 RESTACKED = """rs AS (
   SELECT uid, concat(coalesce(compound, 'NA'), '_VD') AS compound, concentration, day, patient, plate_row, plate_col,
@@ -318,14 +323,18 @@ RESTACKED = """rs AS (
          quantity, ld_Imaging AS ld, concat(coalesce(compound, 'NA'), '_Imaging') AS treatment, '_Imaging' AS assay FROM uni)"""
 
 PLATES = """plates AS (
-  SELECT o_orderstatus AS plate, CASE o_orderstatus WHEN 'O' THEN 6 ELSE 3 END AS day,
-         CASE o_orderpriority WHEN '1-URGENT' THEN 'Media' WHEN '2-HIGH' THEN 'IRI' WHEN '3-MEDIUM' THEN 'STA'
+  SELECT concat(o_orderstatus, CAST(list_extract([1, 3, 7], o_custkey % 3 + 1) AS VARCHAR)) AS plate,
+         list_extract([1, 3, 7], o_custkey % 3 + 1) AS day,
+         CASE o_orderpriority WHEN '1-URGENT' THEN list_extract(['Media', 'control', 'media', NULL], o_custkey % 4 + 1) WHEN '2-HIGH' THEN 'IRI' WHEN '3-MEDIUM' THEN 'STA'
                               WHEN '5-LOW' THEN 'ATP' ELSE 'NOC' END AS compound,
          CASE o_orderpriority WHEN '1-URGENT' THEN CAST(NULL AS DOUBLE)
                               WHEN '2-HIGH' THEN CAST(20 * (o_custkey % 4) AS DOUBLE)
                               WHEN '3-MEDIUM' THEN CAST(5 AS DOUBLE)
-                              WHEN '5-LOW' THEN CAST(o_custkey % 2 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS concentration,
-         'BUILDING' AS patient, o_totalprice AS signal
+                              WHEN '5-LOW' THEN CAST(o_custkey % 2 AS DOUBLE)
+                              ELSE CASE WHEN o_custkey % 5 = 0 THEN CAST(0.25 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END END AS concentration,
+         'BUILDING' AS patient,
+         o_totalprice * CASE o_orderpriority WHEN '5-LOW' THEN CAST(0.01 AS DOUBLE) WHEN '2-HIGH' THEN CAST(0.5 AS DOUBLE)
+                                             WHEN '3-MEDIUM' THEN CAST(0.25 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS signal
   FROM orders),
 bgv AS (SELECT plate, avg(signal) FILTER (WHERE compound = 'ATP' AND concentration = 0) AS bg FROM plates GROUP BY plate),
 bgp AS (
@@ -333,7 +342,7 @@ bgp AS (
          CASE WHEN p.compound IS NULL OR p.compound IN ('control', 'Control', 'media') THEN 'Media' ELSE p.compound END AS compound,
          p.concentration, p.patient, p.signal - bgv.bg AS signal
   FROM plates p LEFT JOIN bgv ON p.plate IS NOT DISTINCT FROM bgv.plate
-  WHERE coalesce(p.plate <> 'F' OR p.concentration IS NULL OR NOT p.concentration IN (0.25), true))"""
+  WHERE coalesce(p.plate <> 'F3' OR p.concentration IS NULL OR NOT p.concentration IN (0.25), true))"""
 
 PLATE_NORM = f"""per AS (SELECT compound, concentration, day, {mean_strict('signal')} AS mean,
                 CASE WHEN count(signal) = count(*) THEN stddev_samp(signal) END AS sd
@@ -344,7 +353,8 @@ pn AS (SELECT per.*, {ieee('mean', 'c')} AS norm_mean, {ieee('sd', 'c')} AS norm
 CONCORDANCE = f"""img AS (SELECT n.patient, n.compound, n.concentration, n.day, n.live_mean,
                 CASE WHEN t.treatment = 'STA' THEN 'STA_5' ELSE t.treatment END AS treatment
          FROM norm n {_tjoin('n', 'it_o')}),
-pl AS (SELECT plate, day, compound, concentration, signal, 'BUILDING' AS patient FROM bgp),
+pl AS (SELECT plate, day, compound, concentration, signal, pp.patient FROM bgp
+       CROSS JOIN (VALUES ('BUILDING'), ('MACHINERY')) pp(patient)),
 {treatments('pl', 'pt')},
 ptr AS (SELECT pl.day, pl.concentration, pl.signal, pl.patient,
                CASE WHEN t.treatment = 'media' THEN 'Media' WHEN t.treatment = 'STA' THEN 'STA_5' ELSE t.treatment END AS treatment
@@ -389,6 +399,29 @@ def oracle_sql() -> dict[str, str]:
         "curve_days": _q(OBJECTS, WELL_COUNTS, _normalised("proportion"), treatments("norm", "tr"), CURVES, body="""
             SELECT patient, day, CAST(row_number() OVER (PARTITION BY patient ORDER BY day) AS INTEGER) AS day_rank
             FROM (SELECT DISTINCT patient, day FROM ct) d"""),
+        "plate_extents": sql_rounded(_q(PLATES, PLATE_NORM, body="""
+            SELECT compound, floor(CASE WHEN lo > 0 THEN 0.0 ELSE lo END)::DOUBLE AS y_min,
+                   CASE WHEN hi < 2 THEN round_even(hi, 1) ELSE CAST(ceil(hi) AS DOUBLE) END AS y_max,
+                   CAST(n_days AS INTEGER) AS n_days
+            FROM (SELECT compound, max(norm_mean + norm_sd) AS hi, min(norm_mean - norm_sd) AS lo,
+                         count(DISTINCT day) AS n_days FROM pn GROUP BY compound) g"""), ["y_min", "y_max"]),
+        "patient_origins": sql_rounded(_q(OBJECTS, WELL_COUNTS, _normalised("proportion"), body="""
+            SELECT CASE patient WHEN 'BUILDING' THEN 'BUILDING (Primary)' WHEN 'MACHINERY' THEN 'MACHINERY (Metastasis)'
+                        ELSE patient END AS patient, compound, concentration, day, nlive FROM norm"""), ["concentration", "nlive"]),
+        "feature_heatmap_plain": sql_rounded(_q(OBJECTS, _heatmap("true", ["compound", "concentration", "patient", "day", "ld"],
+            [("patient", "s"), ("day", "s"), ("compound", "s"), ("concentration", "double"), ("ld", "s")], "z"), body=(
+            "SELECT sample, compound, concentration, patient, day, ld, variable, mean_val FROM hm")), ["concentration", "mean_val"]),
+        "consensus_votes": _q(SURVEY, body="""
+            SELECT i.label AS variable, i.rank AS item_rank, al.value, g.label AS grp, g.rank AS grp_rank, CAST(count(*) AS BIGINT) AS n
+            FROM al LEFT JOIN (VALUES ('quality', '1', 1), ('toxic', '2', 2), ('lang', '3', 3)) i(name, label, rank)
+                      ON al.variable = i.name
+                    LEFT JOIN (VALUES ('src0', 'Experts', 1), ('Majority', 'Majority', 2), ('src1', 'ML', 3), ('src2', 'Dye', 4))
+                      g(name, label, rank) ON al.grp = g.name
+            GROUP BY ALL"""),
+        "vote_table": _q(SURVEY, body="""
+            SELECT value, grp, nullif(count(*) FILTER (WHERE variable = 'quality'), 0) AS quality,
+                   nullif(count(*) FILTER (WHERE variable = 'toxic'), 0) AS toxic
+            FROM al WHERE value IN ('0', '1') GROUP BY value, grp"""),
         "dose_filter": sql_rounded(_q(OBJECTS, body=DOSE_FILTER), ["concentration", "region_area"]),
         "feature_long": sql_rounded(_q(OBJECTS, body=_feature_long("compound = 'Media'")), ["concentration", "value"]),
         "feature_heatmap_media": sql_rounded(_q(OBJECTS, hm_media, body=(
@@ -399,8 +432,8 @@ def oracle_sql() -> dict[str, str]:
                                            ["concentration", "mean_val", "scaled"]),
         "feature_distance": sql_rounded(_distance(), ["distance"]),
         "embedding_distance": sql_rounded("""
-            WITH l AS (SELECT vec_id, CAST(g.range AS INTEGER) AS i, CAST(embedding[g.range] AS DOUBLE) AS x
-                       FROM embeddings CROSS JOIN range(1, 65) g),
+            WITH l AS (SELECT vec_id, unnest(generate_series(1, len(embedding)))::INTEGER AS i,
+                              unnest(embedding)::DOUBLE AS x FROM embeddings),
                  pr AS (SELECT a.i AS i, b.i AS j, a.x - b.x AS d FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.i < b.i)
             SELECT printf('d%02d', i) AS feature_a, printf('d%02d', j) AS feature_b,
                    CASE WHEN count(d) > 0 THEN sqrt(sum(d * d) * (SELECT count(*) FROM embeddings) / count(d)) END
@@ -458,11 +491,12 @@ def oracle_sql() -> dict[str, str]:
             FROM conc WHERE norm_media BETWEEN 0 AND 1 AND mean_pa BETWEEN 0 AND 1 GROUP BY treatment"""),
             ["slope", "intercept", "r2"]),
         "assay_points": sql_rounded(_q(*_concordance_ctes(), body="""
-            SELECT treatment, norm_media, avg(mean_pa) AS mean_y, count(*) AS n
-            FROM conc WHERE norm_media BETWEEN 0 AND 1 AND mean_pa BETWEEN 0 AND 1 GROUP BY ALL"""),
+            SELECT treatment, min(norm_media) AS norm_media, avg(mean_pa) AS mean_y, count(*) AS n
+            FROM conc WHERE norm_media BETWEEN 0 AND 1 AND mean_pa BETWEEN 0 AND 1
+            GROUP BY treatment, round(norm_media, 9)"""),
             ["norm_media", "mean_y"]),
         "plate_grid": sql_rounded("""
-            SELECT concat(CAST(vec_id AS VARCHAR), lpad(CAST(g.range AS VARCHAR), 2, '0')) AS well, vec_id AS plate_row,
-                   CAST(g.range AS INTEGER) AS plate_col, CAST(embedding[g.range] AS DOUBLE) AS signal
-            FROM embeddings CROSS JOIN range(1, 65) g""", ["signal"]),
+            SELECT concat(CAST(vec_id AS VARCHAR), format('{:02d}', i)) AS well, vec_id AS plate_row, i AS plate_col, signal
+            FROM (SELECT vec_id, unnest(generate_series(1, len(embedding)))::INTEGER AS i, unnest(embedding)::DOUBLE AS signal
+                  FROM embeddings) e""", ["signal"]),
     }

@@ -42,6 +42,12 @@ def object_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(oc, li["l_orderkey"] == oc["o_orderkey"])
 
 
+def _imaging_day():
+    """Years 1995 to 2001 as imaging days 0, 1, 2, 3, 5, 7 and 10."""
+    y = F.year("l_shipdate") - 1995
+    return F.when(y == 4, 5).when(y == 5, 7).when(y == 6, 10).otherwise(y).cast("int")
+
+
 def _object_columns() -> dict:
     """Output column name -> expression over ``object_base`` (FIXTURES.md §2.1)."""
     rf, ls = F.col("l_returnflag"), F.col("l_linestatus")
@@ -53,10 +59,13 @@ def _object_columns() -> dict:
         "concentration": F.when(rf == "N", null_dbl)
         .when(rf == "A", (F.lit(20) * (F.round(F.col("l_discount") * 100).cast("int") % 4)).cast("double"))
         .otherwise(F.lit(5.0)),
-        "day": (F.year("l_shipdate") - 1995).cast("int"),
-        "ld": F.when(ls == "O", "Live").otherwise("Dead"),
-        "plate_row": F.col("l_suppkey") % 8,
-        "plate_col": F.col("l_linenumber"),
+        "day": _imaging_day(),
+        # one condition all dead on its first day, one without dead objects in half its wells
+        "ld": F.when((rf == "R") & (_imaging_day() == 0) & (F.col("c_mktsegment") == "FURNITURE"), "Dead")
+        .when((rf == "A") & (F.col("l_suppkey") % 2 == 0) & (F.col("c_mktsegment") == "HOUSEHOLD"), "Live")
+        .when(ls == "O", "Live").otherwise("Dead"),
+        "plate_row": F.col("l_suppkey") % 2,
+        "plate_col": F.col("l_linenumber") % 2 + 1,
         "region_area": F.col("l_quantity"),
         "region_intensity": F.col("l_extendedprice"),
         "region_texture": F.when(F.col("l_partkey") % 97 == 0, null_dbl).otherwise(F.col("l_tax")),
@@ -95,14 +104,21 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Luminescence assay plates, one row per well."""
+    """Luminescence assay plates, one row per well: three plates on each of three days.
+
+    The control is spelled in four ways, one of them missing; a dose of 0.25
+    occurs; background wells shine a hundredth of the others.
+    """
     o = read_table(spark, sf_dir, "orders")
-    pr = F.col("o_orderpriority")
+    pr, cust = F.col("o_orderpriority"), F.col("o_custkey")
+    day = F.when(cust % 3 == 0, 1).when(cust % 3 == 1, 3).otherwise(7)
+    control = F.when(cust % 4 == 0, "Media").when(cust % 4 == 1, "control").when(cust % 4 == 2, "media")
+    price = F.col("o_totalprice")
     null_dbl = F.lit(None).cast(T.DoubleType())
     return o.select(
-        F.col("o_orderstatus").alias("plate"),
-        F.when(F.col("o_orderstatus") == "O", 6).otherwise(3).alias("day"),
-        F.when(pr == "1-URGENT", "Media")
+        F.concat("o_orderstatus", day.cast("string")).alias("plate"),
+        day.alias("day"),
+        F.when(pr == "1-URGENT", control)
         .when(pr == "2-HIGH", "IRI")
         .when(pr == "3-MEDIUM", "STA")
         .when(pr == "5-LOW", "ATP")
@@ -112,10 +128,11 @@ def plates(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(pr == "2-HIGH", (F.lit(20) * (F.col("o_custkey") % 4)).cast("double"))
         .when(pr == "3-MEDIUM", F.lit(5.0))
         .when(pr == "5-LOW", (F.col("o_custkey") % 2).cast("double"))
-        .otherwise(F.lit(1.0))
+        .otherwise(F.when(cust % 5 == 0, 0.25).otherwise(1.0))
         .alias("concentration"),
         F.lit("BUILDING").alias("patient"),
-        F.col("o_totalprice").alias("signal"),
+        F.when(pr == "5-LOW", price * 0.01).when(pr == "2-HIGH", price * 0.5).when(pr == "3-MEDIUM", price * 0.25)
+        .otherwise(price).alias("signal"),
     )
 
 
@@ -164,10 +181,13 @@ def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def grid(spark: SparkSession, sf_dir: str, width: int = 64) -> DataFrame:
-    """A wide plate grid: vec_id is the plate row, array positions 1..width the plate columns."""
+def positions(emb: DataFrame, names) -> list:
+    """The positions of the vectors as columns ``names(i)``, i from 1; the width is that of the longest vector."""
+    width = emb.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return [F.try_element_at("embedding", F.lit(i)).cast("double").alias(names(i)) for i in range(1, width + 1)]
+
+
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wide plate grid: vec_id is the plate row, array positions the plate columns."""
     emb = read_table(spark, sf_dir, "embeddings")
-    return emb.select(
-        F.col("vec_id"),
-        *[F.try_element_at("embedding", F.lit(i + 1)).cast("double").alias(str(i + 1)) for i in range(width)],
-    )
+    return emb.select("vec_id", *positions(emb, str))

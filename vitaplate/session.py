@@ -57,7 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             master = spark.conf.get("spark.master", "") or (sc.master if sc is not None else "")
         except Exception:  # noqa: BLE001
             master = sc.master if sc is not None else ""
-        if master and not master.startswith("local"):
+        # "local" and "local[...]" run in one process; "local-cluster[...]" and unknown masters do not
+        if not (master == "local" or master.startswith("local[")):
             # A machine-local folder would vanish with its executor: the cluster must name a shared one.
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS or an object store)")
         key = id(spark)

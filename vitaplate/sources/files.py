@@ -9,14 +9,25 @@ through Hadoop's FileSystem (metadata only); rows are always read by Spark.
 
 from __future__ import annotations
 
+import csv
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from typing import Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitaplate.functions.names import strip_call_words, strip_leading_dash, survey_header, syntactic_name
+from vitaplate.functions.names import quoted, strip_call_words, strip_leading_dash, survey_header, syntactic_name, unique_names
+from vitaplate.operators.clean import infer_numeric, missing_text
+
+HEADER_THREADS = 16
+# Spark's error classes of schemas that do not merge.
+UNMERGEABLE = ("CANNOT_MERGE", "INCOMPATIBLE_DATA_TYPE")
+# Text that the readers take for a missing value.
+MISSING = "NA"
 
 # Sheet name layout "D<day>_<call>".
 SHEET_PATTERN = r"^D(\d+)_([^_/]+)$"
@@ -56,28 +67,18 @@ def first_line(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
     return (line or "").lstrip("﻿")
 
 
-def header_lines(spark: SparkSession, files: list[str]) -> dict[str, str]:
-    """First line of every file, found by one distributed pass instead of a driver loop.
+def header_lines(spark: SparkSession, files: list[str], encoding: str = "UTF-8") -> dict[str, str]:
+    """First line of every file; only the head of each file is read, a few files at a time.
 
-    Lines read from a split arrive in file order, so within the split that
-    starts at byte 0 the smallest ``monotonically_increasing_id`` is the first
-    line; ``min_by`` keeps it with partial aggregation.  One short string per
-    file comes back to the driver (metadata, bounded by the number of files).
+    One short string per file comes to the driver, which lists the files anyway.
     """
-    text = spark.read.text(files).select(
-        file_path().alias("path"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.col("value"),
-        F.monotonically_increasing_id().alias("_mid"),
-    )
-    firsts = text.where(F.col("start") == 0).groupBy("path").agg(F.min_by("value", "_mid").alias("header"))
-    found = {r.path: (r.header or "").lstrip("\ufeff") for r in firsts.collect()}
-    # Paths come back URI-qualified; map them to the listed names.
-    out = {}
-    for f in files:
-        key = f if f in found else next((p for p in found if p.endswith(f.split(":", 1)[-1])), None)
-        out[f] = found.get(key, "") if key else ""
-    return out
+    with ThreadPoolExecutor(HEADER_THREADS) as pool:
+        return dict(zip(files, pool.map(lambda f: first_line(spark, f, encoding), files)))
+
+
+def header_names(line: str) -> list[str]:
+    """The cells of a CSV header line."""
+    return next(csv.reader([line]), [])
 
 
 def _normalise_headers(df: DataFrame) -> DataFrame:
@@ -99,24 +100,29 @@ def read_experiments(spark: SparkSession, root: str, fmt: str = "csv") -> DataFr
         by_header: dict[str, list[str]] = {}
         for f, header in header_lines(spark, files).items():
             by_header.setdefault(header, []).append(f)
-        parts = [
-            _normalise_headers(spark.read.option("header", True).option("inferSchema", False).csv(fs))
-            .withColumn("_path", file_path())
-            for fs in by_header.values()
-        ]
+        parts = []
+        for header, fs in by_header.items():
+            names = unique_names(header_names(header))
+            schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+            one = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("nullValue", MISSING).csv(fs)
+            parts.append(_normalise_headers(one).withColumn("_path", file_path()))
         df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     else:
         try:
             df = _normalise_headers(spark.read.option("mergeSchema", True).parquet(*files))
             df.schema  # noqa: B018 - forces the schema merge now
             df = df.withColumn("_path", file_path())
-        except Exception:  # noqa: BLE001 - e.g. a column that is all-missing (null type) in one sheet
-            # Schemas that cannot be merged: read each sheet as text (S4) and bind by name.
-            parts = []
+        except (PySparkException, Py4JJavaError) as e:
+            # a column that is all-missing (null type) or text in one sheet; anything else is an error
+            if not any(w in str(e) for w in UNMERGEABLE):
+                raise
+            by_schema: dict[str, list[str]] = {}
             for f in files:
-                one = _normalise_headers(spark.read.parquet(f))
-                one = one.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in one.columns])
-                parts.append(one.withColumn("_path", file_path()))
+                by_schema.setdefault(spark.read.parquet(f).schema.json(), []).append(f)
+            parts = []
+            for fs in by_schema.values():  # text (S4) bound by name, one branch per layout
+                one = _normalise_headers(spark.read.parquet(*fs))
+                parts.append(one.select(*[quoted(c).cast("string").alias(c) for c in one.columns]).withColumn("_path", file_path()))
             df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     folder = F.regexp_extract("_path", r"([^/]+)/[^/]+$", 1)
     sheet = F.regexp_extract("_path", r"([^/]+)\.[^./]+$", 1)
@@ -127,16 +133,33 @@ def read_experiments(spark: SparkSession, root: str, fmt: str = "csv") -> DataFr
     }).drop("_path")
 
 
-def read_survey(spark: SparkSession, path: str) -> DataFrame:
-    """S6 + P9: survey CSV with inferred types; headers made syntactic, then shortened."""
-    df = spark.read.option("header", True).option("inferSchema", True).csv(path)
-    return df.toDF(*[survey_header(c) for c in df.columns])
+def _read_typed(spark: SparkSession, path: str, encoding: str, schema: T.StructType | None, rename) -> DataFrame:
+    """A CSV table with "NA" missing; the header's names pass through ``rename`` by position.
+
+    Types are inferred by a pass over the data unless ``schema`` gives them.
+    """
+    reader = spark.read.option("header", True).option("nullValue", MISSING).option("encoding", encoding)
+    if schema is not None:
+        return reader.schema(schema).csv(path)
+    found = list_files(spark, path) or list_files(spark, f"{path.rstrip('/')}/*.csv")
+    return reader.option("inferSchema", True).csv(path).toDF(*rename(header_names(first_line(spark, found[0], encoding))))
+
+
+def read_survey(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """S6 + P9: survey CSV with inferred types; headers made syntactic and unique, then shortened."""
+    return _read_typed(spark, path, "UTF-8", schema, lambda names: unique_names(
+        [survey_header(n) for n in unique_names([syntactic_name(n) for n in names])]))
+
+
+def read_tracked(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """Latin-1 CSV with inferred types and syntactic, unique headers (non-name characters -> dots)."""
+    return _read_typed(spark, path, "ISO-8859-1", schema, lambda names: unique_names([syntactic_name(n) for n in names]))
 
 
-def read_tracked(spark: SparkSession, path: str) -> DataFrame:
-    """Latin-1 CSV with inferred types and syntactic headers (non-name characters -> dots)."""
-    df = spark.read.option("header", True).option("inferSchema", True).option("encoding", "ISO-8859-1").csv(path)
-    return df.toDF(*[syntactic_name(c) for c in df.columns])
+def well_id(row: Column, number: Column) -> Column:
+    """Row label and column number of two digits at least ("A01", "A120")."""
+    text = number.cast("string")
+    return F.concat(row.cast("string"), F.when(F.length(text) < 2, F.lpad(text, 2, "0")).otherwise(text))
 
 
 def plate_wells(grid: DataFrame, row: str, value: str = "value", columns: Sequence[str] | None = None) -> DataFrame:
@@ -145,24 +168,26 @@ def plate_wells(grid: DataFrame, row: str, value: str = "value", columns: Sequen
     Well id = row label + two-digit column ("A01").  Blank cells stay as NULL values.
     """
     cols = list(columns) if columns is not None else [c for c in grid.columns if c != row]
-    long = grid.select(row, *[F.col(f"`{c}`").cast("double").alias(c) for c in cols]).unpivot(
+    long = grid.select(row, *[quoted(c).cast("double").alias(c) for c in cols]).unpivot(
         [row], cols, "_col", value)
     col_no = F.col("_col").cast("int")
     return long.select(
-        F.concat(F.col(row).cast("string"), F.lpad(col_no.cast("string"), 2, "0")).alias("well"),
+        well_id(F.col(row), col_no).alias("well"),
         F.col(row).alias("plate_row"),
         col_no.alias("plate_col"),
         F.col(value),
     )
 
 
-def read_plate_files(spark: SparkSession, path: str) -> DataFrame:
+def read_plate_files(spark: SparkSession, path: str, blocks: Sequence[str] | None = None, typed: bool = True) -> DataFrame:
     """S8 for plate-layout CSV files: blocks "<name>,1,2,..." followed by lettered rows.
 
     Each file is tiny (one plate), so a file is read whole and split into lines;
     lines are numbered per file, blocks found by their header lines, cells
     exploded with their column number and the blocks joined on the well id.
-    Returns (file, well, <one text column per block>).
+    Blank cells and "NA" are missing.  Returns (file, well, <one column per
+    block>); a block whose cells all parse is numeric unless ``typed`` is off.
+    ``blocks`` names the blocks, which spares the job that looks for them.
     """
     raw = spark.read.option("wholetext", True).text(path).select(
         file_path().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("ln", "line"))
@@ -174,13 +199,15 @@ def read_plate_files(spark: SparkSession, path: str) -> DataFrame:
     data = lines.where(~is_header & (F.trim(F.col("line")) != "") & F.col("block").isNotNull())
     wells = data.select(
         "file", "block", F.trim(F.col("cells")[0]).alias("_row"),
-        F.posexplode(F.slice("cells", 2, 10_000)).alias("_c", "_v"),
+        F.posexplode(F.slice("cells", F.lit(2), F.greatest(F.size("cells") - 1, F.lit(0)))).alias("_c", "_v"),
     ).select(
         "file", "block",
-        F.concat(F.col("_row"), F.lpad((F.col("_c") + 1).cast("string"), 2, "0")).alias("well"),
-        F.nullif(F.trim("_v"), F.lit("")).alias("_v"),
+        well_id(F.col("_row"), F.col("_c") + 1).alias("well"),
+        missing_text(F.col("_v")).alias("_v"),
     )
-    return wells.groupBy("file", "well").pivot("block").agg(F.first("_v"))
+    by = wells.groupBy("file", "well")
+    out = (by.pivot("block", list(blocks)) if blocks is not None else by.pivot("block")).agg(F.first("_v"))
+    return infer_numeric(out, [c for c in out.columns if c not in ("file", "well")]) if typed else out
 
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str] = ("exp_id", "day"), mode: str = "overwrite") -> None:
