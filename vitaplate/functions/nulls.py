@@ -70,25 +70,36 @@ def num_label(x: ColumnOrName) -> Column:
     """
     x = _c(x).cast("double")
     text = F.regexp_replace(F.abs(x).cast(T.StringType()), r"\.0(?=E|$)", "")
-    power = F.coalesce(F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
-    whole = F.regexp_extract(text, r"^([0-9]+)", 1)
-    part = F.regexp_extract(text, r"\.([0-9]+)", 1)
+    label = _let(text, lambda t: F.when(~t.rlike("^[0-9]"), t).otherwise(_let(_digits_and_exponent(t), _shorter_notation)))
+    return F.concat(F.when(x < 0, "-").otherwise(""), label)
+
+
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` computed once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _digits_and_exponent(t: Column) -> Column:
+    """The significant digits of a number's text, and the exponent of the first of them."""
+    power = F.coalesce(F.regexp_extract(t, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+    whole, part = F.regexp_extract(t, r"^([0-9]+)", 1), F.regexp_extract(t, r"\.([0-9]+)", 1)
     digits = F.regexp_replace(F.concat(whole, part), "^0+|0+$", "")
-    # exponent of the first significant digit
-    zeros = F.length(F.regexp_extract(part, "^(0*)", 1))
-    e = power + F.when(whole == "0", -zeros - 1).otherwise(F.length(whole) - 1)
-    n = F.length(digits)
+    first = F.when(whole == "0", -F.length(F.regexp_extract(part, "^(0*)", 1)) - 1).otherwise(F.length(whole) - 1)
+    return F.struct(digits.alias("d"), F.length(digits).alias("n"), (power + first).alias("e"))
+
+
+def _shorter_notation(s: Column) -> Column:
+    d, n, e = s["d"], s["n"], s["e"]
     fixed = (
-        F.when(e >= n - 1, F.concat(digits, F.repeat(F.lit("0"), e - n + 1)))
-        .when(e >= 0, F.concat(F.substring(digits, F.lit(1), e + 1), F.lit("."), F.substring(digits, e + 2, n)))
-        .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits))
+        F.when(e >= n - 1, F.concat(d, F.repeat(F.lit("0"), e - n + 1)))
+        .when(e >= 0, F.concat(F.substring(d, F.lit(1), e + 1), F.lit("."), F.substring(d, e + 2, n)))
+        .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), d))
     )
-    mantissa = F.concat(F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(""))
+    mantissa = F.concat(F.substring(d, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(d, F.lit(2), n))).otherwise(""))
     exponent = F.concat(F.when(e < 0, "e-").otherwise("e+"), F.when(F.abs(e) < 10, "0").otherwise(""), F.abs(e).cast("string"))
-    science = F.concat(mantissa, exponent)
-    label = F.when(F.length(fixed) <= F.length(science), fixed).otherwise(science)
-    label = F.when(text.rlike("^[0-9]"), F.when(digits == "", "0").otherwise(label)).otherwise(text)
-    return F.concat(F.when(x < 0, "-").otherwise(""), label)
+    both = F.struct(fixed.alias("fixed"), F.concat(mantissa, exponent).alias("science"))
+    shorter = _let(both, lambda b: F.when(F.length(b["fixed"]) <= F.length(b["science"]), b["fixed"]).otherwise(b["science"]))
+    return F.when(n == 0, "0").otherwise(shorter)
 
 
 def text_or_na(x: ColumnOrName, dtype: T.DataType | None = None) -> Column:
