@@ -49,6 +49,17 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def filtered(docs: DataFrame, names: list[str], keep) -> DataFrame:
+    """The rows of ``docs`` that ``keep`` leaves, with the columns of ``docs``.
+
+    ``keep`` adds columns called ``names`` and drops rows; columns of ``docs`` with such names are put aside meanwhile.
+    """
+    taken = {n.lower() for n in names}
+    aside = {c: f"_aside_{i}_" for i, c in enumerate(docs.columns) if c.lower() in taken}
+    kept = keep(docs.withColumnsRenamed(aside))
+    return kept.select(*[kept[aside.get(c, c)].alias(c) for c in docs.columns])
+
+
 def crc_mod(doc_id: str, modulus: int):
     """crc32 of the id's decimal text, modulo ``modulus`` (null id: null)."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus

@@ -276,9 +276,7 @@ def contaminated():
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """``docs`` without the contaminated ones; the columns of ``docs``."""
-    kept = find_contamination(docs, items, **options).where(~contaminated())
-    new = {f.name for f in RESULT}
-    return kept.select(*[c for c in docs.columns if c not in new])
+    return C.filtered(docs, [f.name for f in RESULT], lambda d: find_contamination(d, items, **options).where(~contaminated()))
 
 
 def digest(found: DataFrame) -> DataFrame:

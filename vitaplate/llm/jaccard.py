@@ -330,13 +330,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component: the one whose id names it.
 
-    Rows without words all stay.  Of rows with that same id, one stays; a
-    component without ids keeps none but its rows without words.
+    Rows without words all stay, and so do rows that repeat the id that stays.
+    A row without an id stays only where its component has none with one; it
+    goes by a hash of its text, so equal texts without ids all stay or all go.
     """
-    classes = jaccard_classes(docs)
-    stay = classes.where("doc_id = component_id").select(F.col("doc_id").alias("stay")).distinct()
-    kept = docs.join(stay, F.col("doc_id") == F.col("stay"), "left_semi")
-    return kept
+    by_text = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseOR(F.lit(1 << 62)).bitwiseAND(F.lit((1 << 63) - 1))
+    name = F.coalesce(F.col("doc_id").cast("long"), by_text)
+    classes = jaccard_classes(docs.select(name.alias("doc_id"), "text"))
+    stay = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
+    return docs.join(stay, name == F.col("_stay"), "left_semi")
 
 
 def brute_force(docs: list[tuple]) -> list[tuple]:

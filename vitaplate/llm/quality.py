@@ -277,8 +277,7 @@ def score_quality(docs: DataFrame, model: AdditiveModel) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: AdditiveModel) -> DataFrame:
     """The rows of ``docs`` that the model accepts, with the columns of ``docs``."""
-    kept = score_quality(docs, model).where("predicted = 1")
-    return kept.select(*[c for c in docs.columns if c.lower() not in ("score", "predicted")])
+    return C.filtered(docs, ["score", "predicted"], lambda d: score_quality(d, model).where("predicted = 1"))
 
 
 def digest(scored: DataFrame) -> DataFrame:
