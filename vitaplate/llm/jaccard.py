@@ -46,6 +46,8 @@ BLOCK_SETS = 64
 BLOCK_SHINGLES = 400_000
 #: Columns of one step of the intersection product.
 PRODUCT_WIDTH = 4096
+#: A class with more than this part of a task's rows is large: SHARES * tasks of them at most.
+SHARES = 4
 #: Bits of the prefilter for the second reading of the texts (2 MB, whatever the input).
 FILTER_BITS = 24
 
@@ -317,14 +319,23 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(edges)
 
     # the least id of each class, then of each component
-    classes = sets.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("class_id"))
+    worded = sets.where("key is not null")
+    classes = worded.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
     named = classes.join(found, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
-    named = C.materialise(named.select("key", "root", "class_id"), "classes")
+    named = C.materialise(named.select("key", "root", "class_id", "copies"), "classes")
     least = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    roots = named.join(least, "root").select("key", "component_id")
-    out = sets.select("doc_id", F.col("n").alias("n_shingles"), "key").join(roots, "key", "left")
-    own_id = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own_id.alias("component_id"))
+    roots = C.materialise(named.join(least, "root").select("key", "component_id", "copies"), "roots")
+
+    # rows of large classes meet their component by broadcast, not in one task: at most
+    # SHARES classes a task can hold more than a task's SHARES-th part of all rows
+    tasks = C.parallelism(docs.sparkSession)
+    large = F.col("copies") * (SHARES * tasks) > sets.count()
+    hot = F.broadcast(roots.where(large).drop("copies"))
+    rows = worded.select("doc_id", F.col("n").alias("n_shingles"), "key")
+    of_large = rows.join(hot, "key")
+    of_others = rows.join(hot.select("key"), "key", "left_anti").join(roots.where(~large).drop("copies"), "key")
+    wordless = sets.where("key is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return of_large.union(of_others.select(of_large.columns)).select("doc_id", "n_shingles", "component_id").union(wordless)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
