@@ -8,8 +8,9 @@ the sum surges and ends where it dives, and what stands between is kept.
 
 Where the page names its article (an article or main element), only that
 element's lines count and any text surges; elsewhere a surge needs a share of
-the page's highest sum, lines that are mostly links count as empty, and
-the regions that compare with the largest are kept.
+the page's highest sum, lines that are mostly links count as empty, short lines
+before a region's first heading or long line are left out, and the regions that
+compare with the largest are kept.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ WINDOW = 3
 #: Least sum of a surge where no article is named, in characters and as a share of the highest sum.
 SURGE_CHARS = 60
 SURGE_SHARE = 0.15
+#: Shorter lines do not begin a region there unless they are headings.
+SHORT_CHARS = 25
 #: Regions of this share of the largest are kept too.
 REGION_SHARE = 0.35
 #: A line with more of its characters in links is a menu line (where no article is named).
@@ -43,6 +46,7 @@ _PART = re.compile(r"[A-Za-z]+|[0-9]+")
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 _NOISE = frozenset("aside button datalist dialog fieldset footer form head header input label menu nav select textarea title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SPACES = frozenset("br td th img wbr hr".split())
 #: Words of class, id and role that mark other content.
 _NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice paywall popup promo promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split())
@@ -60,23 +64,24 @@ def _is_noise(name: str, attributes: str, in_article: int) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, bool, float]]:
-    """(text, in a named article, share of link characters) of every line; other content and markup gaps are empty lines."""
+def lines_of(page: str) -> list[tuple[str, bool, float, bool]]:
+    """(text, in a named article, share of link characters, heading) of every line; other content and markup gaps are empty lines."""
     page = _DROP.sub(" ", page)
-    out: list[tuple[str, bool, float]] = []
+    out: list[tuple[str, bool, float, bool]] = []
     parts: list[str] = []
     linked = 0
     in_link = 0
     article = 0
+    heading = False
     skip, depth = "", 0
 
     def end_line(gap: int = 0):
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append((text, article > 0, min(1.0, linked / len(text))))
+            out.append((text, article > 0, min(1.0, linked / len(text)), heading))
         if gap:
-            out.extend([("", article > 0, 0.0)] * gap)
+            out.extend([("", article > 0, 0.0, False)] * gap)
         parts.clear()
         linked = 0
 
@@ -129,6 +134,7 @@ def lines_of(page: str) -> list[tuple[str, bool, float]]:
             continue
         if name in _BLOCKS:
             end_line()
+            heading = name in _HEADINGS and not closing
         elif name in _SPACES:
             parts.append(" ")
         elif name == "a":
@@ -140,11 +146,11 @@ def lines_of(page: str) -> list[tuple[str, bool, float]]:
 def main_text(page: str | None) -> str:
     """Main text of a whole page: kept lines joined by one newline; empty for null, empty and textless pages."""
     lines = lines_of(page or "")
-    named = any(a and t for t, a, _ in lines)
+    named = any(a and t for t, a, *_ in lines)
     if named:
-        sizes = [len(t) if a else 0 for t, a, _ in lines]
+        sizes = [len(t) if a else 0 for t, a, *_ in lines]
     else:
-        sizes = [len(t) if share <= LINK_SHARE else 0 for t, _, share in lines]
+        sizes = [len(t) if share <= LINK_SHARE else 0 for t, _, share, _ in lines]
     n = len(sizes)
     sums = [sum(sizes[i : i + WINDOW]) for i in range(n)]
     if not n or not max(sums):
@@ -160,6 +166,8 @@ def main_text(page: str | None) -> str:
         j = i
         while j < n and sums[j] > 0 and (sizes[j] or any(sizes[j + 1 : j + WINDOW])):
             j += 1
+        while not named and surge > 1 and i < j and sizes[i] < SHORT_CHARS and not lines[i][3]:
+            i += 1
         regions.append((sum(sizes[i:j]), i, j))
         i = max(j, i + 1)
     largest = max(r[0] for r in regions)
