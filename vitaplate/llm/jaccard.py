@@ -290,8 +290,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = C.materialise(components(ties), "groups")
 
     # blocks of each group and size level, dealt by hash; their number follows the group's size
-    active = sets.where("key is not null").select("key", "level", "n").join(groups, F.col("key") == F.col("node")).groupBy("key", "level", "n").agg(F.min("root").alias("g"))
-    active = C.materialise(active, "active")
+    # classes are formed before any join, so that copies never meet in one task
+    worded = sets.where("key is not null")
+    each_class = worded.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.max("level").alias("level"), F.max("n").alias("n"))
+    classes = C.materialise(each_class, "classes")
+    active = C.materialise(classes.join(groups, F.col("key") == F.col("node")).select("key", "level", "n", F.col("root").alias("g")), "active")
     count = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_SETS)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int")
     sizes = C.materialise(active.groupBy("g", "level").agg(count.alias("blocks"), F.count(F.lit(1)).alias("members")), "block-counts")
     above = sizes.select("g", (F.col("level") - 1).alias("level"), F.col("blocks").alias("next_blocks"), F.col("members").alias("next_members"))
@@ -319,10 +322,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(edges)
 
     # the least id of each class, then of each component
-    worded = sets.where("key is not null")
-    classes = worded.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
     named = classes.join(found, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
-    named = C.materialise(named.select("key", "root", "class_id", "copies"), "classes")
+    named = C.materialise(named.select("key", "root", "class_id", "copies"), "named-classes")
     least = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
     roots = C.materialise(named.join(least, "root").select("key", "component_id", "copies"), "roots")
 
