@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitaplate.llm import decontaminate, fingerprint, html_text, jaccard, mixing, pii, quality, token_files, toxicity
+from vitaplate.llm import decontaminate, fingerprint, html_text, jaccard, licenses, mixing, pii, quality, token_files, toxicity
 from vitaplate.llm.common import table
 
 
@@ -22,6 +22,11 @@ def op2_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
+def op3_patience_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license notice that each document covers best."""
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op4_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -73,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quartile_digest": op1_quartile_digest,
         "op2_suffix_decontamination": op2_suffix_decontamination,
+        "op3_patience_licenses": op3_patience_licenses,
         "op4_counterfactual_toxicity": op4_counterfactual_toxicity,
         "op5_line_block_text": op5_line_block_text,
         "op6_orc_tokens": op6_orc_tokens,
