@@ -23,7 +23,7 @@ def op2_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_patience_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The license notice that each document covers best."""
+    """All licenses of all documents."""
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
