@@ -310,6 +310,32 @@ def test_parts_lose_no_link():
             assert parts[0] & parts[1]
 
 
+@pytest.mark.parametrize(("shingle", "percent"), [(5, 80), (1, 50)])
+def test_jaccard_takes_shingle_and_percent(spark, shingle, percent):
+    texts = near_copies(seed=6, groups=4, each=12)
+    want = sorted(jaccard.brute_force(list(enumerate(texts)), shingle, percent))
+    got = jaccard.jaccard_classes(documents(spark, texts), shingle=shingle, percent=percent)
+    assert sorted(map(tuple, got.collect())) == want
+    assert {w[2] for w in want} != {w[2] for w in jaccard.brute_force(list(enumerate(texts)))}
+    kept = jaccard.one_of_each(documents(spark, texts), shingle=shingle, percent=percent)
+    assert sorted(r.doc_id for r in kept.collect()) == [w[0] for w in want if w[0] == w[2]]
+
+
+def test_parts_lose_no_link_at_80_percent():
+    rng = random.Random(8)
+    links = 0
+    for _ in range(600):
+        n = rng.choice([1, 5, 9, 10, 19, 40, 100, 333])
+        a = {rng.getrandbits(63) for _ in range(n)}
+        b = set(a) - set(rng.sample(sorted(a), rng.randint(0, n // 6)))
+        b |= {rng.getrandbits(63) for _ in range(rng.randint(0, n // 6))}
+        if b and 100 * len(a & b) >= 80 * len(a | b):
+            links += 1
+            parts = [set(jaccard.signatures(np.array(sorted(s), np.uint64), jaccard.size_level(len(s), 80), 80).tolist()) for s in (a, b)]
+            assert parts[0] & parts[1]
+    assert links > 200
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)]

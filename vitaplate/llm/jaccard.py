@@ -1,10 +1,12 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Sets of word shingles link when their Jaccard similarity reaches 9/10.  Equal
-sets are one class from the start; the join runs over classes.
+Sets of word shingles link when their Jaccard similarity reaches a percentage (90
+unless the caller names another).  Equal sets are one class from the start; the
+join runs over classes.
 
-1. Candidate groups.  If A and B link, at most (|A| + |B|) / 19 shingles lie in
-   one of them only.  Each set is cut into one part more than that bound allows
+1. Candidate groups.  If A and B link at p percent, at most
+   (|A| + |B|) (100 - p) / (100 + p) shingles (a 19th at 90) lie in one of them
+   only.  Each set is cut into one part more than that bound allows
    for its size level, by ranges of the shingles' hash, so linked sets agree in
    at least one whole part.  Sets that agree in a part (directly or along a
    chain) and lie on one size level form a group of similar sets.  No link is
@@ -12,7 +14,7 @@ sets are one class from the start; the join runs over classes.
 2. Token-group matrix.  Groups are split into blocks of bounded size; for each
    block the union of its shingles is its row of the matrix.  For a pair of
    blocks, a set of one block is compared with the other only when its overlap
-   with that block's union reaches nine tenths of its own size, and a block is
+   with that block's union reaches p percent of its own size, and a block is
    opened only when some set qualifies.
 3. Opened blocks count all their intersections by matrix products and emit the
    links as a spanning forest, so no list of pairs is ever made.
@@ -38,8 +40,9 @@ from vitaplate.llm import common as C
 WORD = np.ones(256, bool)
 WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 VALUES = C.lowered_table(WORD)
+#: Words of a shingle, unless the caller names another number.
 SHINGLE = 3
-#: Links need 100 * intersection >= 90 * union.
+#: Links need 100 * intersection >= PERCENT * union, unless the caller names another percentage.
 PERCENT = 90
 #: Sets of a block, and shingles of all its sets, at most (on average; members are dealt by hash).
 BLOCK_SETS = 64
@@ -52,17 +55,17 @@ SHARES = 4
 FILTER_BITS = 24
 
 
-def shingle_sets(step: C.TextStep) -> list[np.ndarray]:
+def shingle_sets(step: C.TextStep, shingle: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; fewer words than a shingle make one, no words make none."""
     words, first = C.word_hashes(step, WORD, VALUES)
     rolled = C.mix64(words)
     grams = rolled.copy()
-    for k in range(1, SHINGLE):
+    for k in range(1, shingle):
         grams = C.mix64(grams[: len(words) - k] + rolled[k:] * np.uint64(2 * k + 1)) if len(words) > k else grams[:0]
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        if b - a >= SHINGLE:
-            x = np.sort(grams[a : b - SHINGLE + 1])
+        if b - a >= shingle:
+            x = np.sort(grams[a : b - shingle + 1])
             keep = np.ones(len(x), bool)
             keep[1:] = x[1:] != x[:-1]
             out.append(x[keep])
@@ -77,38 +80,41 @@ def shingle_sets(step: C.TextStep) -> list[np.ndarray]:
     return out
 
 
-_LEVELS = [1]
+#: Level starts by percentage, and cuts by number of parts.
+_LEVELS: dict[int, list[int]] = {}
 _CUTS: dict[int, np.ndarray] = {}
 
 
-def _level_start(k: int) -> int:
+def _level_start(k: int, percent: int) -> int:
     """Smallest size of level ``k``; a set links only within its level and the ones beside it."""
-    while len(_LEVELS) <= k:
-        low = _LEVELS[-1]
-        _LEVELS.append(max(low + 1, 10 * (low - 1) // 9 + 1))
-    return _LEVELS[k]
+    starts = _LEVELS.setdefault(percent, [1])
+    while len(starts) <= k:
+        low = starts[-1]
+        starts.append(max(low + 1, 100 * (low - 1) // percent + 1))
+    return starts[k]
 
 
-def size_level(n: int) -> int:
+def size_level(n: int, percent: int = PERCENT) -> int:
     """The level of a set of n shingles (n >= 1)."""
-    while _level_start(len(_LEVELS) - 1) <= n:
-        _level_start(len(_LEVELS))
-    return int(np.searchsorted(_LEVELS, n, "right")) - 1
+    starts = _LEVELS.setdefault(percent, [1])
+    while starts[-1] <= n:
+        _level_start(len(starts), percent)
+    return int(np.searchsorted(starts, n, "right")) - 1
 
 
-def _parts(level: int) -> int:
+def _parts(level: int, percent: int) -> int:
     """Parts for sets of ``level`` and the one above: one more than linked sets can differ in."""
-    return 2 * (_level_start(level + 2) - 1) // 19 + 1
+    return 2 * (_level_start(level + 2, percent) - 1) * (100 - percent) // (100 + percent) + 1
 
 
-def signatures(shingles: np.ndarray, level: int) -> np.ndarray:
+def signatures(shingles: np.ndarray, level: int, percent: int = PERCENT) -> np.ndarray:
     """Hashes of the set's parts, for its own level and the level below as the lower one of a pair."""
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(C.mix64(shingles))])
     out = []
     for low in (level, level - 1):
         if low < 0:
             continue
-        m = _parts(low)
+        m = _parts(low, percent)
         if m not in _CUTS:
             _CUTS[m] = np.array([(k << 64) // m for k in range(1, m)], np.uint64)
         at = np.concatenate([[0], np.searchsorted(shingles, _CUTS[m]), [len(shingles)]])
@@ -132,15 +138,15 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 _SETS = [T.StructField("n", T.LongType()), T.StructField("key", T.LongType()), T.StructField("level", T.IntegerType()), T.StructField("parts", T.ArrayType(T.LongType()))]
 
 
-def _describe(step: C.TextStep) -> list[pa.Array]:
-    sets = shingle_sets(step)
-    levels = [size_level(len(s)) if len(s) else None for s in sets]
+def _describe(step: C.TextStep, shingle: int, percent: int) -> list[pa.Array]:
+    sets = shingle_sets(step, shingle)
+    levels = [size_level(len(s), percent) if len(s) else None for s in sets]
     none = np.zeros(0, np.uint64)
     return [
         pa.array([len(s) for s in sets], pa.int64()),
         pa.array([_class_key(s) if len(s) else None for s in sets], pa.int64()),
         pa.array(levels, pa.int32()),
-        _lists([signatures(s, lv) if lv is not None else none for s, lv in zip(sets, levels, strict=True)]),
+        _lists([signatures(s, lv, percent) if lv is not None else none for s, lv in zip(sets, levels, strict=True)]),
     ]
 
 
@@ -184,7 +190,7 @@ def _forest(keys: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
     return [(int(k), int(ordered[x])) for k, x in zip(keys, label, strict=True) if k != ordered[x]]
 
 
-def _links(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
+def _links(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links between two blocks (side 0 and 1), or within one (side 0 only), as a spanning forest."""
     order = np.argsort(keys, kind="stable")
     keys, sets, side = keys[order], [sets[i] for i in order], side[order]
@@ -197,7 +203,7 @@ def _links(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[t
         held = np.zeros((2, len(tokens)), bool)
         held[side[row], column] = True
         overlap = np.bincount(row, held[1 - side[row], column], len(sets))
-        open_ = 100 * overlap >= PERCENT * n
+        open_ = 100 * overlap >= percent * n
         if not (open_ & (side == 0)).any() or not (open_ & (side == 1)).any():
             return []
     else:
@@ -216,15 +222,15 @@ def _links(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[t
         m = np.zeros((len(keys), PRODUCT_WIDTH), np.float32)
         m[row[i:j], column[i:j] - a] = 1
         both += np.rint(m @ m.T).astype(np.int64)
-    linked = 100 * both >= PERCENT * (n[:, None] + n[None, :] - both)
+    linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
     if not within:
         linked &= side[:, None] != side[None, :]
     return _forest(keys, linked)
 
 
-def _open_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+def _open_blocks(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     sets = [np.asarray(s, np.int64).view(np.uint64) for s in pdf["shingles"]]
-    edges = _links(pdf["key"].to_numpy(), sets, pdf["side"].to_numpy())
+    edges = _links(pdf["key"].to_numpy(), sets, pdf["side"].to_numpy(), percent)
     return pd.DataFrame(edges, columns=["u", "v"], dtype="int64")
 
 
@@ -238,7 +244,7 @@ def _bitmap(keys: DataFrame, column: str) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _active_sets(texts: DataFrame, text_col: str, active: DataFrame) -> DataFrame:
+def _active_sets(texts: DataFrame, text_col: str, active: DataFrame, shingle: int) -> DataFrame:
     """(key, shingles) of the classes in ``active``, each once, from a second reading of the texts.
 
     A bitmap of fixed size drops most other texts inside the reading task; the
@@ -252,7 +258,7 @@ def _active_sets(texts: DataFrame, text_col: str, active: DataFrame) -> DataFram
         for batch in batches:
             for part in C.slices(batch, 0):
                 keys, sets = [], []
-                for s in shingle_sets(C.TextStep(part.column(0))):
+                for s in shingle_sets(C.TextStep(part.column(0)), shingle):
                     if not len(s):
                         continue
                     key = _class_key(s)
@@ -270,9 +276,11 @@ def _active_sets(texts: DataFrame, text_col: str, active: DataFrame) -> DataFram
     return once.join(active, "key")
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``.
 
+    Sets of ``shingle`` words link from ``percent`` percent of their union on.
+
     ``component_id`` is the smallest id that links reach, itself included.
     Texts without words (null, empty, white space) are linked with nothing and
     are their own component.  Rows of equal text, repeated ids and null ids are
@@ -280,7 +288,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     no other.  An empty table gives no rows.  Other columns are left out.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sets = C.materialise(C.add_columns(texts, _SETS, "text", _describe).drop("text"), "sets")
+    sets = C.materialise(C.add_columns(texts, _SETS, "text", lambda step: _describe(step, shingle, percent)).drop("text"), "sets")
 
     # parts that two classes share: each such class is tied to the least class of the part
     parts = sets.where("key is not null").select("key", F.explode("parts").alias("part"))
@@ -303,7 +311,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # a member goes to every pair of blocks that its own is in: with each block of its level, and of those beside it
     block = F.pmod(F.xxhash64("key", F.lit(7)), F.col("blocks")).cast("int")
-    member = _active_sets(texts, "text", active).join(around, ["g", "level"]).withColumn("block", block)
+    member = _active_sets(texts, "text", active, shingle).join(around, ["g", "level"]).withColumn("block", block)
     own, none = F.col("block"), F.array().cast("array<struct<lower:int,a:int,b:int,side:int>>")
 
     def pair(lower, a, b, side):
@@ -318,7 +326,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     down = each(F.col("last_blocks"), lambda k: pair(F.col("level") + 199_999, k, own, 1))
     alone = (F.col("members") == 1) & (F.col("next_blocks") == 0) & (F.col("last_blocks") == 0)
     pairs = member.where(~alone).select("key", "shingles", "g", F.explode(F.concat(same, up, down)).alias("p")).select("key", "shingles", "g", "p.*")
-    edges = pairs.groupBy("g", "lower", "a", "b").applyInPandas(_open_blocks, "u long, v long")
+    edges = pairs.groupBy("g", "lower", "a", "b").applyInPandas(lambda pdf: _open_blocks(pdf, percent), "u long, v long")
     found = components(edges)
 
     # the least id of each class, then of each component
@@ -339,7 +347,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return of_large.union(of_others.select(of_large.columns)).select("doc_id", "n_shingles", "component_id").union(wordless)
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component: the one whose id names it.
 
     Rows without words all stay, and so do rows that repeat the id that stays.
@@ -348,12 +356,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     by_text = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseOR(F.lit(1 << 62)).bitwiseAND(F.lit((1 << 63) - 1))
     name = F.coalesce(F.col("doc_id").cast("long"), by_text)
-    classes = jaccard_classes(docs.select(name.alias("doc_id"), "text"))
+    classes = jaccard_classes(docs.select(name.alias("doc_id"), "text"), shingle=shingle, percent=percent)
     stay = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
     return docs.join(stay, name == F.col("_stay"), "left_semi")
 
 
-def brute_force(docs: list[tuple]) -> list[tuple]:
+def brute_force(docs: list[tuple], shingle: int = SHINGLE, percent: int = PERCENT) -> list[tuple]:
     """The contract read literally, for tests: (doc_id, n_shingles, component_id)."""
     import re
 
@@ -361,7 +369,7 @@ def brute_force(docs: list[tuple]) -> list[tuple]:
     sets = []
     for _, text in docs:
         w = re.findall("[^\x20\x09-\x0d]+", (text or "").translate(lower))
-        sets.append({tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set())
+        sets.append({tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)} if len(w) >= shingle else {tuple(w)} if w else set())
     root = list(range(len(docs)))
 
     def find(i):
@@ -373,7 +381,7 @@ def brute_force(docs: list[tuple]) -> list[tuple]:
         for j in range(i):
             b = sets[j]
             both = len(a & b)
-            if a and b and 100 * both >= 90 * (len(a) + len(b) - both):
+            if a and b and 100 * both >= percent * (len(a) + len(b) - both):
                 root[find(i)] = find(j)
     least = {}
     for i, (doc_id, _) in enumerate(docs):
