@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitaplate.llm import decontaminate, fingerprint, html_text, jaccard, licenses, mixing, pii, quality, token_files, toxicity
+from vitaplate.llm import decontaminate, fingerprint, html_text, jaccard, lexical, licenses, mixing, pii, quality, resample, token_files, toxicity
 from vitaplate.llm.common import table
 
 
@@ -66,6 +66,16 @@ def op10_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.score_quality(docs, model))
 
 
+def op11_quickselect_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights and scores of all documents towards the benchmark, and the ranks of those drawn."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_aho_corasick_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over documents."""
     import corpus_pipeline
@@ -86,10 +96,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_weak_supervision_pii": op8_weak_supervision_pii,
         "op9_curriculum_mix": op9_curriculum_mix,
         "op10_additive_quality": op10_additive_quality,
+        "op11_quickselect_resampling": op11_quickselect_resampling,
+        "op12_aho_corasick_search": op12_aho_corasick_search,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op9_curriculum_mix": mixing.ORACLE}
+    return {"op9_curriculum_mix": mixing.ORACLE, "op11_quickselect_resampling": resample.ORACLE, "op12_aho_corasick_search": lexical.ORACLE}
