@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitaplate.llm import decontaminate, fingerprint, html_text, jaccard, lexical, licenses, mixing, pii, quality, resample, token_files, toxicity
+from vitaplate.llm import decontaminate, fingerprint, hamming_join, html_text, jaccard, lexical, licenses, mixing, pii, quality, resample, token_files, toxicity
 from vitaplate.llm.common import table
 
 
@@ -76,6 +76,11 @@ def op12_aho_corasick_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_hamming_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near duplicates of all documents."""
+    return hamming_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over documents."""
     import corpus_pipeline
@@ -98,10 +103,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_additive_quality": op10_additive_quality,
         "op11_quickselect_resampling": op11_quickselect_resampling,
         "op12_aho_corasick_search": op12_aho_corasick_search,
+        "op13_hamming_near_duplicates": op13_hamming_near_duplicates,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op9_curriculum_mix": mixing.ORACLE, "op11_quickselect_resampling": resample.ORACLE, "op12_aho_corasick_search": lexical.ORACLE}
+    return {
+        "op9_curriculum_mix": mixing.ORACLE,
+        "op11_quickselect_resampling": resample.ORACLE,
+        "op12_aho_corasick_search": lexical.ORACLE,
+        "op13_hamming_near_duplicates": hamming_join.ORACLE,
+    }
