@@ -15,10 +15,14 @@ Equal sets are one class from the start; the join runs over classes.
    are near enough (FAR) are confirmed on the full sets, and contracted.
 4. What a slot still holds of different components is compared in cells: members
    of its main component against the others, and the others among each other, in
-   blocks of bounded size.  Near enough signatures are confirmed the same way.
-   Pairs within one component are never formed, so a group of near copies costs
-   its members, not their square.
-5. Components of all confirmed links.
+   blocks of bounded size.  Classes stand in bins of bounded size with others that
+   are tied to the same class; a class that finds near enough signatures asks
+   for their bins, not for each of them.
+5. A bin and the classes that ask for it count all their intersections on the
+   full sets by matrix products, and send one link for each component met.  So
+   pairs within a component are never formed, and pairs that do not link are
+   never sent.
+6. Components of all confirmed links.
 
 Shingles and classes are compared by 64-bit hashes.
 """
@@ -48,8 +52,12 @@ CHUNK = 6
 SYMBOLS = CHUNKS * CHUNK
 #: Signatures that differ in more symbols are no candidates: at 80 percent a pair differs in more than 32 of 60 once in 10^9.
 FAR = 32
-#: Members of a block of a slot's cells (on average; they are dealt by hash).
+#: Members of a block of a slot's cells, of a bin, and of a group that asks for a bin (on average; they are dealt by hash).
 BLOCK = 256
+#: Shingles of all sets of a bin.
+BIN_SHINGLES = 400_000
+#: Columns of one step of the intersection product.
+PRODUCT_WIDTH = 4096
 #: Bits of the prefilter for the second reading of the texts (2 MB, whatever the input).
 FILTER_BITS = 24
 
@@ -155,30 +163,8 @@ def _near_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     return pairs.join(a, "u").join(b, "v").where(sized).select("u", "v", "un", "vn", "us", "vs").mapInArrow(run, _PAIRS)
 
 
-_CELL = ("slot", "kind", "a", "b")
-
-
-def _cells(percent: int):
-    """Rows of cells, sorted by cell, to the pairs of different components that are near enough.
-
-    A cell holds two blocks at most, so a task keeps a bounded number of rows; a cell that a batch cuts is carried over.
-    """
-
-    def pairs(cell: pa.Table) -> Iterator[pa.RecordBatch]:
-        cell = cell.combine_chunks()
-        side, key, comp, n = (cell[c].to_numpy() for c in ("side", "key", "comp", "n"))
-        sig = _matrix(cell["sig"])
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1) if (side == 1).any() else left
-        out = []
-        for i in left.tolist():
-            others = right[(right > i) | (side[right] == 1)]
-            others = others[comp[others] != comp[i]]
-            hit = others[_near(n[i], n[others], (sig[others] != sig[i]).sum(axis=1), percent)]
-            out += [(min(key[i], k), max(key[i], k)) for k in key[hit].tolist()]
-        if out:
-            u, v = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=_PAIRS.names)
+def _by_groups(names: tuple[str, ...], work):
+    """Rows sorted by ``names`` to what ``work`` yields for each group of them; a group that a batch cuts is carried over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried = None
@@ -187,22 +173,60 @@ def _cells(percent: int):
                 continue
             rows = pa.Table.from_batches([batch])
             rows = rows if carried is None else pa.concat_tables([carried, rows])
-            names = np.stack([rows[c].to_numpy() for c in _CELL])
-            cuts = np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1
+            ids = np.stack([rows[c].to_numpy() for c in names])
+            cuts = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1
             edges = [0, *cuts.tolist()]
             for x, y in zip(edges[:-1], edges[1:], strict=True):
-                yield from pairs(rows.slice(x, y - x))
+                yield from work(rows.slice(x, y - x).combine_chunks())
             carried = rows.slice(edges[-1])
         if carried is not None:
-            yield from pairs(carried)
+            yield from work(carried.combine_chunks())
 
     return run
 
 
-def _mixed_pairs(shared: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes that share a slot, are near enough and lie in different components."""
-    named = shared.select("slot", "key").join(roots, F.col("key") == F.col("node"), "left").select("slot", "key", F.coalesce("root", "key").alias("comp"))
-    named = C.materialise(named, "slot-members")
+_CELL = ("slot", "kind", "a", "b")
+_ASKED = T.StructType([T.StructField("key", T.LongType()), T.StructField("bin", T.LongType())])
+
+
+def _ask(percent: int):
+    """A cell, two blocks at most, to (key, bin): classes of side 0 and the bins where near enough ones of other components stand (side 1, or later ones of side 0)."""
+
+    def work(cell: pa.Table) -> Iterator[pa.RecordBatch]:
+        side, key, comp, n, bins = (cell[c].to_numpy() for c in ("side", "key", "comp", "n", "bin"))
+        sig = _matrix(cell["sig"])
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1)
+        right = right if len(right) else left
+        out = set()
+        step = max(1, 60_000 // max(len(right), 1))
+        for k in range(0, len(left), step):
+            some = left[k : k + step]
+            far = (sig[some][:, None, :] != sig[right][None, :, :]).sum(axis=2)
+            near = _near(n[some][:, None], n[right][None, :], far, percent) & (comp[some][:, None] != comp[right][None, :])
+            near &= (side[right] == 1)[None, :] | (right[None, :] > some[:, None])
+            i, j = np.nonzero(near)
+            out.update(zip(key[some[i]].tolist(), bins[right[j]].tolist(), strict=True))
+        if out:
+            asked = np.array(sorted(out), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(asked[:, 0]), pa.array(asked[:, 1])], names=_ASKED.names)
+
+    return work
+
+
+def _profiles(classes: DataFrame, roots: DataFrame, ties: DataFrame) -> DataFrame:
+    """(key, n, sig, comp, bin): classes with their component so far, in bins with those tied to the same class."""
+    home = ties.groupBy("u").agg(F.min("v").alias("home"))
+    named = classes.select("key", "n", "sig").join(roots, F.col("key") == F.col("node"), "left").join(home, F.col("key") == F.col("u"), "left")
+    named = C.materialise(named.select("key", "n", "sig", F.coalesce("root", "key").alias("comp"), F.coalesce("home", "key").alias("home")), "homes")
+    many = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BIN_SHINGLES)))
+    sizes = named.groupBy("home").agg(many.alias("bins"))
+    return C.materialise(named.join(sizes, "home").withColumn("bin", F.xxhash64("home", F.pmod(F.xxhash64("key", F.lit(5)), F.col("bins")))).drop("home", "bins"), "profiles")
+
+
+def _requests(shared: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """(key, bin): classes, and the bins that hold near enough classes of other components that share a slot with them."""
+    named = C.materialise(shared.select("slot", "key").join(profiles.select("key", "comp"), "key"), "slot-members")
     each = named.groupBy("slot", "comp").agg(F.count(F.lit(1)).alias("members"))
     main = F.max(F.struct("members", "comp")).alias("main")
     mixed = each.groupBy("slot").agg(main, F.sum("members").alias("members"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
@@ -210,22 +234,66 @@ def _mixed_pairs(shared: DataFrame, classes: DataFrame, roots: DataFrame, percen
     mixed = mixed.select("slot", F.col("main.comp").alias("main"), blocks(F.col("main.members")).alias("main_blocks"), blocks(F.col("members") - F.col("main.members")).alias("other_blocks"))
     rows = named.join(C.materialise(mixed, "mixed-slots"), "slot")
     is_main = F.col("comp") == F.col("main")
-    own = F.pmod(F.xxhash64("key", F.lit(3)), F.when(is_main, F.col("main_blocks")).otherwise(F.col("other_blocks"))).cast("int")
-    rows = rows.withColumn("own", own)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("key", F.lit(3)), F.when(is_main, F.col("main_blocks")).otherwise(F.col("other_blocks"))).cast("int"))
+    me = F.col("own")
 
-    def cell(kind: int, a, b, side):
-        return F.struct(F.lit(kind).alias("kind"), a.cast("int").alias("a"), b.cast("int").alias("b"), F.lit(side).cast("int").alias("side"))
+    def cell(kind: int, a, b, side: int):
+        return F.struct(F.lit(kind).alias("kind"), a.cast("int").alias("a"), b.cast("int").alias("b"), F.lit(side).alias("side"))
 
     def numbered(n):
         return F.sequence(F.lit(0), n - 1)
 
-    me = F.col("own")
-    to_others = F.transform(numbered(F.col("other_blocks")), lambda k: cell(0, me, k, 0))
-    to_main = F.transform(numbered(F.col("main_blocks")), lambda k: cell(0, k, me, 1))
+    # the others ask (side 0) for bins of the main component (side 1), and among each other
+    to_others = F.transform(numbered(F.col("other_blocks")), lambda k: cell(0, k, me, 1))
+    to_main = F.transform(numbered(F.col("main_blocks")), lambda k: cell(0, me, k, 0))
     among = F.transform(numbered(F.col("other_blocks")), lambda k: F.when(k < me, cell(1, k, me, 1)).otherwise(cell(1, me, k, 0)))
-    dealt = rows.select("slot", "key", "comp", F.explode(F.when(is_main, to_others).otherwise(F.concat(to_main, among))).alias("cell")).select("slot", "key", "comp", "cell.*")
-    dealt = dealt.join(classes.select("key", "n", "sig"), "key").select(*_CELL, "side", "key", "comp", "n", "sig")
-    return dealt.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(_cells(percent), _PAIRS).distinct()
+    dealt = rows.select("slot", "key", F.explode(F.when(is_main, to_others).otherwise(F.concat(to_main, among))).alias("cell")).select("slot", "key", "cell.*")
+    dealt = dealt.join(profiles, "key").select(*_CELL, "side", "key", "comp", "n", "sig", "bin")
+    return dealt.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(_by_groups(_CELL, _ask(percent)), _ASKED).distinct()
+
+
+_OPENED = ("bin", "part")
+
+
+def _open(percent: int):
+    """A bin (side 1) and the classes that ask for it (side 0) to links (u, v): one of each asking class for each other component."""
+
+    def work(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        side, key, comp = (group[c].to_numpy() for c in ("side", "key", "comp"))
+        lists = group["shingles"].combine_chunks()
+        ends = lists.offsets.to_numpy()
+        n = np.diff(ends)
+        row = np.repeat(np.arange(len(key)), n)
+        tokens, column, often = np.unique(lists.values.to_numpy()[ends[0] : ends[-1]], return_inverse=True, return_counts=True)
+        use = often[column] > 1
+        row, column = row[use], np.unique(column[use], return_inverse=True)[1]
+        by = np.argsort(column, kind="stable")
+        row, column = row[by], column[by]
+        asking, held = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        both = np.zeros((len(asking), len(held)), np.int64)
+        width = int(column[-1]) + 1 if len(column) else 0
+        for a in range(0, width, PRODUCT_WIDTH):
+            i, j = np.searchsorted(column, [a, a + PRODUCT_WIDTH])
+            m = np.zeros((len(key), min(PRODUCT_WIDTH, width - a)), np.float32)
+            m[row[i:j], column[i:j] - a] = 1
+            both += np.rint(m[asking] @ m[held].T).astype(np.int64)
+        linked = 100 * both >= percent * (n[asking][:, None] + n[held][None, :] - both)
+        i, j = np.nonzero(linked & (comp[asking][:, None] != comp[held][None, :]))
+        first = {(u, c): v for u, c, v in zip(key[asking[i]].tolist(), comp[held[j]].tolist(), key[held[j]].tolist(), strict=True)}
+        if first:
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in first], pa.int64()), pa.array(list(first.values()), pa.int64())], names=_PAIRS.names)
+
+    return work
+
+
+def _bin_links(requests: DataFrame, profiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the asking classes and the bins' members, on the full sets."""
+    parts = requests.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("parts"))
+    parts = C.materialise(parts, "asked-bins")
+    asking = requests.join(parts, "bin").select("bin", F.pmod(F.xxhash64("key", F.lit(11)), F.col("parts")).cast("int").alias("part"), "key", F.lit(0).alias("side"))
+    held = profiles.select("key", "bin").join(parts, "bin").select("bin", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "key", F.lit(1).alias("side"))
+    rows = asking.union(held).join(sets.join(profiles.select("key", "comp"), "key"), "key").select(*_OPENED, "side", "key", "comp", "shingles")
+    return rows.repartition(*_OPENED).sortWithinPartitions(*_OPENED).mapInArrow(_by_groups(_OPENED, _open(percent)), _PAIRS)
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -306,8 +374,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = C.materialise(_confirmed(ties, sets, percent), "links")
 
     # what slots still hold of different components
-    mixed = C.materialise(_mixed_pairs(shared, classes, components(links), percent), "mixed-pairs")
-    found = components(links.union(_confirmed(mixed, sets, percent)))
+    profiles = _profiles(classes, components(links), ties)
+    requests = C.materialise(_requests(shared, profiles, percent), "requests")
+    found = components(links.union(_bin_links(requests, profiles, sets, percent)))
 
     # the least id of each component, and back to the rows
     named = classes.select("key", "class_id").join(found, F.col("key") == F.col("node"), "left").select("key", "class_id", F.coalesce("root", "key").alias("root"))
