@@ -11,11 +11,14 @@ from vitaplate.llm import common as C
 HUBS = 1000
 
 
-def _met(edges: DataFrame, least: DataFrame, hub: int) -> DataFrame:
-    """``edges`` with the ``m`` of their ``u``: the few hubs of ``least`` (u, m, many) are broadcast, so their edges stay where they are."""
-    hubs = F.broadcast(least.where(F.col("many") > hub).select("u", "m"))
-    others = least.where(F.col("many") <= hub).select("u", "m")
-    return edges.join(hubs, "u").union(edges.join(hubs.select("u"), "u", "left_anti").join(others, "u"))
+def join_split(rows: DataFrame, counted: DataFrame, on: str, many: str, limit) -> DataFrame:
+    """``rows`` joined with ``counted``, one row for each ``on``; where ``many`` passes ``limit`` by broadcast, so that rows of hot keys stay where they are.
+
+    The caller's limit bounds the broadcast: it is a share of the sum of ``many``.
+    """
+    hot = F.broadcast(counted.where(F.col(many) > limit))
+    others = counted.where(F.col(many) <= limit)
+    return rows.join(hot, on).union(rows.join(hot.select(on), on, "left_anti").join(others, on))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -35,9 +38,9 @@ def components(edges: DataFrame) -> DataFrame:
         mark, hub = seen, max(1, seen.n // HUBS)
         ups = now.select(F.col("v").alias("u"), F.col("u").alias("v"))
         around = now.union(ups).groupBy("u").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("many"))
-        large = _met(ups, around.select("u", F.least("u", "v").alias("m"), "many"), hub).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = join_split(ups, around.select("u", F.least("u", "v").alias("m"), "many"), "u", "many", hub).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = C.materialise(large.where("u <> v").distinct(), "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("many"))
-        small = _met(large, least, hub).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        small = join_split(large, least, "u", "many", hub).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         now = C.materialise(small.where("u <> v").distinct(), "small-star")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v")).distinct()

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitaplate.llm import common as C
-from vitaplate.llm.graph import components
+from vitaplate.llm.graph import HUBS, components, join_split
 
 #: Word bytes: everything but the space and 09-0D.
 WORD = np.ones(256, bool)
@@ -185,28 +185,30 @@ def _by_groups(names: tuple[str, ...], work):
     return run
 
 
-_CELL = ("slot", "kind", "a", "b")
+_CELL = ("main", "kind", "a", "b")
 _ASKED = T.StructType([T.StructField("key", T.LongType()), T.StructField("bin", T.LongType())])
 
 
 def _ask(percent: int):
-    """A cell, two blocks at most, to (key, bin): classes of side 0 and the bins where near enough ones of other components stand (side 1, or later ones of side 0)."""
+    """A cell's two blocks, slot by slot, to (key, bin): classes of side 0 and the bins where near enough ones of other components stand (side 1, or later ones of side 0)."""
 
     def work(cell: pa.Table) -> Iterator[pa.RecordBatch]:
-        side, key, comp, n, bins = (cell[c].to_numpy() for c in ("side", "key", "comp", "n", "bin"))
+        slot, side, key, comp, n, bins = (cell[c].to_numpy() for c in ("slot", "side", "key", "comp", "n", "bin"))
         sig = _matrix(cell["sig"])
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1)
-        right = right if len(right) else left
         out = set()
-        step = max(1, 60_000 // max(len(right), 1))
-        for k in range(0, len(left), step):
-            some = left[k : k + step]
-            far = (sig[some][:, None, :] != sig[right][None, :, :]).sum(axis=2)
-            near = _near(n[some][:, None], n[right][None, :], far, percent) & (comp[some][:, None] != comp[right][None, :])
-            near &= (side[right] == 1)[None, :] | (right[None, :] > some[:, None])
-            i, j = np.nonzero(near)
-            out.update(zip(key[some[i]].tolist(), bins[right[j]].tolist(), strict=True))
+        edges = [0, *(np.flatnonzero(slot[1:] != slot[:-1]) + 1).tolist(), len(slot)]
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            left = x + np.flatnonzero(side[x:y] == 0)
+            right = x + np.flatnonzero(side[x:y] == 1)
+            right = right if len(right) else left
+            step = max(1, 60_000 // max(len(right), 1))
+            for k in range(0, len(left), step):
+                some = left[k : k + step]
+                far = (sig[some][:, None, :] != sig[right][None, :, :]).sum(axis=2)
+                near = _near(n[some][:, None], n[right][None, :], far, percent) & (comp[some][:, None] != comp[right][None, :])
+                near &= (side[right] == 1)[None, :] | (right[None, :] > some[:, None])
+                i, j = np.nonzero(near)
+                out.update(zip(key[some[i]].tolist(), bins[right[j]].tolist(), strict=True))
         if out:
             asked = np.array(sorted(out), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(asked[:, 0]), pa.array(asked[:, 1])], names=_ASKED.names)
@@ -220,21 +222,25 @@ def _profiles(classes: DataFrame, roots: DataFrame, ties: DataFrame) -> DataFram
     named = classes.select("key", "n", "sig").join(roots, F.col("key") == F.col("node"), "left").join(home, F.col("key") == F.col("u"), "left")
     named = C.materialise(named.select("key", "n", "sig", F.coalesce("root", "key").alias("comp"), F.coalesce("home", "key").alias("home")), "homes")
     many = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BIN_SHINGLES)))
-    sizes = named.groupBy("home").agg(many.alias("bins"))
-    return C.materialise(named.join(sizes, "home").withColumn("bin", F.xxhash64("home", F.pmod(F.xxhash64("key", F.lit(5)), F.col("bins")))).drop("home", "bins"), "profiles")
+    sizes = named.groupBy("home").agg(many.alias("bins"), F.count(F.lit(1)).alias("members"))
+    sized = join_split(named, sizes, "home", "members", max(1, named.count() // HUBS)).drop("members")
+    return C.materialise(sized.withColumn("bin", F.xxhash64("home", F.pmod(F.xxhash64("key", F.lit(5)), F.col("bins")))).drop("home", "bins"), "profiles")
 
 
 def _requests(shared: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     """(key, bin): classes, and the bins that hold near enough classes of other components that share a slot with them."""
-    named = C.materialise(shared.select("slot", "key").join(profiles.select("key", "comp"), "key"), "slot-members")
+    named = C.materialise(shared.select("slot", "key").join(profiles.select("key", "comp", "bin"), "key"), "slot-members")
     each = named.groupBy("slot", "comp").agg(F.count(F.lit(1)).alias("members"))
     main = F.max(F.struct("members", "comp")).alias("main")
     mixed = each.groupBy("slot").agg(main, F.sum("members").alias("members"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    mixed = mixed.select("slot", F.col("main.comp").alias("main"), blocks(F.col("main.members")).alias("main_blocks"), blocks(F.col("members") - F.col("main.members")).alias("other_blocks"))
-    rows = named.join(C.materialise(mixed, "mixed-slots"), "slot")
+    mixed = C.materialise(mixed.select("slot", F.col("main.comp").alias("main"), F.col("main.members").alias("mains"), (F.col("members") - F.col("main.members")).alias("others"), "members"), "mixed-slots")
+    # all slots of a main component are cut into the same blocks, and a bin is never cut, so that one task sees an asking class and a bin in all their slots
+    blocks = lambda n: F.ceil(F.max(n) / F.lit(BLOCK)).cast("int")
+    sizes = mixed.groupBy("main").agg(blocks("mains").alias("main_blocks"), blocks("others").alias("other_blocks"))
+    mixed = mixed.select("slot", "main", "members").join(sizes, "main")
+    rows = join_split(named, mixed, "slot", "members", max(1, named.count() // HUBS)).drop("members")
     is_main = F.col("comp") == F.col("main")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("key", F.lit(3)), F.when(is_main, F.col("main_blocks")).otherwise(F.col("other_blocks"))).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("bin"), F.when(is_main, F.col("main_blocks")).otherwise(F.col("other_blocks"))).cast("int"))
     me = F.col("own")
 
     def cell(kind: int, a, b, side: int):
@@ -247,9 +253,9 @@ def _requests(shared: DataFrame, profiles: DataFrame, percent: int) -> DataFrame
     to_others = F.transform(numbered(F.col("other_blocks")), lambda k: cell(0, k, me, 1))
     to_main = F.transform(numbered(F.col("main_blocks")), lambda k: cell(0, me, k, 0))
     among = F.transform(numbered(F.col("other_blocks")), lambda k: F.when(k < me, cell(1, k, me, 1)).otherwise(cell(1, me, k, 0)))
-    dealt = rows.select("slot", "key", F.explode(F.when(is_main, to_others).otherwise(F.concat(to_main, among))).alias("cell")).select("slot", "key", "cell.*")
-    dealt = dealt.join(profiles, "key").select(*_CELL, "side", "key", "comp", "n", "sig", "bin")
-    return dealt.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(_by_groups(_CELL, _ask(percent)), _ASKED).distinct()
+    dealt = rows.select("slot", "main", "key", F.explode(F.when(is_main, to_others).otherwise(F.concat(to_main, among))).alias("cell")).select("slot", "main", "key", "cell.*")
+    dealt = dealt.join(profiles, "key").select(*_CELL, "slot", "side", "key", "comp", "n", "sig", "bin")
+    return dealt.repartition(*_CELL).sortWithinPartitions(*_CELL, "slot").mapInArrow(_by_groups(_CELL, _ask(percent)), _ASKED).distinct()
 
 
 _OPENED = ("bin", "part")
