@@ -123,16 +123,16 @@ def test_tracked_csv_to_transitions(spark, tmp_path):
     assert got == [("0_L-ML_L-VD", "1_D-ML_D-VD"), ("1_D-ML_D-VD", "3_D-ML_D-VD"), ("3_D-ML_D-VD", "7_D-ML_D-VD")]
 
 
-def test_header_lines_match_first_line(spark, tmp_path):
+def test_sheet_layouts_match_first_line(spark, tmp_path):
     paths = []
     for i in range(5):
         p = str(tmp_path / "h" / f"f{i}.csv")
         _write(p, f"col{i},x\n" + "".join(f"{j},{j}\n" for j in range(200)))
         paths.append(p)
     files = S.list_files(spark, str(tmp_path / "h" / "*.csv"))
-    got = S.header_lines(spark, files)
-    assert got == {f: S.first_line(spark, f) for f in files}
-    assert sorted(got.values()) == [f"col{i},x" for i in range(5)]
+    got = S.sheet_layouts(spark, files)
+    assert {f: header for header, fs in got.items() for f in fs} == {f: S.first_line(spark, f) for f in files}
+    assert sorted(got) == [f"col{i},x" for i in range(5)]
 
 
 def test_read_experiments_from_parquet_exports(spark, tmp_path):

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitaplate.functions.names import quoted
 from vitaplate.functions.nulls import nan_to_null, num_label
-from vitaplate.functions.ranking import dense_codes
+from vitaplate.functions.ranking import checkpointed, dense_codes
 
 # Compound spellings that all mean the untreated control.
 CONTROL_SPELLINGS = ("control", "Control", "media")
@@ -94,6 +94,58 @@ def infer_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     return df.select(*[to_number(quoted(c)).alias(c) if c in numeric else quoted(c) for c in df.columns])
 
 
+# The spellings that type conversion takes for truth values, and the forms of numbers and dates.
+TRUE_TEXT, FALSE_TEXT = ("T", "TRUE", "true", "True"), ("F", "FALSE", "false", "False")
+INTEGER_FORM = r"^[+-]?[0-9]{1,18}$"
+NUMBER_FORM = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+DATE_FORM = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+
+
+def _type_forms(text: Column) -> dict[str, Column]:
+    """The value of ``text`` as each type of the lattice below text, null where it has another form; narrower types first."""
+    number = F.when(text.rlike(NUMBER_FORM), text.try_cast(T.DoubleType()))
+    return {
+        "logical": F.when(text.isin(*TRUE_TEXT), F.lit(True)).when(text.isin(*FALSE_TEXT), F.lit(False)),
+        "integer": F.when(text.rlike(INTEGER_FORM), text.try_cast(T.LongType())),
+        "double": number,
+        "date": F.when(text.rlike(DATE_FORM), text.try_cast(T.DateType())),
+    }
+
+
+def column_types(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, str]:
+    """P5: the type of each text column, the join of its values' types: logical, integer, double, date or text.
+
+    Integers and doubles join to double; any other two types join to text.  Blank
+    cells and "NA" are missing and fit every type, so a column of them is logical.
+    One aggregate job counts, per column, the values and those of each form.
+    """
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and (columns is None or f.name in columns)]
+    if not names:
+        return {}
+    aggs = []
+    for i, c in enumerate(names):
+        text = missing_text(quoted(c))
+        aggs.append(F.count(text).alias(f"n{i}"))
+        aggs += [F.count(form).alias(f"{kind}{i}") for kind, form in _type_forms(text).items()]
+    seen = df.agg(*aggs).first()
+    kinds = list(_type_forms(F.lit("")))
+    return {c: next((k for k in kinds if seen[f"{k}{i}"] == seen[f"n{i}"]), "text") for i, c in enumerate(names)}
+
+
+def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """P5 over the whole lattice: every text column becomes boolean, long, double, date or stays text (see ``column_types``).
+
+    Missing cells of text columns become NULL as well.
+    """
+    types = column_types(df, columns)
+
+    def typed(c: str) -> Column:
+        text = missing_text(quoted(c))
+        return (_type_forms(text)[types[c]] if types[c] != "text" else F.when(text.isNotNull(), quoted(c))).alias(c)
+
+    return df.select(*[typed(c) if c in types else quoted(c) for c in df.columns])
+
+
 # --- P7, P8: factors and recodes ----------------------------------------------------------
 
 def factor_codes(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
@@ -204,3 +256,20 @@ def unique_by(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
         F.count(F.when(F.col("_n") == 1, 1)).alias("kept_rows"),
     ).withColumn("removed_rows", F.col("total_rows") - F.col("kept_rows"))
     return kept, report
+
+
+def unique_rows(df: DataFrame, key: str) -> tuple[DataFrame, dict[str, int]]:
+    """F9 + A17 in one scan: the rows whose ``key`` occurs once, and the counts of rows in total, kept and removed.
+
+    A key's rows are counted with one of them kept aside (partial aggregates, so
+    a key repeated millions of times costs one row per task); where the count is
+    1 that row is the only one.  The counts are metrics observed while the kept
+    rows are written once, so the report reads nothing again.  A missing key is a
+    key like any other.
+    """
+    counted = df.groupBy(quoted(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*map(quoted, df.columns))).alias("_row"))
+    seen = Observation()
+    metrics = (F.sum("_n").alias("total"), F.count_if(F.col("_n") == 1).alias("kept"))
+    kept = checkpointed(counted.observe(seen, *metrics).where(F.col("_n") == 1).select("_row.*"))
+    total, once = seen.get["total"] or 0, seen.get["kept"] or 0
+    return kept, {"total_rows": total, "kept_rows": once, "removed_rows": total - once}

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitaplate.functions.names import quoted
+from vitaplate.functions.ranking import checkpointed
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -73,10 +74,11 @@ def live_dead_columns(value: Column | None, ld: Column, missing_as_zero: bool) -
 def unify(left: DataFrame, right: DataFrame, key: str, l_suffix: str, r_suffix: str, collapse: Sequence[str] | None = None) -> DataFrame:
     """Left join on ``key``; each shared column collapses when all non-missing pairs agree.
 
-    The output columns depend on the data: one aggregate job over the join
-    evaluates ``bool_and(l = r)`` for every shared column (NULL pairs are
-    skipped; a column with no complete pair collapses).  A caller that knows the
-    outcome names the columns that ``collapse``, and no job runs.  A
+    The output columns depend on the data: A13 evaluates ``bool_and(l = r)`` for
+    every shared column (NULL pairs are skipped; a column with no complete pair
+    collapses).  The tests are metrics observed while the join is written, once,
+    to the shared folder, so the decision costs no second pass.  A caller that
+    knows the outcome names the columns that ``collapse``, and nothing is written.  A
     collapsed column keeps the right side's value, as the reference does; a
     column that disagrees is kept twice, right then left.
     """
@@ -87,10 +89,10 @@ def unify(left: DataFrame, right: DataFrame, key: str, l_suffix: str, r_suffix:
     rsel = right.select(quoted(key).alias("_rkey"), *map(quoted, r_only), *[quoted(c).alias(c + r_suffix) for c in shared])
     merged = lsel.join(rsel, lsel["`" + key.replace("`", "``") + "`"] == rsel["_rkey"], "left").drop("_rkey")
     if collapse is None and shared:
-        checks = merged.agg(
-            *[F.bool_and(quoted(c + l_suffix) == quoted(c + r_suffix)).alias(f"s{i}") for i, c in enumerate(shared)]
-        ).first()
-        collapse = [c for i, c in enumerate(shared) if checks[f"s{i}"] is not False]
+        same = Observation()
+        tests = [F.bool_and(quoted(c + l_suffix) == quoted(c + r_suffix)).alias(f"s{i}") for i, c in enumerate(shared)]
+        merged = checkpointed(merged.observe(same, *tests))
+        collapse = [c for i, c in enumerate(shared) if same.get[f"s{i}"] is not False]
     out = [quoted(key), *map(quoted, l_only + r_only)]
     for c in shared:
         if c in collapse:

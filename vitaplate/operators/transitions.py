@@ -9,7 +9,7 @@ single grouped count then yields every link at once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitaplate.functions.names import quoted
@@ -27,8 +27,8 @@ from vitaplate.operators.clean import (
 
 # The three stages as (position of the source visit, its day, the next visit's day).
 STAGES = ((1, 0, 1), (2, 1, 3), (3, 3, 7))
-# State order code (alphabetical factor code of the four states).
-STATE_CODES = ((STATUS_DD, 1), (STATUS_DL, 2), (STATUS_LD, 3), (STATUS_LL, 4))
+# The concordance states that make links, in their order ("0" makes none).
+STATES = (STATUS_DD, STATUS_DL, STATUS_LD, STATUS_LL)
 # Every value a concordance state can take ("0" when a call is missing or not 0/1).
 STATUS_DOMAIN = ("0", STATUS_DD, STATUS_DL, STATUS_LD, STATUS_LL)
 
@@ -92,8 +92,9 @@ def _stage_table(spark, stages) -> DataFrame:
     ))
 
 
-def _state_codes(spark, prefix: str) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(list(STATE_CODES), f"{prefix}_state string, {prefix}_code int"))
+def _state_order(state, states) -> Column:
+    """A state's place: in ``states``, or by its text (the order of factor codes)."""
+    return state if states is None else F.array_position(F.array(*map(F.lit, states)), state)
 
 
 def link_table(
@@ -103,40 +104,47 @@ def link_table(
     day: str = "day",
     tiebreak: tuple[str, ...] = ("status", "intensity"),
     stages: tuple[tuple[int, int, int], ...] = STAGES,
+    state: str = "status",
+    states: tuple[str, ...] | None = STATES,
 ) -> DataFrame:
     """Per group, how many objects go from (day, state) at visit i to (day', state') at visit i+1.
 
     ``stages`` lists (source visit position, its day, the next visit's day).
-    Visit positions follow ``day`` (then ``tiebreak`` for a stable order).  Only
+    ``state`` is a text column; with ``states`` only these make links, in that
+    order, and with None every state that occurs does, in the order of its text (a
+    missing one prints "NA").  Visit positions follow ``day`` (then ``tiebreak`` for a stable order).  Only
     the visits the stages name matter (the first four by default), and a
     ``row_number() <=`` filter lets Spark keep that many rows per object on the
     map side before the shuffle.  Output rows
-    are ordered per group by stage, source state code descending and target
-    state code ascending (``link_order``); pairs that never occur are absent.
+    are ordered per group by stage, source state descending and target
+    state ascending (``link_order``); pairs that never occur are absent.
     """
     spark = cohort.sparkSession
     w = Window.partitionBy(group, obj).orderBy(F.col(day).asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in tiebreak])
+    shown = F.coalesce(F.col(state), F.lit("NA"))
     last = max(pos for pos, _, _ in stages) + 1  # the latest visit any stage looks at
     first4 = cohort.withColumn("_pos", F.row_number().over(w)).where(F.col("_pos") <= last)
     paired = first4.withColumns({
         "_next_day": F.lead(day).over(w),
-        "_next_status": F.lead("status").over(w),
+        "_state": shown,
+        "_next_state": F.lead(shown).over(w),
     }).where(F.col("_next_day").isNotNull())
     st = _stage_table(spark, stages)
     hits = paired.join(
         st,
         (paired["_pos"] == st["_pos"]) & (paired[day] == st["_d0"]) & (paired["_next_day"] == st["_d1"]),
     )
-    links = hits.groupBy(group, "stage", F.col("status").alias("src_state"), F.col("_next_status").alias("tgt_state"),
+    if states is not None:
+        hits = hits.where(F.col("_state").isin(*states) & F.col("_next_state").isin(*states))
+    links = hits.groupBy(group, "stage", F.col("_state").alias("src_state"), F.col("_next_state").alias("tgt_state"),
                          F.col(day).alias("src_day"), F.col("_next_day").alias("tgt_day")).agg(
         F.count(F.lit(1)).alias("count"))
-    links = links.join(_state_codes(spark, "src"), "src_state").join(_state_codes(spark, "tgt"), "tgt_state")
     links = links.withColumns({
         "source": F.concat_ws("_", F.col("src_day").cast("string"), F.col("src_state")),
         "target": F.concat_ws("_", F.col("tgt_day").cast("string"), F.col("tgt_state")),
     })
-    # At most 16 links per stage and group: a per-group window is bounded.
-    order = Window.partitionBy(group).orderBy("stage", F.col("src_code").desc(), F.col("tgt_code").asc())
+    # A link for each pair of states, stage and group at most: a per-group window is bounded by the alphabet.
+    order = Window.partitionBy(group).orderBy("stage", _state_order(F.col("src_state"), states).desc(), _state_order(F.col("tgt_state"), states).asc())
     links = links.withColumn("link_order", F.row_number().over(order).cast("int"))
     links = links.withColumn("group", link_group("source"))
     return links.select(group, "stage", "link_order", "source", "target", "count", "group")
@@ -149,10 +157,12 @@ def transition_links(
     day: str = "day",
     tiebreak: tuple[str, ...] = ("status", "intensity"),
     stages: tuple[tuple[int, int, int], ...] = STAGES,
+    state: str = "status",
+    states: tuple[str, ...] | None = STATES,
 ) -> DataFrame:
-    """T1, materialised: :func:`link_table` written once (at most 16 rows per stage and group),
+    """T1, materialised: :func:`link_table` written once (a row per pair of states, stage and group at most),
     since nodes and node ids read it several times."""
-    return checkpointed(link_table(cohort, obj, group, day, tiebreak, stages))
+    return checkpointed(link_table(cohort, obj, group, day, tiebreak, stages, state, states))
 
 
 def transition_nodes(links: DataFrame, group: str = "compound") -> DataFrame:
@@ -183,4 +193,4 @@ def transition_nodes(links: DataFrame, group: str = "compound") -> DataFrame:
     return nodes, with_ids
 
 
-__all__ = ["tracked_cohort", "link_table", "transition_links", "transition_nodes", "STAGES", "STATE_CODES"]
+__all__ = ["tracked_cohort", "link_table", "transition_links", "transition_nodes", "STAGES", "STATES"]

@@ -15,10 +15,12 @@ from vitaplate.operators import assay as A
 from vitaplate.operators import clean as C
 from vitaplate.operators import compare as M
 from vitaplate.operators import features as FT
+from vitaplate.operators import samples as SM
 from vitaplate.operators import transitions as TR
 from vitaplate.operators import wells as W
 from vitaplate.operators.reshape import restack, spread
 from vitaplate.plans import surrogates as S
+from vitaplate.plans import file_queries
 from vitaplate.plans.output import rounded
 from vitaplate.sources.files import plate_wells
 from vitaplate.sources.tables import read_table
@@ -175,6 +177,11 @@ def embedding_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(FT.column_distance(wide, wide.columns))
 
 
+def embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T12 between samples: the five nearest vectors of each vector."""
+    return rounded(SM.sample_neighbours(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", k=5))
+
+
 def feature_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Violin densities of day-3 features per compound and patient (R2 melt with inferred ids)."""
     wide = W.with_well_key(S.objects_wide(spark, sf_dir)).where(F.col("day") == 3)
@@ -207,6 +214,11 @@ def transition_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links
 
 
+def event_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 on another alphabet: counts of consecutive kinds of event, missing ones included, per compound and stage."""
+    return TR.link_table(S.event_visits(spark, sf_dir), tiebreak=("state", "intensity"), state="state", states=None)
+
+
 # --- labels, votes, codes ----------------------------------------------------------------------------
 
 def concordance_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,6 +275,13 @@ def unique_uid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report
 
 
+def unique_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F9 + A17 in one scan: objects alone in their order, per patient and day, with the counts of all rows and of those removed."""
+    orders = S.vd_side(spark, sf_dir).withColumn("order", F.substring_index("uid", ".", 1))
+    kept, report = C.unique_rows(orders, "order")
+    return kept.groupBy("patient", "day").agg(F.count(F.lit(1)).alias("n")).withColumns({k: F.lit(v).cast("long") for k, v in report.items()})
+
+
 # What both methods record alike of an object (only the call differs).
 SAME = ("quantity", "compound", "concentration", "day", "patient", "plate_row", "plate_col")
 
@@ -273,6 +292,12 @@ def unify_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(unified)
 
 
+def unify_decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R8 + A13: the same table, its columns decided from the data: the calls differ, all else agrees."""
+    unified, _ = M.paired_calls(S.vd_side(spark, sf_dir), S.ml_side(spark, sf_dir))
+    return rounded(unified)
+
+
 def restack_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R9 + U1: the two calls of each object as two rows tagged by assay."""
     unified, _ = M.paired_calls(S.vd_side(spark, sf_dir), S.ml_side(spark, sf_dir), collapse=SAME)
@@ -384,4 +409,9 @@ def queries() -> dict[str, Query]:
         "assay_fit": assay_fit,
         "assay_points": assay_points,
         "plate_grid": plate_grid,
+        "embedding_neighbours": embedding_neighbours,
+        "event_links": event_links,
+        "unique_report": unique_report,
+        "unify_decided": unify_decided,
+        **file_queries.QUERIES,
     }

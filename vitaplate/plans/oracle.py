@@ -281,6 +281,18 @@ nodes AS (SELECT compound, name, CAST(row_number() OVER (PARTITION BY compound O
                  CASE WHEN regexp_extract(name, '_(.)-ML_(.)', 1) = regexp_extract(name, '_(.)-ML_(.)', 2)
                       THEN 'a' ELSE 'b' END AS node_group FROM firsts)"""
 
+EVENT_VISITS = VISITS.replace("ml_live, vd_live, intensity\n", "state, intensity\n").replace(
+    "CASE WHEN event_type IN ('click', 'view', 'purchase') THEN 1 ELSE 0 END AS ml_live,",
+    "CASE WHEN value >= 1 THEN event_type END AS state,").replace("CASE WHEN value >= 10 THEN 1 ELSE 0 END AS vd_live, ", "")
+
+EVENT_LINKS = """ranked AS (SELECT *, row_number() OVER (PARTITION BY compound, id ORDER BY day NULLS LAST, state NULLS LAST,
+                                               intensity NULLS LAST) AS pos FROM visits),
+cnt AS (SELECT a.compound, st.stage, coalesce(a.state, 'NA') AS s0, coalesce(b.state, 'NA') AS s1, a.day AS d0, b.day AS d1, count(*) AS count
+        FROM ranked a JOIN ranked b ON a.compound = b.compound AND a.id = b.id AND b.pos = a.pos + 1
+        JOIN (VALUES (1, 1, 0, 1), (2, 2, 1, 3), (3, 3, 3, 7)) st(stage, spos, sd0, sd1)
+          ON a.pos = st.spos AND a.day = st.sd0 AND b.day = st.sd1
+        GROUP BY ALL)"""
+
 SURVEY = """sv AS (SELECT CAST(doc_id AS VARCHAR) AS respondent, source AS grp, lang,
                   CAST(quality AS VARCHAR) AS quality, CAST(toxic AS VARCHAR) AS toxic
            FROM labels JOIN documents USING (doc_id)),
@@ -440,6 +452,40 @@ def oracle_sql() -> dict[str, str]:
                        AS distance,
                    count(d) AS n_samples
             FROM pr GROUP BY i, j""", ["distance"]),
+        "embedding_neighbours": sql_rounded("""
+            SELECT sample, CAST(rank AS INTEGER) AS rank, neighbour, distance FROM (
+              SELECT a.vec_id AS sample, b.vec_id AS neighbour, list_distance(a.x, b.x) AS distance,
+                     row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.x, b.x), b.vec_id) AS rank
+              FROM (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings) a
+              JOIN (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings) b ON a.vec_id <> b.vec_id)
+            WHERE rank <= 5""", ["distance"]),
+        "event_links": _q(EVENT_VISITS, EVENT_LINKS, body="""SELECT compound, CAST(stage AS INTEGER) AS stage,
+               CAST(row_number() OVER (PARTITION BY compound ORDER BY stage, s0 DESC, s1) AS INTEGER) AS link_order,
+               concat(CAST(d0 AS VARCHAR), '_', s0) AS source, concat(CAST(d1 AS VARCHAR), '_', s1) AS target, count,
+               'type_b' AS "group" FROM cnt"""),
+        "tracked_file_links": _q(VISITS, COHORT, LINKS, body="SELECT * FROM links"),
+        "unique_report": _q(f"vd AS ({_side(False)})", "g AS (SELECT split_part(uid, '.', 1) AS o, count(*) AS n FROM vd GROUP BY ALL)",
+            "rep AS (SELECT CAST(sum(n) AS BIGINT) AS total_rows, count(*) FILTER (WHERE n = 1) AS kept_rows FROM g)",
+            body="""SELECT patient, day, count(*) AS n, total_rows, kept_rows, total_rows - kept_rows AS removed_rows
+                    FROM vd, rep WHERE split_part(uid, '.', 1) IN (SELECT o FROM g WHERE n = 1) GROUP BY ALL"""),
+        "unify_decided": sql_rounded(_q(UNIFIED, body="SELECT * FROM uni"), ["concentration", "quantity"]),
+        "export_objects": sql_rounded(_q(OBJECTS, body="""
+            SELECT patient, compound, concentration, CAST(plate_row AS VARCHAR) AS plate_row, CAST(plate_col AS INTEGER) AS plate_col,
+                   region_area AS "Region Area [µm²]", CASE WHEN exp_id <> 'E3' THEN region_texture END AS "Region Texture",
+                   object_no AS "Object No", CASE WHEN object_no % 5 <> 0 THEN object_no % 2 = 0 END AS "Focused",
+                   CAST(DATE '2020-01-01' + day AS DATE) AS "Imaged", exp_id, day, ld FROM objects"""),
+            ["concentration", "Region Area [µm²]", "Region Texture"]),
+        "plate_layouts": sql_rounded("""
+            WITH l AS (SELECT vec_id % 4 AS plate, unnest(generate_series(0, len(embedding) - 1))::INTEGER AS pos,
+                              unnest(embedding)::DOUBLE AS x FROM embeddings)
+            SELECT CAST(plate AS INTEGER) AS plate, concat(chr(65 + pos // 8), '0', CAST(pos % 8 + 1 AS VARCHAR)) AS well,
+                   CASE pos // 8 WHEN 0 THEN 'Media' WHEN 1 THEN 'ATP' ELSE 'STA' END AS compound,
+                   CASE WHEN pos % 8 < 7 THEN (pos % 8) * 0.5::DOUBLE END AS concentration,
+                   round(avg(x), 6) AS signal, CAST(count(*) AS DOUBLE) AS vectors
+            FROM l GROUP BY plate, pos""", ["concentration", "signal", "vectors"]),
+        "partitioned_replace": sql_rounded(_q(PLATES, body="""
+            SELECT plate, day, count(*) AS n, avg(CASE WHEN plate = 'F3' THEN signal * 2 ELSE signal END) AS mean_signal
+            FROM plates WHERE plate IN ('F3', 'O1') GROUP BY plate, day"""), ["mean_signal"]),
         "feature_density": sql_rounded(_density(), ["x", "density", "scaled"]),
         "tracked_cohort": sql_rounded(_q(VISITS, COHORT, body="SELECT * FROM cohort"), ["intensity"]),
         "transition_links": _q(VISITS, COHORT, LINKS, body="SELECT * FROM links"),

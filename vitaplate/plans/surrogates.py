@@ -84,8 +84,8 @@ def objects_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumnsRenamed(FEATURE_HEADERS)
 
 
-def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tracked objects: one row per (object, visit); some visits are missing."""
+def _numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as visits of a user on a date, with the day of each visit; some are missing."""
     ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     ev = ev.withColumn("vdate", F.col("ts").cast("date"))
     ev = sequence_index(ev, ["ts", "event_id"], groups=["user_id", "vdate"], name="pos0")
@@ -93,14 +93,97 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = (
         F.when(pos == 1, 0).when(pos == 2, 1).when(pos == 3, 2).when(pos == 4, 3).when(pos == 5, 7).otherwise(pos + 2)
     )
-    return ev.where(F.col("event_id") % 11 != 0).select(
-        F.concat(F.col("user_id").cast("string"), F.lit("_"), F.col("vdate").cast("string")).alias("id"),
-        F.when(F.col("user_id") % 2 == 0, "Media").otherwise("STA").alias("compound"),
-        day.cast("long").alias("day"),
-        F.when(F.col("event_type").isin("click", "view", "purchase"), 1).otherwise(0).alias("ml_live"),
-        F.when(F.col("value") >= 10, 1).otherwise(0).alias("vd_live"),
-        F.col("value").alias("intensity"),
+    return ev.where(F.col("event_id") % 11 != 0).withColumns({
+        "id": F.concat(F.col("user_id").cast("string"), F.lit("_"), F.col("vdate").cast("string")),
+        "compound": F.when(F.col("user_id") % 2 == 0, "Media").otherwise("STA"),
+        "day": day.cast("long"),
+        "ml_live": F.when(F.col("event_type").isin("click", "view", "purchase"), 1).otherwise(0),
+        "vd_live": F.when(F.col("value") >= 10, 1).otherwise(0),
+        "intensity": F.col("value"),
+    })
+
+
+def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracked objects: one row per (object, visit)."""
+    return _numbered_events(spark, sf_dir).select("id", "compound", "day", "ml_live", "vd_live", "intensity")
+
+
+def event_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same visits with the kind of event as the state, missing for visits of no intensity below 1."""
+    state = F.when(F.col("value") >= 1, F.col("event_type"))
+    return _numbered_events(spark, sf_dir).select("id", "compound", "day", state.alias("state"), "intensity")
+
+
+# Raw headers of a tracked-object table, as its instrument prints them.
+TRACKED_HEADER = "Tracked Organoids Selected Selected - "
+
+
+def tracked_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visits as the raw tracked-object table: position columns, seconds, long measurement headers."""
+    ev = _numbered_events(spark, sf_dir)
+    parts = {"Row": F.col("user_id"), "Column": F.year("vdate"), "Field": F.month("vdate"), "Object ID": F.day("vdate")}
+    measured = {"Live": "ml_live", "Live (DRAQ7).": "vd_live", "Intensity Nucleus Mean Smoothed Mean": "intensity"}
+    return ev.select(
+        *[c.alias(n) for n, c in parts.items()],
+        F.col("compound").alias("Compound"),
+        F.col("pos0").alias("Timepoint"),
+        (F.col("day") * 86400 + F.col("event_id") % 40000).alias("Time [s]"),
+        *[F.col(c).alias(TRACKED_HEADER + n) for n, c in measured.items()],
+        (F.col("intensity") * 2).alias(TRACKED_HEADER + "Area [µm²]"),
+    )
+
+
+def raw_sheets(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The objects as the instrument exports them: sheets of three layouts, with raw spellings and headers.
+
+    Live and dead sheets name their columns differently, sheets of E3 lack one,
+    patients carry a suffix, the control is spelled in four ways, and one column
+    each holds truth values, dates and whole numbers as text.
+    """
+    df = objects(spark, sf_dir)
+    control = F.when(F.col("plate_col") == 1, F.when(F.col("plate_row") == 0, "control").otherwise("media")).when(F.col("plate_row") == 0, "Media")
+    raw = df.select(
+        F.col("exp_id").alias("ExpID"), F.col("day").alias("Day"), F.col("ld").alias("LD"),
+        F.concat("patient", F.lit(" CRC")).alias("Cell Type"),
+        F.when(F.col("compound") == "Media", control).otherwise(F.col("compound")).alias("Compound"),
+        F.col("concentration").cast("string").alias("Concentration"),
+        F.col("plate_row").alias("Row"), F.col("plate_col").alias("Column"),
+        F.col("region_area").alias("{} Region Area [µm²]"), F.col("region_texture").alias("Region Texture {}"),
+        F.col("object_no").alias("- Object No"),
+        F.when(F.col("object_no") % 5 != 0, F.when(F.col("object_no") % 2 == 0, "TRUE").otherwise("F")).alias("Focused"),
+        F.date_add(F.lit("2020-01-01").cast("date"), F.col("day")).cast("string").alias("Imaged"),
     )
+    out = []
+    for call in ("Live", "Dead"):
+        sheets = raw.where(F.col("LD") == call).withColumnsRenamed({c: c.format(call) for c in raw.columns})
+        out += [sheets.where("ExpID <> 'E3'"), sheets.where("ExpID = 'E3'").drop(f"Region Texture {call}")]
+    return out
+
+
+#: Rows and columns of a surrogate plate: its wells are the positions of the vectors.
+PLATE_SIDE = 8
+
+
+def plate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(plate, ln, value): the lines of four plate layout files, four blocks each, from the mean vectors of four groups."""
+    emb = read_table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 4).alias("plate"), F.posexplode("embedding").alias("at", "x"))
+    wells = emb.groupBy("plate", "at").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("signal"), F.count(F.lit(1)).alias("n"))
+    row, col = F.floor(F.col("at") / PLATE_SIDE).cast("int"), (F.col("at") % PLATE_SIDE).cast("int")
+    blocks = {
+        "Compound": F.when(row == 0, "Media").when(row == 1, "ATP").otherwise("STA"),
+        "Concentration": F.when(col == PLATE_SIDE - 1, "NA").otherwise((col * 0.5).cast("string")),
+        "Signal": F.col("signal").cast("string"),
+        "Vectors": F.col("n").cast("string"),
+    }
+    cells = wells.withColumns({"row": row, "col": col})
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("block"), c.alias("cell")) for i, c in enumerate(blocks.values())]))
+    cells = cells.select("plate", "row", "col", each.alias("b")).select("plate", "row", "col", "b.*")
+    by_row = cells.groupBy("plate", "block", "row").agg(F.sort_array(F.collect_list(F.struct("col", "cell"))).alias("cells"))
+    letter = F.char(F.col("row") + 65)
+    lines = by_row.select("plate", (F.col("block") * 100 + F.col("row") + 1).alias("ln"), F.concat_ws(",", letter, F.transform("cells", lambda c: c["cell"])).alias("value"))
+    numbers = ",".join(str(i + 1) for i in range(PLATE_SIDE))
+    heads = F.explode(F.array(*[F.struct(F.lit(i * 100).alias("ln"), F.lit(f"{n},{numbers}").alias("value")) for i, n in enumerate(blocks)]))
+    return lines.union(wells.select("plate").distinct().select("plate", heads.alias("h")).select("plate", "h.*"))
 
 
 def plates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,14 +3,14 @@ plate grids (S8) and the partitioned Parquet sink (S9).
 
 Workbooks are read from their CSV (or Parquet) export: one folder per
 experiment named like the workbook, one file per sheet named
-``D<day>_<Live|Dead>``.  File listing and one header line per file are read
-through Hadoop's FileSystem (metadata only); rows are always read by Spark.
+``D<day>_<Live|Dead>``; a sheet may also be a folder of that name with part
+files in it, as Spark writes them, and folders may be called ``<column>=<name>``.
+File listing goes through Hadoop's FileSystem; headers and rows are read by Spark.
 """
 
 from __future__ import annotations
 
 import csv
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from typing import Sequence
 
@@ -23,7 +23,6 @@ from pyspark.sql import types as T
 from vitaplate.functions.names import quoted, strip_call_words, strip_leading_dash, survey_header, syntactic_name, unique_names
 from vitaplate.operators.clean import infer_numeric, missing_text
 
-HEADER_THREADS = 16
 # Spark's error classes of schemas that do not merge.
 UNMERGEABLE = ("CANNOT_MERGE", "INCOMPATIBLE_DATA_TYPE")
 # Text that the readers take for a missing value.
@@ -67,13 +66,18 @@ def first_line(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
     return (line or "").lstrip("﻿")
 
 
-def header_lines(spark: SparkSession, files: list[str], encoding: str = "UTF-8") -> dict[str, str]:
-    """First line of every file; only the head of each file is read, a few files at a time.
+def sheet_layouts(spark: SparkSession, files: list[str], encoding: str = "UTF-8") -> dict[str, list[str]]:
+    """Header line to the files that have it, read in tasks.
 
-    One short string per file comes to the driver, which lists the files anyway.
+    The first line of a file is that of its first block; the least row number of
+    the block is a partial aggregate, and files are grouped by header before
+    anything comes to the driver: one row per layout, with its part of the listing.
     """
-    with ThreadPoolExecutor(HEADER_THREADS) as pool:
-        return dict(zip(files, pool.map(lambda f: first_line(spark, f, encoding), files)))
+    lines = spark.read.option("encoding", encoding).text(files)
+    heads = lines.where(F.col("_metadata.file_block_start") == 0).select(file_path().alias("path"), "value", F.monotonically_increasing_id().alias("at"))
+    first = heads.groupBy("path").agg(F.min_by("value", "at").alias("header"))
+    layouts = first.groupBy(F.ltrim(F.col("header"), F.lit("\ufeff")).alias("header")).agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return {r.header: r.paths for r in layouts.orderBy("header").collect()}
 
 
 def header_names(line: str) -> list[str]:
@@ -93,15 +97,12 @@ def read_experiments(spark: SparkSession, root: str, fmt: str = "csv") -> DataFr
     by position), then bound by name with missing columns as NULL.  CSV columns
     stay text (S4); type them with :func:`vitaplate.operators.clean.infer_numeric`.
     """
-    files = list_files(spark, f"{root.rstrip('/')}/*/*.{fmt}")
+    files = list_files(spark, f"{root.rstrip('/')}/*/*.{fmt}") + list_files(spark, f"{root.rstrip('/')}/*/*/*.{fmt}")
     if not files:
         raise FileNotFoundError(f"no {fmt} sheets under {root}")
     if fmt == "csv":
-        by_header: dict[str, list[str]] = {}
-        for f, header in header_lines(spark, files).items():
-            by_header.setdefault(header, []).append(f)
         parts = []
-        for header, fs in by_header.items():
+        for header, fs in sheet_layouts(spark, files).items():
             names = unique_names(header_names(header))
             schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
             one = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("nullValue", MISSING).csv(fs)
@@ -124,15 +125,28 @@ def read_experiments(spark: SparkSession, root: str, fmt: str = "csv") -> DataFr
                 one = _normalise_headers(spark.read.parquet(*fs))
                 parts.append(one.select(*[quoted(c).cast("string").alias(c) for c in one.columns]).withColumn("_path", file_path()))
             df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    folder = F.regexp_extract("_path", r"([^/]+)/[^/]+$", 1)
-    sheet = F.regexp_extract("_path", r"([^/]+)\.[^./]+$", 1)
+    # a sheet is a file, or the folder a part file is in; its experiment is the folder above
+    steps = F.split(F.regexp_replace("_path", r"\.[^./]+$", ""), "/")
+    step = lambda i: F.regexp_replace(F.try_element_at(steps, F.lit(i)), "^[^=]*=", "")
+    in_folder = step(-2).rlike(SHEET_PATTERN)
+    sheet = F.when(in_folder, step(-2)).otherwise(step(-1))
     return df.withColumns({
-        "ExpID": folder,                                                           # S2
+        "ExpID": F.when(in_folder, step(-3)).otherwise(step(-2)),                  # S2
         "Day": F.regexp_extract(sheet, SHEET_PATTERN, 1).try_cast(T.IntegerType()),  # S3
         "LD": F.regexp_extract(sheet, SHEET_PATTERN, 2),
     }).drop("_path")
 
 
+def write_experiments(df: DataFrame, root: str, experiment: str = "ExpID", day: str = "Day", ld: str = "LD") -> None:
+    """The inverse of S1-S4: one folder per experiment, in it one folder ``D<day>_<call>`` of CSV parts per sheet.
+
+    Missing cells print "NA".  Sheets are appended, so tables of other layouts can join the same experiments.
+    """
+    sheet = F.concat(F.lit("D"), quoted(day).cast("string"), F.lit("_"), quoted(ld))
+    rows = df.withColumns({"ExpID": quoted(experiment), "sheet": sheet}).drop(*{experiment, day, ld} - {"ExpID"})
+    rows.repartition("ExpID", "sheet").write.mode("append").partitionBy("ExpID", "sheet").option("header", True).option("nullValue", MISSING).csv(root)
+
+
 def _read_typed(spark: SparkSession, path: str, encoding: str, schema: T.StructType | None, rename) -> DataFrame:
     """A CSV table with "NA" missing; the header's names pass through ``rename`` by position.
 
@@ -210,6 +224,12 @@ def read_plate_files(spark: SparkSession, path: str, blocks: Sequence[str] | Non
     return infer_numeric(out, [c for c in out.columns if c not in ("file", "well")]) if typed else out
 
 
-def write_partitioned(df: DataFrame, path: str, by: Sequence[str] = ("exp_id", "day"), mode: str = "overwrite") -> None:
-    """Parquet sink partitioned so experiment/day filters prune whole folders."""
-    df.write.mode(mode).partitionBy(*by).parquet(path)
+def write_partitioned(df: DataFrame, path: str, by: Sequence[str] = ("exp_id", "day"), mode: str = "overwrite", whole: bool = False) -> None:
+    """Parquet sink partitioned so experiment/day filters prune whole folders.
+
+    "overwrite" replaces the folders that ``df`` has rows for and leaves the
+    others, unless ``whole`` asks for a new table.  Rows are brought together by
+    folder before the write, in tasks of even size (a large folder takes several).
+    """
+    dealt = df.hint("rebalance", *[F.col(c) for c in by])
+    dealt.write.mode(mode).option("partitionOverwriteMode", "static" if whole else "dynamic").partitionBy(*by).parquet(path)

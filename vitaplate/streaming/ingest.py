@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vitaplate.functions.names import strip_call_words, strip_leading_dash
 from vitaplate.session import ensure_checkpoint_dir
-from vitaplate.sources.files import SHEET_PATTERN, file_path, header_lines, list_files
+from vitaplate.sources.files import SHEET_PATTERN, file_path, first_line, header_names, list_files
 
 
 def sheet_stream(spark: SparkSession, root: str, columns: list[str] | None = None,
@@ -36,7 +36,7 @@ def sheet_stream(spark: SparkSession, root: str, columns: list[str] | None = Non
         files = list_files(spark, f"{root.rstrip('/')}/*/*.csv")
         if not files:
             raise FileNotFoundError(f"no sheet under {root} to take the layout from; pass columns")
-        columns = next(csv.reader([next(iter(header_lines(spark, files[:1]).values()))]))
+        columns = header_names(first_line(spark, files[0]))
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     raw = (
         spark.readStream.schema(schema)
