@@ -10,9 +10,9 @@ from vitaplate.llm import decontaminate, jaccard, mixing, quality, queries
 ROWS = duckdb.sql(f"select doc_id, text from '{SF_SMALL}/documents.parquet'").fetchall()
 
 
-def test_ten_operators_and_the_pipeline():
+def test_all_operators_and_the_pipeline():
     names = list(queries.queries())
-    assert sorted(n.split("_")[0] for n in names) == sorted(["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10", "pipeline"])
+    assert sorted(n.split("_")[0] for n in names) == sorted(["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10", "op11", "op12", "op13", "pipeline"])
 
 
 def test_op2_against_brute_force(spark):
