@@ -159,6 +159,7 @@ def near_texts(n, edits, words=60, seed=0):
 def test_near_duplicates_of_spread_groups(spark, monkeypatch, block):
     """Groups whose members link in chains, beside members that link with none, in blocks of several sizes."""
     monkeypatch.setattr(hamming_join, "BLOCK", block)
+    monkeypatch.setattr(hamming_join, "SLOT_BLOCK", 2 * block)
     texts = near_texts(70, 12) + near_texts(40, 9, words=25, seed=1) + near_texts(30, 4, words=200, seed=2) + ["a b c", "a b c d", "c b a"]
     docs = list(enumerate(texts))
     random.Random(3).shuffle(docs)
@@ -189,9 +190,10 @@ def test_chance_of_missing_a_link_at_the_threshold():
     assert missed <= 2
 
 
-@pytest.mark.parametrize("hubs", [1000, 2])
-def test_components_with_hubs(spark, monkeypatch, hubs):
+@pytest.mark.parametrize("hubs, few", [(1000, 0), (2, 0), (1000, 100_000)])
+def test_components_with_hubs(spark, monkeypatch, hubs, few):
     monkeypatch.setattr(graph, "HUBS", hubs)
+    monkeypatch.setattr(graph, "FEW", few)
     rnd = random.Random(6)
     edges = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(100, 140)] + [(rnd.randrange(200, 260), rnd.randrange(200, 260)) for _ in range(40)] + [(300, 300)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}

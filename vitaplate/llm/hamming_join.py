@@ -52,8 +52,11 @@ CHUNK = 6
 SYMBOLS = CHUNKS * CHUNK
 #: Signatures that differ in more symbols are no candidates: at 80 percent a pair differs in more than 32 of 60 once in 10^9.
 FAR = 32
-#: Members of a block of a slot's cells, of a bin, and of a group that asks for a bin (on average; they are dealt by hash).
+#: Members of a bin, and of a group that asks for a bin (on average; they are dealt by hash).
 BLOCK = 256
+#: Members of a block of a slot: a cell holds two blocks of the slots of its slice, 60 / SLICES of them where a family shares all.
+SLOT_BLOCK = 1024
+SLICES = 6
 #: Shingles of all sets of a bin.
 BIN_SHINGLES = 400_000
 #: Columns of one step of the intersection product.
@@ -185,7 +188,7 @@ def _by_groups(names: tuple[str, ...], work):
     return run
 
 
-_CELL = ("main", "kind", "a", "b")
+_CELL = ("main", "kind", "a", "b", "slice")
 _ASKED = T.StructType([T.StructField("key", T.LongType()), T.StructField("bin", T.LongType())])
 
 
@@ -233,12 +236,11 @@ def _requests(shared: DataFrame, profiles: DataFrame, percent: int) -> DataFrame
     each = named.groupBy("slot", "comp").agg(F.count(F.lit(1)).alias("members"))
     main = F.max(F.struct("members", "comp")).alias("main")
     mixed = each.groupBy("slot").agg(main, F.sum("members").alias("members"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    mixed = C.materialise(mixed.select("slot", F.col("main.comp").alias("main"), F.col("main.members").alias("mains"), (F.col("members") - F.col("main.members")).alias("others"), "members"), "mixed-slots")
-    # all slots of a main component are cut into the same blocks, and a bin is never cut, so that one task sees an asking class and a bin in all their slots
-    blocks = lambda n: F.ceil(F.max(n) / F.lit(BLOCK)).cast("int")
+    mixed = C.materialise(mixed.select("slot", F.col("main.comp").alias("main"), F.col("main.members").alias("mains"), (F.col("members") - F.col("main.members")).alias("others")), "mixed-slots")
+    # all slots of a main component are cut into the same blocks, and a bin is never cut, so that a cell sees an asking class and a bin in all slots of a slice
+    blocks = lambda n: F.ceil(F.max(n) / F.lit(SLOT_BLOCK)).cast("int")
     sizes = mixed.groupBy("main").agg(blocks("mains").alias("main_blocks"), blocks("others").alias("other_blocks"))
-    mixed = mixed.select("slot", "main", "members").join(sizes, "main")
-    rows = join_split(named, mixed, "slot", "members", max(1, named.count() // HUBS)).drop("members")
+    rows = named.join(mixed.select("slot", "main").join(sizes, "main"), "slot")
     is_main = F.col("comp") == F.col("main")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("bin"), F.when(is_main, F.col("main_blocks")).otherwise(F.col("other_blocks"))).cast("int"))
     me = F.col("own")
@@ -254,7 +256,7 @@ def _requests(shared: DataFrame, profiles: DataFrame, percent: int) -> DataFrame
     to_main = F.transform(numbered(F.col("main_blocks")), lambda k: cell(0, me, k, 0))
     among = F.transform(numbered(F.col("other_blocks")), lambda k: F.when(k < me, cell(1, k, me, 1)).otherwise(cell(1, me, k, 0)))
     dealt = rows.select("slot", "main", "key", F.explode(F.when(is_main, to_others).otherwise(F.concat(to_main, among))).alias("cell")).select("slot", "main", "key", "cell.*")
-    dealt = dealt.join(profiles, "key").select(*_CELL, "slot", "side", "key", "comp", "n", "sig", "bin")
+    dealt = dealt.join(profiles, "key").withColumn("slice", F.pmod("slot", F.lit(SLICES)).cast("int")).select(*_CELL, "slot", "side", "key", "comp", "n", "sig", "bin")
     return dealt.repartition(*_CELL).sortWithinPartitions(*_CELL, "slot").mapInArrow(_by_groups(_CELL, _ask(percent)), _ASKED).distinct()
 
 
