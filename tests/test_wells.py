@@ -109,3 +109,20 @@ def test_extents_below_zero(spark):
     df = spark.createDataFrame([("p", 1, -1.5, 3.2), ("p", 2, 0.5, 2.0)], "patient string, day int, lower double, upper double")
     assert [tuple(r) for r in curve_extents(df, clamp=False).collect()] == [("p", -2.0, 4.0, 2)]
     assert [tuple(r) for r in curve_extents(df).collect()] == [("p", 0.0, 4.0, 2)]
+
+
+def test_with_treatments_ranks_distinct_treatments_only(spark):
+    """Many rows per treatment: the numbers are those of the treatment table, and no window sees the rows."""
+    from vitaplate.operators import wells as W
+
+    rows = [("Media", None)] * 50 + [("STA", 5.0)] * 40 + [("IRI", float(d)) for d in (20, 60, 20)] * 30 + [(None, 1.0)] * 3
+    df = spark.createDataFrame([(c, d, float(i)) for i, (c, d) in enumerate(rows)], "compound string, concentration double, v double").repartition(6)
+    out = W.with_treatments(df)
+    assert out.columns == ["compound", "concentration", "v", "treatment", "treatment_rank"]
+    table = {(r.compound, r.concentration): (r.treatment, r.treatment_rank) for r in W.treatment_order(df).collect()}
+    got = out.collect()
+    assert sorted(r.v for r in got) == [float(i) for i in range(len(rows))]
+    assert all(table[r.compound, r.concentration] == (r.treatment, r.treatment_rank) for r in got)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    windows = plan[plan.index("Window"):]
+    assert "Aggregate" in windows and "v#" not in windows.split("Aggregate", 1)[0]

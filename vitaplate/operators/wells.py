@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vitaplate.functions.names import quoted
 from vitaplate.functions.nulls import finite, ieee_div, key_concat, nan_to_null
-from vitaplate.functions.ranking import window_index
+from vitaplate.functions.ranking import checkpointed, window_index
 from vitaplate.operators.clean import is_control, treatment_label
 from vitaplate.operators.reshape import live_dead_columns
 
@@ -105,8 +105,7 @@ def growth_curve(objects: DataFrame, feature: str, control: str = "Media") -> Da
 def _ranked_treatments(df: DataFrame, compound: str, concentration: str) -> DataFrame:
     """``df`` with ``treatment``, ``treatment_rank``, ``compound_rank``, ``n_doses``, ``n_compounds`` and ``n_controls``.
 
-    Windows over ``df``'s own rows, so nothing is read twice or written: for
-    tables with few rows per treatment (distinct treatments, conditions and days).
+    Windows over ``df``'s own rows: for distinct treatments.
     """
     comp, conc = F.col(compound), F.col(concentration)
     per = Window.partitionBy(compound)
@@ -144,18 +143,23 @@ def treatment_order(df: DataFrame, compound: str = "compound", concentration: st
 
 
 def with_treatments(df: DataFrame, compound: str = "compound", concentration: str = "concentration") -> DataFrame:
-    """Attach ``treatment`` and ``treatment_rank`` to every row of a table of conditions.
+    """Attach ``treatment`` and ``treatment_rank`` to every row of ``df``, however many rows a treatment has.
 
-    ``df`` holds a few rows per treatment (one per patient and day); its own rows
-    are ranked, so it is computed once and nothing is joined.
+    ``df`` is written once, since its distinct treatments are ranked apart
+    (``treatment_order``, whose windows see no other rows) and joined back by
+    null-safe keys.
     """
-    return _ranked_treatments(df, compound, concentration).drop("compound_rank", "n_doses", "n_compounds", "n_controls")
+    rows = checkpointed(df)
+    order = treatment_order(rows, compound, concentration)
+    order = order.select(F.col(compound).alias("_compound"), F.col(concentration).alias("_dose"), "treatment", "treatment_rank")
+    same = rows[compound].eqNullSafe(order["_compound"]) & rows[concentration].eqNullSafe(order["_dose"])
+    return rows.join(order, same, "left").drop("_compound", "_dose")
 
 
 def curve_table(norm: DataFrame, normalized: bool = True) -> DataFrame:
     """T11 data: ordered treatments, the chosen value and error bar, finite values only.
 
-    ``norm`` has one row per condition and day and is computed once, in one plan.
+    ``norm`` has one row per condition and day.
     """
     val, dev = ("nlive", "nlive_sd") if normalized else ("live_mean", "live_sd")
     t = with_treatments(norm).withColumns({"val": F.col(val), "dev": F.col(dev)})
