@@ -166,3 +166,24 @@ def test_same_results_with_ansi_mode_off(spark, duck, name):
     rel = duck.execute(ORACLE[name])
     idx = {d[0]: i for i, d in enumerate(rel.description)}
     assert got == Counter(tuple(_norm(r[idx[c]]) for c in cols) for r in rel.fetchall())
+
+
+def test_censoring_and_both_extent_rules_act_on_the_surrogates(spark):
+    """F10 drops points of some treatment, and A12's two rules give different lower limits."""
+    fits = QUERIES["assay_fit_censored"](spark, SF_SMALL).collect()
+    assert sum(r.n_points or 0 for r in fits) < sum(r.all_points for r in fits)
+    limits = {(r.compound, r.clamp): r.y_min for r in QUERIES["change_extents"](spark, SF_SMALL).collect()}
+    assert any(limits[c, True] == 0.0 > limits[c, False] for c, clamp in limits if clamp)
+
+
+def test_entry_swallows_only_a_missing_subpackage():
+    import subprocess
+    import sys
+
+    from tests.conftest import ROOT
+
+    code = "import sys; sys.modules['{}'] = None; import __spark_entry__ as e; print(len(e.queries()))"
+    gone = subprocess.run([sys.executable, "-c", code.format("vitaplate.llm")], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert gone.returncode == 0 and int(gone.stdout.split()[-1]) == len(QUERIES)
+    broken = subprocess.run([sys.executable, "-c", code.format("pyarrow") + ""], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert broken.returncode != 0

@@ -11,6 +11,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitaplate.functions.ranking import checkpointed
 from vitaplate.operators import assay as A
 from vitaplate.operators import clean as C
 from vitaplate.operators import compare as M
@@ -92,6 +93,15 @@ def plate_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(W.curve_extents(curves, by=("compound",), clamp=False))
 
 
+def change_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A12, both rules on values that fall below 0: limits of the plate curves as change against the control."""
+    change = F.col("norm_mean") - 1
+    curves = plate_normalised_table(spark, sf_dir).withColumns({
+        "val": change, "lower": change - F.col("norm_sd"), "upper": change + F.col("norm_sd")})
+    rules = [W.curve_extents(curves, by=("compound",), clamp=c).withColumn("clamp", F.lit(c)) for c in (True, False)]
+    return rounded(rules[0].union(rules[1]))
+
+
 # Surrogate origins of two patients, appended to their names as one figure does.
 ORIGINS = (("BUILDING", "Primary"), ("MACHINERY", "Metastasis"))
 
@@ -357,6 +367,13 @@ def assay_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.assay_fit(_assay_concordance(spark, sf_dir)))
 
 
+def assay_fit_censored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F10 + A14 where points lie outside the axes: the signal relative to half the control, beside the number of all points."""
+    scaled = checkpointed(_assay_concordance(spark, sf_dir).withColumn("norm_media", F.col("norm_media") * 2))
+    every = scaled.groupBy("treatment").agg(F.count(F.lit(1)).alias("all_points"))
+    return rounded(every.join(A.assay_fit(scaled), "treatment", "left"))
+
+
 def assay_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A15 + F10: mean live fraction at each relative signal per treatment."""
     return rounded(A.assay_points(_assay_concordance(spark, sf_dir)))
@@ -410,6 +427,8 @@ def queries() -> dict[str, Query]:
         "assay_points": assay_points,
         "plate_grid": plate_grid,
         "embedding_neighbours": embedding_neighbours,
+        "change_extents": change_extents,
+        "assay_fit_censored": assay_fit_censored,
         "event_links": event_links,
         "unique_report": unique_report,
         "unify_decided": unify_decided,

@@ -536,6 +536,21 @@ def oracle_sql() -> dict[str, str]:
                    regr_r2(mean_pa, norm_media) AS r2
             FROM conc WHERE norm_media BETWEEN 0 AND 1 AND mean_pa BETWEEN 0 AND 1 GROUP BY treatment"""),
             ["slope", "intercept", "r2"]),
+        "assay_fit_censored": sql_rounded(_q(*_concordance_ctes(), body="""
+            SELECT treatment, count(*) AS all_points, f.* EXCLUDE (treatment)
+            FROM conc LEFT JOIN (
+              SELECT treatment, CAST(regr_count(mean_pa, x) AS BIGINT) AS n_points, regr_slope(mean_pa, x) AS slope,
+                     regr_intercept(mean_pa, x) AS intercept, regr_r2(mean_pa, x) AS r2
+              FROM (SELECT treatment, mean_pa, norm_media * 2 AS x FROM conc) c
+              WHERE x BETWEEN 0 AND 1 AND mean_pa BETWEEN 0 AND 1 GROUP BY treatment) f USING (treatment)
+            GROUP BY ALL"""), ["slope", "intercept", "r2"]),
+        "change_extents": sql_rounded(_q(PLATES, PLATE_NORM, """g AS (
+            SELECT compound, max(norm_mean - 1 + norm_sd) AS hi, min(norm_mean - 1 - norm_sd) AS lo, count(DISTINCT day) AS n_days
+            FROM pn GROUP BY compound)""", body="""
+            SELECT compound, CASE WHEN clamp THEN 0.0 ELSE floor(CASE WHEN lo > 0 THEN 0.0 ELSE lo END) END::DOUBLE AS y_min,
+                   CASE WHEN hi < 2 THEN round_even(hi, 1) ELSE CAST(ceil(hi) AS DOUBLE) END AS y_max,
+                   CAST(n_days AS INTEGER) AS n_days, clamp
+            FROM g, (VALUES (true), (false)) r(clamp)"""), ["y_min", "y_max"]),
         "assay_points": sql_rounded(_q(*_concordance_ctes(), body="""
             SELECT treatment, min(norm_media) AS norm_media, avg(mean_pa) AS mean_y, count(*) AS n
             FROM conc WHERE norm_media BETWEEN 0 AND 1 AND mean_pa BETWEEN 0 AND 1
