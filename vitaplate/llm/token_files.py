@@ -12,7 +12,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +24,8 @@ from vitaplate.llm import common as C
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
-#: Parts whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Parts whose ids a worker remembers in each of two generations.
+REMEMBERED = 250_000
 REMEMBERED_LENGTH = 40
 #: Rows between two entries of the row index.
 INDEX_STRIDE = 1000
@@ -42,11 +41,21 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in seen else chr(256 + others.index(b)) for b in range(256)}
 
 
+class _Letters(dict):
+    """The letters of each character's bytes, made when it is first met."""
+
+    def __missing__(self, char: str) -> str:
+        self[char] = out = "".join(map(_BYTE_LETTERS.__getitem__, char.encode()))
+        return out
+
+
 _BYTE_LETTERS = _byte_letters()
 #: What the pre-tokeniser makes of a part without its exceptions: letters, digits or marks, with the space before them, and line ends.
 _TOKEN = re.compile(r" ?[^\W\d_]+| ?[0-9]+| ?(?:[^\w\s]|_)+|\n")
 #: Its exceptions: clippings after an apostrophe, white space in runs or of other kinds.
 _EXCEPTION = re.compile(r"'|\s\s|[^\S \n]")
+#: Several line ends in a row.
+_LINE_ENDS = re.compile(r"(\n\n+)")
 
 
 def _kinds() -> bytes:
@@ -65,6 +74,25 @@ _MEETINGS = (b"w", b"ss", b"sn", b"ns", b"nn", b"mp", b"pp", b"pm", b"sp")
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
+class _Remembered(dict):
+    """Ids of parts, learnt when they are first met; parts that were not met for a generation are forgotten."""
+
+    def __init__(self, learn):
+        self.learn = learn
+        self.before: dict[str, bytes] = {}
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.before.get(part)
+        if ids is None:
+            ids = self.learn(part)
+        if len(part) <= REMEMBERED_LENGTH:
+            if len(self) >= REMEMBERED:
+                self.before = dict(self)
+                self.clear()
+            self[part] = ids
+        return ids
+
+
 class Encoder:
     """Whole texts to token ids, with the ids of frequent parts remembered.
 
@@ -74,7 +102,8 @@ class Encoder:
     places if such marks and spaces always stand alone in it, else before spaces;
     a text where white space follows a space is encoded whole.  The parts are
     encoded on their own: a new part without exceptions is cut further as the
-    pre-tokeniser does, and each piece goes straight to the vocabulary's merges.
+    pre-tokeniser does, and each new piece goes straight to the vocabulary's
+    merges.  Parts and pieces are remembered alike.
     """
 
     def __init__(self, path: str):
@@ -83,53 +112,59 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.merges = self.tokenizer.model.tokenize
-        self.known: dict[str, bytes] = {}
+        self.letters = _Letters()
+        self.known = _Remembered(self._part)
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _token(self, piece: str) -> bytes:
-        ids = [t.id for t in self.merges(piece.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+        if piece.isascii() and piece.isprintable():  # all but the space stand for themselves
+            spelt = piece.replace(" ", _BYTE_LETTERS[0x20])
+        else:
+            spelt = "".join(map(self.letters.__getitem__, piece))
+        ids = [t.id for t in self.merges(spelt)]
         return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
     def _part(self, part: str) -> bytes:
+        if not part:
+            return b""
         if part[1:].isalpha() and (part[0] == " " or part[0].isalpha()):
             return self._token(part)
-        pieces = [] if _EXCEPTION.search(part) else _TOKEN.findall(part)
-        # digits of other scripts and numerals that are no letters are left to the library
-        if sum(map(len, pieces)) != len(part) or not all(map(_plain, pieces)):
-            return self._whole(part)
-        return b"".join(map(self._token, pieces))
+        pieces: list[str] = []
+        for lines in _LINE_ENDS.split(part):
+            if lines[:2] == "\n\n":
+                pieces.append(lines)
+            elif lines:
+                found = [] if _EXCEPTION.search(lines) else _TOKEN.findall(lines)
+                # digits of other scripts and numerals that are no letters are left to the library
+                if sum(map(len, found)) != len(lines) or not all(map(_plain, found)):
+                    return self._whole(part)
+                if pieces:  # the last of several line ends before a visible character stands alone
+                    pieces[-1:] = [pieces[-1][1:], "\n"]
+                pieces += found
+        if len(pieces) == 1:
+            return self._token(part)
+        return b"".join([self.known[p] for p in pieces])
 
     @staticmethod
     def cut(text: str) -> list[str]:
-        """Parts of the text that can be encoded on their own."""
+        """Parts of the text that can be encoded on their own (some may be empty)."""
         kinds = text.encode().translate(_KINDS)
         alone = not any(m in kinds for m in _MEETINGS)
         if alone and (text.isascii() or all(c.isalpha() for c in set(text) if c > "\x7f")):
-            marked = text.replace(" ", "\0 ").replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n\0")
-            return [p for p in marked.split("\0") if p]
+            return text.replace(" ", "\0 ").replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n\0").split("\0")
         first, *rest = text.split(" ")
         if any(not p or p[0].isspace() for p in rest):
             return [text]
-        return [first, *[" " + p for p in rest]] if first else [" " + p for p in rest]
+        return [first, *[" " + p for p in rest]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Token ids of each text as little-endian 32-bit integers, END_ID after its last."""
-        parts = [self.cut(t) for t in texts]
-        wanted = set(chain.from_iterable(parts))
-        missing = wanted.difference(self.known)
-        if len(self.known) + len(missing) > REMEMBERED:  # what is in use stays
-            self.known = {p: self.known[p] for p in wanted - missing}
-        for p in missing:
-            self.known[p] = self._part(p)
         end = END_ID.to_bytes(4, "little")
-        out = [b"".join(map(self.known.__getitem__, p)) + end for p in parts]
-        for p in missing:
-            if len(p) > REMEMBERED_LENGTH:
-                del self.known[p]
-        return out
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, self.cut(t))) + end for t in texts]
 
 
 def _plain(piece: str) -> bool:
@@ -171,7 +206,7 @@ def write_token_files(docs: DataFrame, path: str, text_col: str = "text", shards
 
     Columns: ``doc_id``, ``ids`` (token ids, END_ID last).  Null and empty texts
     hold END_ID alone.  Repeated ids stay as rows of their own, ordered by their
-    text.  An empty table writes no shard.  Other columns are left out.
+    token ids.  An empty table writes no shard.  Other columns are left out.
     """
     spark = docs.sparkSession
     n = shards or 2 * C.parallelism(spark)
@@ -187,8 +222,9 @@ def write_token_files(docs: DataFrame, path: str, text_col: str = "text", shards
                 values = pa.array(np.frombuffer(b"".join(coded), "<u4").astype(np.int32))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), values), part.column(2)], names=FILE_SCHEMA.names)
 
-    ordered = rows.repartition(C.parallelism(spark), "shard").sortWithinPartitions("shard", "doc_id", "text")
-    writer = ordered.mapInArrow(run, FILE_SCHEMA).write.partitionBy("shard").mode("errorifexists")
+    # the writer needs rows by shard, which this order gives it: no other sort follows
+    ordered = rows.repartitionById(n, "shard").mapInArrow(run, FILE_SCHEMA).sortWithinPartitions("shard", "doc_id", "ids")
+    writer = ordered.write.partitionBy("shard").mode("errorifexists")
     writer.options(**{
         "compression": "zstd",
         "orc.create.index": "true",
