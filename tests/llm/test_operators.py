@@ -402,6 +402,36 @@ def test_classifier_adds_spans(spark):
     assert rates[0, 1][0] > rates[0, 1][1]
 
 
+def test_reliabilities_turn_a_majority():
+    # two labelers of three say yes, the check says no: the data's other patterns show that the check is right
+    rows = [((1, -1, 0, -1), 96), ((1, 1, 0, -1), 62), ((1, 1, 0, 1), 161), ((1, -1, 0, 1), 12)]
+    rates, posterior = pii._em(rows)
+    assert posterior[1, 1, 0, -1] < 0.5 < posterior[1, -1, 0, 1]
+    assert rates[3, -1][0] < rates[1, -1][0]
+    assert rates[2, 0] == (1.0, 1.0)
+
+
+def test_secrets_and_failed_matches(spark):
+    hexes = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(80)]
+    texts = [f'token = "{h}" and more' for h in hexes[:50]] + [f"{('commit', 'and')[i % 2]} {h} went in" for i, h in enumerate(hexes[50:])] + [f"no. 12345678{i:08d} of" for i in range(20)] + ["card 4111111111111111."] * 15
+    got = {r.doc_id: r for r in pii.digest(pii.find_pii(documents(spark, texts))).collect()}
+    assert all(got[i].spans == "secret:9:49" and got[i].n_spans == 1 for i in range(50))
+    assert all(got[i].n_spans == 0 for i in range(50, 80))
+    numbers = [i for i in range(80, 100) if not pii.brute_force(texts[i])["card"]]
+    assert len(numbers) > 10 and all(got[i].n_spans == 0 for i in numbers)
+    assert all(got[i].spans == "card:5:21" and got[i].n_card == 1 for i in range(100, 115))
+
+
+def test_running_sums_span_blocks(spark):
+    # more matches than a block: the offsets and the overlap test go by blocks
+    text = " ".join(f"10.0.{i % 400}.7 é" for i in range(2000))
+    r = pii.digest(pii.find_pii(documents(spark, [text]))).first()
+    want = pii.brute_force(text)
+    assert r.n_ip == len(want["ip"]) > 1000
+    assert {f"ip:{a}:{e}" for a, e in want["ip"]} <= set(r.spans.split(","))
+    assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{e}" for k in pii.KINDS for a, e in want[k]).encode()).hexdigest()
+
+
 def test_pii_plan_has_no_python(spark):
     plan = pii.candidates(edge.frame(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
