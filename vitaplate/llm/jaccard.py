@@ -6,9 +6,9 @@ join runs over classes.
 
 1. Candidate groups.  If A and B link at p percent, at most
    (|A| + |B|) (100 - p) / (100 + p) shingles (a 19th at 90) lie in one of them
-   only.  Each set is cut into one part more than that bound allows
+   only.  Each set is cut into more parts than that bound allows
    for its size level, by ranges of the shingles' hash, so linked sets agree in
-   at least one whole part.  Sets that agree in a part (directly or along a
+   at least one whole part that is not empty.  Sets that agree in such a part (directly or along a
    chain) and lie on one size level form a group of similar sets.  No link is
    lost: linked sets are in one group, or in groups of adjacent size levels.
 2. Token-group matrix.  Groups are split into blocks of bounded size; for each
@@ -18,7 +18,7 @@ join runs over classes.
    opened only when some set qualifies.
 3. Opened blocks count all their intersections by matrix products and emit the
    links as a spanning forest, so no list of pairs is ever made.
-4. Components of the links, by alternating star contraction.
+4. Components of the links, by alternating star contraction (``graph``).
 
 Shingles, parts and classes are compared by 64-bit hashes.
 """
@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitaplate.llm import common as C
+from vitaplate.llm.graph import components
 
 #: Word bytes: everything but the space and 09-0D.
 WORD = np.ones(256, bool)
@@ -53,6 +54,8 @@ PRODUCT_WIDTH = 4096
 SHARES = 4
 #: Bits of the prefilter for the second reading of the texts (2 MB, whatever the input).
 FILTER_BITS = 24
+#: Orders in which a set is cut into parts, at most.
+TURNS = 8
 
 
 def shingle_sets(step: C.TextStep, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -102,25 +105,58 @@ def size_level(n: int, percent: int = PERCENT) -> int:
     return int(np.searchsorted(starts, n, "right")) - 1
 
 
-def _parts(level: int, percent: int) -> int:
-    """Parts for sets of ``level`` and the one above: one more than linked sets can differ in."""
-    return 2 * (_level_start(level + 2, percent) - 1) * (100 - percent) // (100 + percent) + 1
+#: Parts by level and percentage: (shingles that linked sets can differ in, number of parts).
+_PARTS: dict[tuple[int, int], tuple[int, int]] = {}
+
+
+def _parts(level: int, percent: int) -> tuple[int, int]:
+    """The most shingles in which a set of ``level`` differs from a linked one of its level or the next, and the parts to cut.
+
+    There are more parts than that, with so many to spare that even the level's smallest sets seldom
+    leave enough of them empty to have no more than that with shingles.
+    """
+    if (level, percent) not in _PARTS:
+        low = _level_start(level, percent)
+        ends = _level_start(level + 1, percent) + _level_start(level + 2, percent) - 2
+        most = ends * (100 - percent) // (100 + percent)
+        m = most + 1
+        while m < 2 * (most + 1):
+            # mean and variance of the parts that are not empty when low shingles fall into m of them
+            one, two = (1 - 1 / m) ** low, (1 - 2 / m) ** low if m > 1 else 0.0
+            spread = max(0.0, m * (m - 1) * two + m * one - (m * one) ** 2) ** 0.5
+            if m * (1 - one) - 2 * spread > most:
+                break
+            m += 1
+        _PARTS[level, percent] = most, m
+    return _PARTS[level, percent]
 
 
 def signatures(shingles: np.ndarray, level: int, percent: int = PERCENT) -> np.ndarray:
-    """Hashes of the set's parts, for its own level and the level below as the lower one of a pair."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(C.mix64(shingles))])
+    """Hashes of the set's parts, for its own level and the level below as the lower one of a pair.
+
+    Empty parts say nothing and are left out.  Linked sets still share a part: a set with shingles in more
+    parts than linked sets can differ in keeps one that the other has as well.  A set with fewer is cut anew
+    in another order of its shingles, until it has more (or TURNS orders are used up; then the empty
+    parts of the last count as well).  Of two linked sets the other has used every order that the first to stop has.
+    """
     out = []
     for low in (level, level - 1):
         if low < 0:
             continue
-        m = _parts(low, percent)
+        most, m = _parts(low, percent)
         if m not in _CUTS:
             _CUTS[m] = np.array([(k << 64) // m for k in range(1, m)], np.uint64)
-        at = np.concatenate([[0], np.searchsorted(shingles, _CUTS[m]), [len(shingles)]])
-        part = sums[at[1:]] - sums[at[:-1]]
-        salt = np.arange(m, dtype=np.uint64) + np.uint64(low << 32)
-        out.append(C.mix64(part + C.mix64(salt)))
+        for turn in range(TURNS):
+            ordered = shingles if not turn else np.sort(C.mix64(shingles + np.uint64(turn * 0x9E3779B97F4A7C15 % (1 << 64))))
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(C.mix64(ordered))])
+            at = np.concatenate([[0], np.searchsorted(ordered, _CUTS[m]), [len(ordered)]])
+            salt = np.arange(m, dtype=np.uint64) + np.uint64((low << 32) + (turn << 56))
+            signs = C.mix64(sums[at[1:]] - sums[at[:-1]] + C.mix64(salt))
+            filled = at[1:] > at[:-1]
+            enough = int(filled.sum()) > most
+            out.append(signs[filled] if enough or turn < TURNS - 1 else signs)
+            if enough:
+                break
     return np.concatenate(out)
 
 
@@ -150,32 +186,6 @@ def _describe(step: C.TextStep, shingle: int, percent: int) -> list[pa.Array]:
     ]
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for the nodes of undirected ``edges`` (u, v); root is the component's least node.
-
-    Alternating star contraction: nodes hand their larger, then their smaller
-    neighbours to the least one, until nothing changes.  Every step is written
-    to the shared folder.  Minima are aggregated before the shuffle, and no
-    neighbourhood is ever gathered.
-    """
-    now = C.materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = None
-    while True:
-        both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        kept = both.join(least, "u").where("v < u and v = m").select("u", "v")
-        large = C.materialise(large.union(kept).where("u <> v").distinct(), "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        now = C.materialise(small.where("u <> v").distinct(), "small-star")
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == mark:
-            break
-        mark = seen
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v")).distinct()
-
-
 def _forest(keys: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
     """Edges from each row to the least key of its component."""
     label = np.argsort(np.argsort(keys, kind="stable"), kind="stable")
