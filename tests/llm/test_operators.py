@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -209,6 +210,50 @@ def test_odd_pages(page):
     assert isinstance(html_text.main_text(page), str)
 
 
+LONG = "<p>" + "A paragraph of the story that goes on for a good while. " * 4 + "</p>"
+CLOSING = "<p>So it ended.</p>"
+
+
+def test_sums_decide_with_and_without_a_named_article(monkeypatch):
+    one = LONG[3:-4].strip()
+    named = f"<body><article><p>Tiny.</p><p>Bits.</p><p>More.</p>{LONG}{CLOSING}</article><article><p>Teaser.</p></article></body>"
+    assert html_text.main_text(named) == "\n".join(["Tiny.", "Bits.", "More.", one, "So it ended."])
+    monkeypatch.setattr(html_text, "SURGE_CHARS", 1)
+    assert html_text.main_text(named).endswith("So it ended.\nTeaser.")
+    monkeypatch.setattr(html_text, "SURGE_CHARS", 60)
+    plain = f"<body><p>Menu</p><div><h1>Head</h1><p>By me.</p>{LONG}{LONG}<h2>A</h2><p>b</p><p>c</p><p>d</p><div class=ad>Buy now and save a lot of money</div>{CLOSING}</div></body>"
+    assert html_text.main_text(plain) == "\n".join(["Head", "By me.", one, one, "A", "b", "c", "d", "So it ended."])
+    # a gap of other parents ends a region, one window longer than the gap does not
+    far = f"<body><div>{LONG}{LONG}</div><nav>x</nav><div>{CLOSING}</div></body>"
+    assert html_text.main_text(far) == f"{one}\n{one}"
+    short = f"<body><div>{LONG}</div><nav>x</nav><div>{LONG}</div></body>"
+    assert html_text.main_text(short) == f"{one}\n{one}"
+
+
+def test_layout_wrappers_and_adverts_between_paragraphs():
+    one = LONG[3:-4].strip()
+    for wrapper in ("with-sidebar", "no-sidebar", "layout-has-ads", "sidebar"):
+        assert html_text.main_text(f"<body><div class='{wrapper}'>{LONG}{LONG}</div></body>") == f"{one}\n{one}"
+    page = f"<body><div>{LONG * 5}<div class='ad'>Buy!</div>{CLOSING}</div><div class='sidebar'>{LONG}</div></body>"
+    assert html_text.main_text(page) == "\n".join([one] * 5 + ["So it ended."])
+    nested = f"<article><div>{LONG}</div><form><input></form><div>{CLOSING}</div></article>"
+    assert html_text.main_text(nested) == f"{one}\nSo it ended."
+
+
+def test_every_given_page_gives_its_article():
+    """A plain reference for these pages: the text of the blocks of the one article element."""
+    import html
+    import re
+
+    for (page,) in duckdb.sql("select html from '/root/testdata/sf0.01/pages.parquet'").fetchall():
+        inner = re.search(r"<article>(.*?)</article>", page, re.S)
+        if not inner or re.search(r"<(?!/?(?:p|h1|h2|h3|b|i|em|strong|br|a|ul|li|article)\b)", inner[1]):
+            continue
+        blocks = re.split(r"</?(?:p|h[1-3]|ul|li)\b[^>]*>", inner[1])
+        texts = [" ".join(html.unescape(re.sub(r"<[^>]*>", lambda m: " " if m[0].startswith("<br") else "", x)).split()) for x in blocks]
+        assert html_text.main_text(page) == "\n".join(t for t in texts if t)
+
+
 def test_extract_edges(spark):
     rows = [(1, "u", PAGE, "clash"), (1, "u", PAGE, "clash"), (2, None, None, None), (None, "u", "", "x"), (4, "u", "<p>" + "long text here " * 50_000, "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

@@ -46,7 +46,7 @@ def test_pipeline_matches_its_stages_by_hand(spark):
     docs = queries.table(spark, SF_SMALL, "documents")
     model = quality.fit_quality(docs, queries.table(spark, SF_SMALL, "labels"))
     good = [(r.doc_id, r.text) for r in quality.score_quality(docs, model).where("predicted = 1").collect()]
-    one = {r[0] for r in jaccard.brute_force(good) if r[0] == r[2]}
+    one = {r[0] for r in jaccard.brute_force(good, 5, 80) if r[0] == r[2]}
     items = duckdb.sql(f"select item_id, text from '{SF_SMALL}/benchmark.parquet'").fetchall()
     clean = {r[0] for r in decontaminate.brute_force([g for g in good if g[0] in one], items) if not r[5]}
     kept = docs.where(docs.doc_id.isin(list(clean)))

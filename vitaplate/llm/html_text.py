@@ -3,20 +3,25 @@
 Markup is stripped to lines, one per block of the page.  Elements that are not
 article text (menus, headers, footers, sidebars, adverts, notices, forms, reader
 comments, by element name or by the words of class, id and role) become gaps of
-empty lines.  The lengths of a few lines in a row are summed; text begins where
-the sum surges and ends where it dives, and what stands between is kept.
-
-Where the page names its article (an article or main element), only that
-element's lines count and any text surges; elsewhere a surge needs a share of
-the page's highest sum, lines that are mostly links count as empty, short lines
-before a region's first heading or long line are left out, and the regions that
-compare with the largest are kept.
+empty lines, but for those between two lines of one parent.  The lengths of a few
+lines in a row are summed; text begins where the sum surges and ends where it
+dives to nothing, and what stands between is kept.  The short lines before a surge belong
+to it as far as they have the parent of its first line, so that a heading or a short first
+paragraph is not lost.
+
+Element names weigh the lines.  Where the page names its article (an article or
+main element), lines outside count as empty, all lines inside have it as their
+parent, and a surge needs a fixed sum, so that a named element without one goes where
+another has one.  Elsewhere lines that are mostly links count as empty, a surge also needs a share of
+the page's highest sum, short lines of other parents do not begin a region unless they are headings,
+and the regions that compare with the largest are kept.  If nothing is left, class words are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +31,7 @@ from vitaplate.llm import common as C
 
 #: Lines whose lengths are summed.
 WINDOW = 3
-#: Least sum of a surge where no article is named, in characters and as a share of the highest sum.
+#: Least sum of a surge in characters, and where no article is named also as a share of the highest sum.
 SURGE_CHARS = 60
 SURGE_SHARE = 0.15
 #: Shorter lines do not begin a region there unless they are headings.
@@ -47,44 +52,74 @@ _BLOCKS = frozenset("address article aside blockquote body caption center dd det
 _NOISE = frozenset("aside button datalist dialog fieldset footer form head header input label menu nav select textarea title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_CONTAINERS = frozenset("article body div main section td".split())
 _SPACES = frozenset("br td th img wbr hr".split())
 #: Words of class, id and role that mark other content.
 _NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice paywall popup promo promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split())
 
+#: Words that tell of a layout around such content, not of the content.
+_LAYOUT_WORDS = frozenset("column columns has hide layout no show with without".split())
 
-def _is_noise(name: str, attributes: str, in_article: int) -> bool:
+
+class Line(NamedTuple):
+    """A line of a page; gaps are lines without text and parent."""
+
+    text: str
+    parent: int
+    named: bool
+    links: float
+    heading: bool
+
+
+_GAP = Line("", -1, False, 0.0, False)
+
+
+def _is_noise(name: str, attributes: str, in_article: bool, by_words: bool) -> bool:
     if name in _NOISE:
         # an article's own header holds its title
         return not (name == "header" and in_article)
-    if not attributes or name in ("html", "body", "article", "main") and "comment" not in attributes.lower():
+    if not by_words or not attributes or name in ("html", "body", "article", "main") and "comment" not in attributes.lower():
         return False
     for values in _ATTR.findall(attributes):
-        if not _NOISE_WORDS.isdisjoint(_PART.findall("".join(values).lower())):
-            return True
+        for token in "".join(values).lower().split():
+            words = set(_PART.findall(token))
+            if words & _NOISE_WORDS and not words & _LAYOUT_WORDS:
+                return True
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, bool, float, bool]]:
-    """(text, in a named article, share of link characters, heading) of every line; other content and markup gaps are empty lines."""
+def lines_of(page: str, by_words: bool = True) -> list[Line]:
+    """The lines of a page; other content leaves gaps (``by_words``: class, id and role tell it too)."""
     page = _DROP.sub(" ", page)
-    out: list[tuple[str, bool, float, bool]] = []
+    out: list[Line] = []
     parts: list[str] = []
     linked = 0
     in_link = 0
-    article = 0
     heading = False
     skip, depth = "", 0
+    # open containers: (element name, number, number of the outermost named article or 0)
+    above: list[tuple[str, int, int]] = [("", 0, 0)]
+    number = 0
 
     def end_line(gap: int = 0):
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append((text, article > 0, min(1.0, linked / len(text)), heading))
-        if gap:
-            out.extend([("", article > 0, 0.0, False)] * gap)
+            _, own, article = above[-1]
+            out.append(Line(text, article or own, article > 0, min(1.0, linked / len(text)), heading))
+        out.extend([_GAP] * gap)
         parts.clear()
         linked = 0
 
+    def leave(name: str):
+        """Close the innermost container of that name; none but article, main and body closes a named article."""
+        for k in range(len(above) - 1, 0, -1):
+            if above[k][0] == name:
+                del above[k:]
+                return
+            if above[k][0] in ("article", "main") and name not in ("article", "main", "body"):
+                return
+
     at = 0
     while at < len(page):
         lt = page.find("<", at)
@@ -119,22 +154,20 @@ def lines_of(page: str) -> list[tuple[str, bool, float, bool]]:
             was, skip = skip, ""
             if name == was or closing:
                 continue
-        if name in ("article", "main"):
-            if closing:
-                end_line(WINDOW)
-                article = max(0, article - 1)
-                continue
-            if not _is_noise(name, attributes, article):
-                end_line(WINDOW)
-                article += 1
-                continue
-        if not closing and name not in _VOID and _is_noise(name, attributes, article):
+        article = above[-1][2] > 0
+        if not closing and name not in _VOID and _is_noise(name, attributes, article, by_words):
             end_line(WINDOW)
             skip, depth = name, 1
             continue
         if name in _BLOCKS:
-            end_line()
+            outer = name in ("article", "main")
+            end_line(WINDOW if outer else 0)
             heading = name in _HEADINGS and not closing
+            if name in _CONTAINERS and closing:
+                leave(name)
+            elif name in _CONTAINERS:
+                number += 1
+                above.append((name, number, above[-1][2] or (number if outer else 0)))
         elif name in _SPACES:
             parts.append(" ")
         elif name == "a":
@@ -143,36 +176,58 @@ def lines_of(page: str) -> list[tuple[str, bool, float, bool]]:
     return out
 
 
-def main_text(page: str | None) -> str:
-    """Main text of a whole page: kept lines joined by one newline; empty for null, empty and textless pages."""
-    lines = lines_of(page or "")
-    named = any(a and t for t, a, *_ in lines)
-    if named:
-        sizes = [len(t) if a else 0 for t, a, *_ in lines]
-    else:
-        sizes = [len(t) if share <= LINK_SHARE else 0 for t, _, share, _ in lines]
+def _joined(lines: list[Line]) -> list[Line]:
+    """``lines`` without the gaps between two lines of one parent."""
+    out: list[Line] = []
+    gap: list[Line] = []
+    last = None
+    for line in lines:
+        if not line.text:
+            gap.append(line)
+            continue
+        if line.parent != last:
+            out.extend(gap)
+        gap = []
+        out.append(line)
+        last = line.parent
+    return out
+
+
+def _between(lines: list[Line]) -> list[str]:
+    """The lines from each surge to its dive."""
+    lines = _joined(lines)
+    named = any(line.named for line in lines)
+    sizes = [len(line.text) if (line.named if named else line.links <= LINK_SHARE) else 0 for line in lines]
     n = len(sizes)
     sums = [sum(sizes[i : i + WINDOW]) for i in range(n)]
     if not n or not max(sums):
-        return ""
-    surge = 1 if named else max(SURGE_CHARS, SURGE_SHARE * max(sums))
+        return []
+    surge = SURGE_CHARS if named else max(SURGE_CHARS, SURGE_SHARE * max(sums))
     if max(sums) < surge:  # a page of little text: any of it surges
         surge = 1
-    regions, i = [], 0
+    regions, i, after = [], 0, 0
     while i < n:
         if sums[i] < surge:
             i += 1
             continue
         j = i
-        while j < n and sums[j] > 0 and (sizes[j] or any(sizes[j + 1 : j + WINDOW])):
+        while j < n and (sizes[j] or any(sizes[j + 1 : j + WINDOW])):
             j += 1
-        while not named and surge > 1 and i < j and sizes[i] < SHORT_CHARS and not lines[i][3]:
+        first = next((k for k in range(i, j) if sizes[k] >= SHORT_CHARS or lines[k].heading), i)
+        while i > after and lines[i - 1].text and lines[i - 1].parent == lines[first].parent:
+            i -= 1
+        while surge > 1 and i < first and lines[i].parent != lines[first].parent:
             i += 1
         regions.append((sum(sizes[i:j]), i, j))
-        i = max(j, i + 1)
+        i = after = max(j, i + 1)
     largest = max(r[0] for r in regions)
-    kept = [lines[k][0] for total, i, j in regions if named or total >= REGION_SHARE * largest for k in range(i, j) if sizes[k]]
-    return "\n".join(kept)
+    return [lines[k].text for total, i, j in regions if named or total >= REGION_SHARE * largest for k in range(i, j) if sizes[k]]
+
+
+def main_text(page: str | None) -> str:
+    """Main text of a whole page: kept lines joined by one newline; empty for null, empty and textless pages."""
+    page = page or ""
+    return "\n".join(_between(lines_of(page)) or _between(lines_of(page, by_words=False)))
 
 
 _FIELDS = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
