@@ -211,3 +211,16 @@ def test_new_queries_keep_extra_columns_out(spark):
     docs = edge.frame(spark).withColumn("rank", F.lit("clash")).withColumn("component_id", F.lit("clash"))
     assert resample.resample(docs, items(spark)).columns == ["doc_id", "n_features", "weight", "score", "rank"]
     assert hamming_join.near_duplicates(docs).columns == ["doc_id", "n_shingles", "component_id", "kept"]
+
+
+def test_materialised_tables_are_released(spark):
+    from pathlib import Path
+
+    from vitaplate.functions.ranking import release_materialised
+    from vitaplate.llm import common
+
+    written = common.materialise(spark.range(3), "release").inputFiles()[0]
+    folder = Path("/" + written.split(":", 1)[1].lstrip("/")).parent
+    assert folder.name.startswith("llm-release-") and folder.exists()
+    assert release_materialised(spark) >= 1
+    assert not folder.exists()

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vitaplate.functions.ranking import _WRITTEN
 from vitaplate.session import ensure_checkpoint_dir
 
 #: Bytes of text that one step of a task holds as numpy arrays (a longer document is a step of its own).
@@ -31,9 +32,10 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     It cuts the lineage (nothing dies with an executor) and a table that is
-    read more than once is computed once.
+    read more than once is computed once.  ``release_materialised`` deletes it with the others of the session.
     """
     path = scratch_path(df.sparkSession, label)
+    _WRITTEN.setdefault(id(df.sparkSession), []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
