@@ -286,10 +286,11 @@ def _active_sets(texts: DataFrame, text_col: str, active: DataFrame, shingle: in
     return once.join(active, "key")
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, block_sets: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``.
 
     Sets of ``shingle`` words link from ``percent`` percent of their union on.
+    Blocks hold about ``block_sets`` sets (BLOCK_SETS); a group of N sends N^2 / block_sets copies of sets at most.
 
     ``component_id`` is the smallest id that links reach, itself included.
     Texts without words (null, empty, white space) are linked with nothing and
@@ -313,7 +314,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each_class = worded.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.max("level").alias("level"), F.max("n").alias("n"))
     classes = C.materialise(each_class, "classes")
     active = C.materialise(classes.join(groups, F.col("key") == F.col("node")).select("key", "level", "n", F.col("root").alias("g")), "active")
-    count = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_SETS)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int")
+    count = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block_sets or BLOCK_SETS)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int")
     sizes = C.materialise(active.groupBy("g", "level").agg(count.alias("blocks"), F.count(F.lit(1)).alias("members")), "block-counts")
     above = sizes.select("g", (F.col("level") - 1).alias("level"), F.col("blocks").alias("next_blocks"), F.col("members").alias("next_members"))
     below = sizes.select("g", (F.col("level") + 1).alias("level"), F.col("blocks").alias("last_blocks"))
@@ -357,7 +358,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return of_large.union(of_others.select(of_large.columns)).select("doc_id", "n_shingles", "component_id").union(wordless)
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block_sets: int | None = None) -> DataFrame:
     """``docs`` with one document of each component: the one whose id names it.
 
     Rows without words all stay, and so do rows that repeat the id that stays.
@@ -366,7 +367,7 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     """
     by_text = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseOR(F.lit(1 << 62)).bitwiseAND(F.lit((1 << 63) - 1))
     name = F.coalesce(F.col("doc_id").cast("long"), by_text)
-    classes = jaccard_classes(docs.select(name.alias("doc_id"), "text"), shingle=shingle, percent=percent)
+    classes = jaccard_classes(docs.select(name.alias("doc_id"), "text"), shingle=shingle, percent=percent, block_sets=block_sets)
     stay = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
     return docs.join(stay, name == F.col("_stay"), "left_semi")
 
