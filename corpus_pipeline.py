@@ -20,7 +20,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: 5-word shingles that reach 80 percent."""
-    return jaccard.one_of_each(docs, shingle=5, percent=80)
+    return jaccard.one_of_each(docs, shingle=5, percent=80, block_sets=256)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
