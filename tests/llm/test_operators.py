@@ -339,6 +339,33 @@ def test_jaccard_many_small_blocks(spark, monkeypatch):
     assert sorted(tuple(r) for r in jaccard.jaccard_classes(documents(spark, texts)).collect()) == want
 
 
+def test_jaccard_counts_support_in_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BUCKET_SHINGLES", 40)
+    texts = near_copies(seed=5, groups=4, each=12) * 2
+    want = sorted(jaccard.brute_force(list(enumerate(texts)), 2, 80))
+    assert sorted(tuple(r) for r in jaccard.jaccard_classes(documents(spark, texts), shingle=2, percent=80).collect()) == want
+
+
+def test_jaccard_keeps_nothing_of_sets_that_cannot_link(spark, monkeypatch):
+    """Texts that share a passage of a third of their words are not cut into parts, nor sent to blocks."""
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(40)]
+    texts = [" ".join([f"w{rng.randrange(10**9)}" for _ in range(80)] + passage) for _ in range(60)]
+    texts += texts[:5] + [texts[7] + " more"]
+    listed = {}
+
+    def spy(df, label):
+        out = materialise(df, label)
+        listed[label] = sum(out.select(F.coalesce(F.sum(F.size(c)), F.lit(0))).first()[0] for c, t in out.dtypes if t.startswith("array"))
+        return out
+
+    materialise = jaccard.C.materialise
+    monkeypatch.setattr(jaccard.C, "materialise", spy)
+    got = sorted(tuple(r) for r in jaccard.jaccard_classes(documents(spark, texts), shingle=5, percent=80).collect())
+    assert got == sorted(jaccard.brute_force(list(enumerate(texts)), 5, 80))
+    assert sum(listed.values()) < 1000  # two sets of 116 and 117 shingles and their parts
+
+
 def test_parts_lose_no_link():
     rng = random.Random(8)
     for _ in range(300):

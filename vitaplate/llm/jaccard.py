@@ -4,6 +4,9 @@ Sets of word shingles link when their Jaccard similarity reaches a percentage (9
 unless the caller names another).  Equal sets are one class from the start; the
 join runs over classes.
 
+0. Support.  A set links only when p percent of its shingles lie in sets of
+   other classes.  Shingles are dealt to buckets by their hash, four bytes each; a bucket
+   counts what each of its classes shares, and classes that share too little go no further.
 1. Candidate groups.  If A and B link at p percent, at most
    (|A| + |B|) (100 - p) / (100 + p) shingles (a 19th at 90) lie in one of them
    only.  Each set is cut into more parts than that bound allows
@@ -48,6 +51,8 @@ PERCENT = 90
 #: Sets of a block, and shingles of all its sets, at most (on average; members are dealt by hash).
 BLOCK_SETS = 64
 BLOCK_SHINGLES = 400_000
+#: Shingles of a bucket that a task counts at once (on average).
+BUCKET_SHINGLES = 4_000_000
 #: Columns of one step of the intersection product.
 PRODUCT_WIDTH = 4096
 #: A class with more than this part of a task's rows is large: SHARES * tasks of them at most.
@@ -171,21 +176,91 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-_SETS = [T.StructField("n", T.LongType()), T.StructField("key", T.LongType()), T.StructField("level", T.IntegerType()), T.StructField("parts", T.ArrayType(T.LongType()))]
+_SETS = [T.StructField("n", T.LongType()), T.StructField("key", T.LongType()), T.StructField("level", T.IntegerType())]
 
 
 def _describe(step: C.TextStep, shingle: int, percent: int) -> list[pa.Array]:
     sets = shingle_sets(step, shingle)
-    levels = [size_level(len(s), percent) if len(s) else None for s in sets]
-    none = np.zeros(0, np.uint64)
     return [
         pa.array([len(s) for s in sets], pa.int64()),
         pa.array([_class_key(s) if len(s) else None for s in sets], pa.int64()),
-        pa.array(levels, pa.int32()),
-        _lists([signatures(s, lv, percent) if lv is not None else none for s, lv in zip(sets, levels, strict=True)]),
+        pa.array([size_level(len(s), percent) if len(s) else None for s in sets], pa.int32()),
     ]
 
 
+def _buckets(keys: list[int], sets: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """One row for each bucket with shingles of ``sets``: the classes, how many shingles each has there, and the shingles' low halves."""
+    lengths = np.array(list(map(len, sets)))
+    flat = np.concatenate(sets)
+    bucket = ((flat >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    # runs of one bucket and class, by bucket
+    run = bucket.astype(np.int64) * len(sets) + np.repeat(np.arange(len(sets)), lengths)
+    order = np.argsort(run, kind="stable")
+    runs, counts = np.unique(run, return_counts=True)
+    found, first = np.unique(runs // len(sets), return_index=True)
+    cuts = np.append(first, len(runs))
+    ends = np.concatenate([[0], np.cumsum(counts)])[cuts]
+
+    def lists(offsets, values):
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+
+    low = flat[order].astype(np.uint32).view(np.int32)
+    columns = [pa.array(found.astype(np.int32)), lists(cuts, np.array(keys, np.int64)[runs % len(sets)]), lists(cuts, counts.astype(np.int32)), lists(ends, low)]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "keys", "counts", "low"])
+
+
+def _shared(rows: pa.Table) -> pa.Table:
+    """(key, shared) of one bucket: how many shingles of each class another class has, where there are any."""
+    def flat(name):
+        return rows.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
+    keys, low = flat("keys"), flat("low")
+    owner = np.repeat(np.arange(len(keys), dtype=np.int32), flat("counts"))
+    order = np.argsort(low, kind="stable")
+    low, owner = low[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+    of = keys[owner]
+    several = np.minimum.reduceat(of, first) != np.maximum.reduceat(of, first)
+    shared = np.bincount(owner[np.repeat(several, np.diff(np.append(first, len(low))))], minlength=len(keys))
+    # copies of a class have the same shingles here, so the first tells for all
+    keys, at = np.unique(keys, return_index=True)
+    some = shared[at] > 0
+    return pa.table({"key": pa.array(keys[some]), "shared": pa.array(shared[at][some].astype(np.int64))})
+
+
+def _supported(texts: DataFrame, classes: DataFrame, shingles: int, shingle: int, percent: int) -> DataFrame:
+    """(key, level, n) of the classes that share ``percent`` percent of their shingles at least with others; ``shingles`` is the sum of all rows.
+
+    Two shingles with equal halves of their hash count as shared, so a class may stay for nothing but none is lost.
+    """
+    buckets = shingles // BUCKET_SHINGLES + 1
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in C.slices(batch, 0):
+                once = {_class_key(s): s for s in shingle_sets(C.TextStep(part.column(0)), shingle) if len(s)}
+                if once:
+                    yield _buckets(list(once), list(once.values()), buckets)
+
+    dealt = texts.select("text").mapInArrow(deal, "bucket int, keys array<long>, counts array<int>, low array<int>")
+    shared = dealt.groupBy("bucket").applyInArrow(_shared, "key long, shared long")
+    enough = shared.groupBy("key").agg(F.sum("shared").alias("shared"))
+    return classes.join(enough, "key").where(F.col("shared") * 100 >= F.col("n") * percent).select("key", "level", "n")
+
+
+def _with_parts(held: DataFrame, percent: int) -> DataFrame:
+    """``held`` (key, shingles, level, n) with the signatures of each set."""
+    schema = T.StructType([*held.schema.fields, T.StructField("parts", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [s.values.to_numpy().view(np.uint64) for s in batch.column("shingles")]
+            parts = [signatures(s, level, percent) for s, level in zip(sets, batch.column("level").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(parts)], names=schema.names)
+
+    return held.mapInArrow(run, schema)
+
+
 def _forest(keys: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
     """Edges from each row to the least key of its component."""
     label = np.argsort(np.argsort(keys, kind="stable"), kind="stable")
@@ -301,19 +376,23 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sets = C.materialise(C.add_columns(texts, _SETS, "text", lambda step: _describe(step, shingle, percent)).drop("text"), "sets")
 
+    # classes are formed before any join, so that copies never meet in one task
+    worded = sets.where("key is not null")
+    each_class = worded.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.max("level").alias("level"), F.max("n").alias("n"))
+    classes = C.materialise(each_class, "classes")
+    shingles = worded.agg(F.sum("n")).first()[0] or 0
+    able = C.materialise(_supported(texts, classes.select("key", "level", "n"), shingles, shingle, percent), "supported")
+    held = C.materialise(_with_parts(_active_sets(texts, "text", able, shingle), percent), "held-sets")
+
     # parts that two classes share: each such class is tied to the least class of the part
-    parts = sets.where("key is not null").select("key", F.explode("parts").alias("part"))
+    parts = held.select("key", F.explode("parts").alias("part"))
     shared = parts.groupBy("part").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select("part", "least")
     shared = C.materialise(shared, "shared-parts")
     ties = parts.join(shared, "part").where("key <> least").select(F.col("key").alias("u"), F.col("least").alias("v"))
     groups = C.materialise(components(ties), "groups")
 
     # blocks of each group and size level, dealt by hash; their number follows the group's size
-    # classes are formed before any join, so that copies never meet in one task
-    worded = sets.where("key is not null")
-    each_class = worded.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.max("level").alias("level"), F.max("n").alias("n"))
-    classes = C.materialise(each_class, "classes")
-    active = C.materialise(classes.join(groups, F.col("key") == F.col("node")).select("key", "level", "n", F.col("root").alias("g")), "active")
+    active = C.materialise(able.join(groups, F.col("key") == F.col("node")).select("key", "level", "n", F.col("root").alias("g")), "active")
     count = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block_sets or BLOCK_SETS)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int")
     sizes = C.materialise(active.groupBy("g", "level").agg(count.alias("blocks"), F.count(F.lit(1)).alias("members")), "block-counts")
     above = sizes.select("g", (F.col("level") - 1).alias("level"), F.col("blocks").alias("next_blocks"), F.col("members").alias("next_members"))
@@ -322,7 +401,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # a member goes to every pair of blocks that its own is in: with each block of its level, and of those beside it
     block = F.pmod(F.xxhash64("key", F.lit(7)), F.col("blocks")).cast("int")
-    member = _active_sets(texts, "text", active, shingle).join(around, ["g", "level"]).withColumn("block", block)
+    member = held.select("key", "shingles").join(active, "key").join(around, ["g", "level"]).withColumn("block", block)
     own, none = F.col("block"), F.array().cast("array<struct<lower:int,a:int,b:int,side:int>>")
 
     def pair(lower, a, b, side):
