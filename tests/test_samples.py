@@ -59,3 +59,16 @@ def test_norms_skip_tiles(spark):
     assert seen == want
     assert not any((a < 8) != (b < 8) for a, b in seen)
     assert pairs.groupBy("a", "b").count().where(F.col("count") > 1).count() == 0
+
+
+def test_near_rows_by_products_hold_the_nearest_and_few_others():
+    """Far from the origin, where products round, with equal rows, and where products overflow."""
+    rng = np.random.default_rng(4)
+    for x in (rng.normal(size=(40, 8)) + 1e6, np.repeat(rng.normal(size=(10, 8)), 4, axis=0), rng.normal(size=(40, 8)) * 1e152, np.zeros((40, 8))):
+        d = np.sqrt(np.square(x[:, None, :] - x[None, :, :]).sum(axis=2))
+        np.fill_diagonal(d, np.inf)
+        i, j, got = SM._near(x, x, np.full(len(x), np.inf), 3, 0)
+        assert (got == d[i, j]).all()
+        found = set(zip(i.tolist(), j.tolist()))
+        third = np.sort(d, axis=1)[:, 2]
+        assert found >= set(zip(*map(np.ndarray.tolist, np.nonzero(d <= third[:, None]))))

@@ -66,6 +66,34 @@ _NEAR = T.StructType([
 ])
 
 
+def _near(x: np.ndarray, y: np.ndarray, limit: np.ndarray, k: int, own: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, distance) of the rows of ``y`` within ``limit`` of a row of ``x``, the nearest k of each and ties at least.
+
+    ``own`` is the place of ``x`` in ``y`` where they are one tile.  Squared distances from a matrix
+    product, with room for its rounding, leave few pairs; those get their distance from the differences.
+    """
+    xx, yy = np.square(x).sum(axis=1), np.square(y).sum(axis=1)
+    size = xx + yy.max(initial=0.0)
+    if np.isfinite(size).all() and size.max(initial=0.0) < 1e300:
+        room = 8 * (x.shape[1] + 8) * np.finfo(float).eps * size + 1e-300
+        d2 = xx[:, None] + yy[None, :] - 2 * (x @ y.T)
+    else:  # products overflow where differences may not
+        room = np.zeros(len(x))
+        with np.errstate(over="ignore", invalid="ignore"):
+            d2 = np.square(np.sqrt(np.square(x[:, None, :] - y[None, :, :]).sum(axis=2)))
+    if own is not None:
+        at = np.arange(len(x))
+        d2[at, at + own] = np.inf
+    with np.errstate(over="ignore"):
+        most = np.square(limit) * (1 + SLACK) + room
+    many = np.flatnonzero((d2 <= most[:, None]).sum(axis=1) > k)
+    if len(many):
+        most[many] = np.minimum(most[many], np.partition(d2[many], k - 1, axis=1)[:, k - 1] * (1 + SLACK) + 2 * room[many])
+    i, j = np.nonzero((d2 <= most[:, None]) & np.isfinite(d2))
+    d = np.sqrt(np.square(x[i] - y[j]).sum(axis=1))
+    return i, j, d
+
+
 def _compare(k: int, width: int):
     """Pairs of tiles to the rows of the second that are near enough to rows of the first, k at most and ties."""
 
@@ -78,15 +106,8 @@ def _compare(k: int, width: int):
                 x, y = x.reshape(-1, width), y.reshape(-1, width)
                 out = []
                 for at in range(0, len(x), STEP):
-                    d = np.sqrt(np.square(x[at:at + STEP, None, :] - y[None, :, :]).sum(axis=2))
-                    if a == b:
-                        own = np.arange(len(d))
-                        d[own, own + at] = np.inf
-                    limit = bounds[at:at + STEP] * (1 + SLACK)
-                    if d.shape[1] > k:
-                        limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1])
-                    i, j = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
-                    out += [(a * TILE_ROWS + at + p, a_ids[at + p], b_ids[q], d[p, q]) for p, q in zip(i.tolist(), j.tolist())]
+                    i, j, d = _near(x[at:at + STEP], y, bounds[at:at + STEP] * (1 + SLACK), k, at if a == b else None)
+                    out += [(a * TILE_ROWS + at + p, a_ids[at + p], b_ids[q], e) for p, q, e in zip(i.tolist(), j.tolist(), d.tolist())]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=_NEAR.names)
 
