@@ -220,3 +220,18 @@ def test_unreadable_parquet_is_an_error(spark, tmp_path):
     _write(str(tmp_path / "x" / "E1" / "D0_Live.parquet"), "not parquet")
     with pytest.raises(Exception, match="(?i)parquet|footer"):
         S.read_experiments(spark, str(tmp_path / "x"), fmt="parquet").count()
+
+
+def test_large_sheet_is_written_in_parts(spark, tmp_path):
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "20000")
+    try:
+        df = spark.range(20000, numPartitions=8).selectExpr("'E1' as ExpID", "0 as Day", "'Live' as LD", "id", "sha2(string(id), 256) as text")
+        S.write_experiments(df, str(tmp_path / "x"))
+    finally:
+        spark.conf.set(key, before)
+    assert len(S.list_files(spark, f"{tmp_path}/x/*/*/*.csv")) > 1
+    read = S.read_experiments(spark, str(tmp_path / "x"))
+    assert read.count() == 20000
+    assert [tuple(r) for r in read.select("ExpID", "Day", "LD").distinct().collect()] == [("E1", 0, "Live")]

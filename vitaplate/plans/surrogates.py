@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitaplate.functions.ranking import sequence_index
+from vitaplate.functions.ranking import checkpointed, sequence_index
 from vitaplate.sources.tables import read_table
 
 # Reference-style headers given to the surrogate feature columns, so that the
@@ -138,7 +138,8 @@ def raw_sheets(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 
     Live and dead sheets name their columns differently, sheets of E3 lack one,
     patients carry a suffix, the control is spelled in four ways, and one column
-    each holds truth values, dates and whole numbers as text.
+    each holds truth values, dates and whole numbers as text.  The joined rows are
+    written once, since every layout reads them.
     """
     df = objects(spark, sf_dir)
     control = F.when(F.col("plate_col") == 1, F.when(F.col("plate_row") == 0, "control").otherwise("media")).when(F.col("plate_row") == 0, "Media")
@@ -153,6 +154,7 @@ def raw_sheets(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
         F.when(F.col("object_no") % 5 != 0, F.when(F.col("object_no") % 2 == 0, "TRUE").otherwise("F")).alias("Focused"),
         F.date_add(F.lit("2020-01-01").cast("date"), F.col("day")).cast("string").alias("Imaged"),
     )
+    raw = checkpointed(raw)
     out = []
     for call in ("Live", "Dead"):
         sheets = raw.where(F.col("LD") == call).withColumnsRenamed({c: c.format(call) for c in raw.columns})

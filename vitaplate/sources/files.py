@@ -141,10 +141,11 @@ def write_experiments(df: DataFrame, root: str, experiment: str = "ExpID", day:
     """The inverse of S1-S4: one folder per experiment, in it one folder ``D<day>_<call>`` of CSV parts per sheet.
 
     Missing cells print "NA".  Sheets are appended, so tables of other layouts can join the same experiments.
+    Rows are brought together by sheet in tasks of even size, so a large sheet has several parts.
     """
     sheet = F.concat(F.lit("D"), quoted(day).cast("string"), F.lit("_"), quoted(ld))
     rows = df.withColumns({"ExpID": quoted(experiment), "sheet": sheet}).drop(*{experiment, day, ld} - {"ExpID"})
-    rows.repartition("ExpID", "sheet").write.mode("append").partitionBy("ExpID", "sheet").option("header", True).option("nullValue", MISSING).csv(root)
+    rows.hint("rebalance", F.col("ExpID"), F.col("sheet")).write.mode("append").partitionBy("ExpID", "sheet").option("header", True).option("nullValue", MISSING).csv(root)
 
 
 def _read_typed(spark: SparkSession, path: str, encoding: str, schema: T.StructType | None, rename) -> DataFrame:
