@@ -6,7 +6,8 @@ join runs over classes.
 
 0. Support.  A set links only when p percent of its shingles lie in sets of
    other classes.  Shingles are dealt to buckets by their hash, four bytes each; a bucket
-   counts what each of its classes shares, and classes that share too little go no further.
+   counts what each of its classes shares, the counts return to the slices that dealt them,
+   and classes that share too little go no further.
 1. Candidate groups.  If A and B link at p percent, at most
    (|A| + |B|) (100 - p) / (100 + p) shingles (a 19th at 90) lie in one of them
    only.  Each set is cut into more parts than that bound allows
@@ -33,6 +34,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,6 +56,8 @@ BLOCK_SETS = 64
 BLOCK_SHINGLES = 400_000
 #: Shingles of a bucket that a task counts at once (on average).
 BUCKET_SHINGLES = 4_000_000
+#: Shingles that a task deals to the buckets at once, from there on (one step of texts may add its own).
+SLICE_SHINGLES = 1_000_000
 #: Columns of one step of the intersection product.
 PRODUCT_WIDTH = 4096
 #: A class with more than this part of a task's rows is large: SHARES * tasks of them at most.
@@ -188,7 +193,7 @@ def _describe(step: C.TextStep, shingle: int, percent: int) -> list[pa.Array]:
     ]
 
 
-def _buckets(keys: list[int], sets: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+def _buckets(slice_id: int, keys: list[int], sets: list[np.ndarray], buckets: int) -> pa.RecordBatch:
     """One row for each bucket with shingles of ``sets``: the classes, how many shingles each has there, and the shingles' low halves."""
     lengths = np.array(list(map(len, sets)))
     flat = np.concatenate(sets)
@@ -196,55 +201,83 @@ def _buckets(keys: list[int], sets: list[np.ndarray], buckets: int) -> pa.Record
     # runs of one bucket and class, by bucket
     run = bucket.astype(np.int64) * len(sets) + np.repeat(np.arange(len(sets)), lengths)
     order = np.argsort(run, kind="stable")
-    runs, counts = np.unique(run, return_counts=True)
+    run = run[order]
+    begin = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+    runs, counts = run[begin], np.diff(np.append(begin, len(run)))
     found, first = np.unique(runs // len(sets), return_index=True)
     cuts = np.append(first, len(runs))
-    ends = np.concatenate([[0], np.cumsum(counts)])[cuts]
+    ends = np.append(begin, len(run))[cuts]
+    low = flat[order].astype(np.uint32).view(np.int32)
+    columns = [
+        pa.array(np.full(len(found), slice_id)),
+        pa.array(found.astype(np.int32)),
+        _cut(cuts, np.array(keys, np.int64)[runs % len(sets)]),
+        _cut(cuts, counts.astype(np.int32)),
+        _cut(ends, low),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["slice", "bucket", "keys", "counts", "low"])
 
-    def lists(offsets, values):
-        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
-    low = flat[order].astype(np.uint32).view(np.int32)
-    columns = [pa.array(found.astype(np.int32)), lists(cuts, np.array(keys, np.int64)[runs % len(sets)]), lists(cuts, counts.astype(np.int32)), lists(ends, low)]
-    return pa.RecordBatch.from_arrays(columns, names=["bucket", "keys", "counts", "low"])
+def _cut(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
 
-def _shared(rows: pa.Table) -> pa.Table:
-    """(key, shared) of one bucket: how many shingles of each class another class has, where there are any."""
-    def flat(name):
-        return rows.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+def _flat(rows: pa.Table, name: str) -> np.ndarray:
+    return rows.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
 
-    keys, low = flat("keys"), flat("low")
-    owner = np.repeat(np.arange(len(keys), dtype=np.int32), flat("counts"))
+def _shared(rows: pa.Table) -> pa.Table:
+    """(slice, keys, shared) of one bucket, a row for each one dealt to it: how many shingles of each class another class has, where there are any."""
+    keys, low = _flat(rows, "keys"), _flat(rows, "low")
+    owner = np.repeat(np.arange(len(keys), dtype=np.int32), _flat(rows, "counts"))
     order = np.argsort(low, kind="stable")
     low, owner = low[order], owner[order]
     first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
     of = keys[owner]
     several = np.minimum.reduceat(of, first) != np.maximum.reduceat(of, first)
     shared = np.bincount(owner[np.repeat(several, np.diff(np.append(first, len(low))))], minlength=len(keys))
-    # copies of a class have the same shingles here, so the first tells for all
-    keys, at = np.unique(keys, return_index=True)
-    some = shared[at] > 0
-    return pa.table({"key": pa.array(keys[some]), "shared": pa.array(shared[at][some].astype(np.int64))})
+    some = shared > 0
+    ends = np.cumsum([0, *pc.list_value_length(rows.column("keys")).to_pylist()])
+    cuts = np.concatenate([[0], np.cumsum(some)])[ends]
+    return pa.table({"slice": rows.column("slice"), "keys": _cut(cuts, keys[some]), "shared": _cut(cuts, shared[some].astype(np.int32))})
+
+
+def _totals(rows: pa.Table) -> pa.Table:
+    """(key, shared) of one slice: the sums over all buckets."""
+    keys, at = np.unique(_flat(rows, "keys"), return_inverse=True)
+    return pa.table({"key": pa.array(keys), "shared": pa.array(np.bincount(at, _flat(rows, "shared"), len(keys)).astype(np.int64))})
 
 
 def _supported(texts: DataFrame, classes: DataFrame, shingles: int, shingle: int, percent: int) -> DataFrame:
     """(key, level, n) of the classes that share ``percent`` percent of their shingles at least with others; ``shingles`` is the sum of all rows.
 
     Two shingles with equal halves of their hash count as shared, so a class may stay for nothing but none is lost.
+    The buckets' counts go back by slice, the classes that a task dealt together: a class is all in one slice, so a row
+    is made for each class of a slice, not for each class of a bucket (there are more buckets the larger the input).
     """
     buckets = shingles // BUCKET_SHINGLES + 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slice_id = TaskContext.get().partitionId() << 32
+        once, waiting = {}, 0
         for batch in batches:
             for part in C.slices(batch, 0):
-                once = {_class_key(s): s for s in shingle_sets(C.TextStep(part.column(0)), shingle) if len(s)}
-                if once:
-                    yield _buckets(list(once), list(once.values()), buckets)
-
-    dealt = texts.select("text").mapInArrow(deal, "bucket int, keys array<long>, counts array<int>, low array<int>")
-    shared = dealt.groupBy("bucket").applyInArrow(_shared, "key long, shared long")
-    enough = shared.groupBy("key").agg(F.sum("shared").alias("shared"))
+                for s in shingle_sets(C.TextStep(part.column(0)), shingle):
+                    if len(s) and (key := _class_key(s)) not in once:
+                        once[key] = s
+                        waiting += len(s)
+                if waiting >= SLICE_SHINGLES:
+                    yield _buckets(slice_id, list(once), list(once.values()), buckets)
+                    slice_id += 1
+                    once, waiting = {}, 0
+        if once:
+            yield _buckets(slice_id, list(once), list(once.values()), buckets)
+
+    dealt = texts.select("text").mapInArrow(deal, "slice long, bucket int, keys array<long>, counts array<int>, low array<int>")
+    shared = dealt.groupBy("bucket").applyInArrow(_shared, "slice long, keys array<long>, shared array<int>")
+    totals = shared.groupBy("slice").applyInArrow(_totals, "key long, shared long")
+    # copies of a class have the same total in every slice
+    enough = totals.groupBy("key").agg(F.max("shared").alias("shared"))
     return classes.join(enough, "key").where(F.col("shared") * 100 >= F.col("n") * percent).select("key", "level", "n")
 
 
