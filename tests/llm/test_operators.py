@@ -346,11 +346,12 @@ def test_jaccard_counts_support_in_many_buckets(spark, monkeypatch):
     assert sorted(tuple(r) for r in jaccard.jaccard_classes(documents(spark, texts), shingle=2, percent=80).collect()) == want
 
 
-def test_jaccard_support_makes_no_row_for_each_class_and_bucket(spark, monkeypatch):
+@pytest.mark.parametrize(("shingle", "percent"), [(3, 90), (5, 80)])  # op7's and the pipeline's
+def test_jaccard_support_makes_no_row_for_each_class_and_bucket(spark, monkeypatch, shingle, percent):
     """Eight times the buckets: as many rows come back, and the same classes are supported."""
     texts = near_copies(seed=7, groups=6, each=12) * 2
     docs = documents(spark, texts).repartition(3)
-    sets = jaccard.C.add_columns(docs, jaccard._SETS, "text", lambda step: jaccard._describe(step, 3, 90)).where("key is not null")
+    sets = jaccard.C.add_columns(docs, jaccard._SETS, "text", lambda step: jaccard._describe(step, shingle, percent)).where("key is not null")
     classes = sets.groupBy("key").agg(F.max("level").alias("level"), F.max("n").alias("n"))
     total = sets.agg(F.sum("n")).first()[0]
     made, found = spark.sparkContext.accumulator(0), []
@@ -367,7 +368,7 @@ def test_jaccard_support_makes_no_row_for_each_class_and_bucket(spark, monkeypat
     for buckets in (2, 16):
         monkeypatch.setattr(jaccard, "BUCKET_SHINGLES", total // buckets + 1)
         before = made.value
-        found.append((sorted(map(tuple, jaccard._supported(docs, classes, total, 3, 90).collect())), made.value - before))
+        found.append((sorted(map(tuple, jaccard._supported(docs, classes, total, shingle, percent).collect())), made.value - before))
     assert found[0][0] and found[0][0] == found[1][0]
     # three slices in 2 and in 16 buckets; there are some 70 classes
     assert found[1][1] <= 3 * 16
