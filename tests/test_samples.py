@@ -72,3 +72,63 @@ def test_near_rows_by_products_hold_the_nearest_and_few_others():
         found = set(zip(i.tolist(), j.tolist()))
         third = np.sort(d, axis=1)[:, 2]
         assert found >= set(zip(*map(np.ndarray.tolist, np.nonzero(d <= third[:, None]))))
+
+
+def test_squares_are_not_shuffled(spark):
+    """Disk grows with the rows: above the squares nothing is dealt out, and each tile meets all others in one task."""
+    rng = np.random.default_rng(5)
+    rows = [(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(rng.normal(size=(120, 6)))]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near = SM.sample_neighbours(spark.createDataFrame(rows, "id long, vec array<double>"), "id", "vec", k=3, tile=4)
+        above, squares = near._jdf.queryExecution().executedPlan().toString().split("CartesianProduct")
+        assert "Exchange" not in above and "Coalesce 1" in squares
+        assert squares.count("REPARTITION_BY_NUM") == 2 and "Window" not in squares
+        assert near.rdd.getNumPartitions() > 1
+        assert sorted(((r[0], r[1], r[2], round(r[3], 9)) for r in near.collect()), key=str) == brute(rows, 3)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_equal_vectors_over_tiles_go_by_id(spark):
+    rng = np.random.default_rng(6)
+    same = [0.5, -1.0, 2.0]
+    rows = [(None if i % 9 == 0 else i, same) for i in range(30)] + [(100 + i, rng.normal(size=3).tolist()) for i in range(20)]
+    rng.shuffle(rows)
+    for k in (2, 6):  # fewer and more than a tile has
+        assert got(spark, rows, k, tile=4) == brute(rows, k)
+
+
+@pytest.mark.parametrize("scale", [1e-120, 1.0, 1e120])
+def test_large_small_and_single_precision_vectors(spark, scale):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(90, 5)) * scale
+    x[:30] += 1e4 * scale  # far from the origin, close to each other
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    want = {}
+    for i, a in enumerate(x):
+        want[i] = sorted((float(np.sqrt(np.square(a - b).sum())), j) for j, b in enumerate(x) if i != j)[:3]
+    found = {(r[0], r[1]): (r[3], r[2]) for r in SM.sample_neighbours(df, "id", "vec", k=3, tile=16).collect()}
+    assert found == {(i, n): pair for i, pairs in want.items() for n, pair in enumerate(pairs, 1)}
+    if scale == 1.0:
+        short = [(i, np.float32(v).astype(float).tolist()) for i, v in rows]
+        single = spark.createDataFrame(short, "id long, vec array<float>")
+        near = sorted(((r[0], r[1], r[2], round(r[3], 9)) for r in SM.sample_neighbours(single, "id", "vec", k=3, tile=16).collect()), key=str)
+        assert near == brute(short, 3)
+
+
+def test_rough_products_leave_out_no_near_row():
+    """Rows right at the limit pass, whatever single precision makes of them; few others do."""
+    rng = np.random.default_rng(8)
+    for move, scale in ((0.0, 1.0), (1e5, 1.0), (0.0, 1e-90), (0.0, 1e90)):
+        x, y = (rng.normal(size=(300, 64)) * scale + move * scale for _ in range(2))
+        d = np.sqrt(np.square(x[:, None, :] - y[None, :, :]).sum(axis=2))
+        limit = np.sort(d, axis=1)[:, 4]
+        u, v, least = SM._rough(x, y, limit)
+        inside = u @ v >= least[:, None]
+        assert inside[d <= limit[:, None]].all()
+        assert inside.sum() < 6 * len(x)
+    assert SM._rough(np.zeros((3, 2)), np.zeros((3, 2)), np.zeros(3)) is None
+    assert SM._rough(np.full((3, 2), 1e160), np.zeros((3, 2)), np.zeros(3)) is None
